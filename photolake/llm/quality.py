@@ -118,6 +118,21 @@ def score_quality(docs: DataFrame, fitted: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_accepted(docs: DataFrame, labels: DataFrame, accept_from: float = ACCEPT_FROM) -> DataFrame:
+    """The documents that the classifier accepts, all columns, in one pass over the texts."""
+    fitted = fit_quality(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, (a, b) = shared.value["model"], shared.value["map"]
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                z = a * _margins(model, *linear.features(part.column("text"))) + b
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) >= accept_from))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, accept_from: float = ACCEPT_FROM) -> DataFrame:
     """Fit on the labels and score all documents: doc_id, held_out, score, predicted.
 

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from photolake.llm.textnum import Words, chunks, load, per_text, shingles, words
+from photolake.llm.textnum import U, Words, chunks, load, mix, per_text, shingles, words
 from photolake.session import stash, table, use_package
 
 SYMBOLS = np.zeros(256, bool)
@@ -30,23 +31,29 @@ FALSE_ALARM = 0.02
 MAX_REPEATED = 50  # of 100 words
 
 
+def of_text(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes that are equal only for equal keys of one text, so that one sort serves all texts."""
+    return mix(keys ^ mix(doc.astype(U) + U(1)))
+
+
 def _distinct(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Number of distinct keys of each text."""
-    order = np.lexsort((keys, doc))
-    k, d = keys[order], doc[order]
+    own = of_text(keys, doc)
+    order = np.argsort(own)
+    k = own[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-    return np.bincount(d[new], minlength=n)
+    new[1:] = k[1:] != k[:-1]
+    return np.bincount(doc[order[new]], minlength=n)
 
 
 def repeated_words(w: Words, n: int = 3) -> np.ndarray:
     """Number of words of each text that lie in an n-word window found twice or more in that text."""
     h, at = shingles(w, n, whole_if_short=False)
-    doc = w.doc[at]
-    order = np.lexsort((h, doc))
-    k, d = h[order], doc[order]
+    own = of_text(h, w.doc[at])
+    order = np.argsort(own)
+    k = own[order]
     same = np.zeros(len(k) + 1, bool)
-    same[1:-1] = (k[1:] == k[:-1]) & (d[1:] == d[:-1])
+    same[1:-1] = k[1:] == k[:-1]
     twice = at[order[same[:-1] | same[1:]]]
     cover = np.zeros(len(w.hash) + 1, np.int64)
     np.add.at(cover, twice, 1)
@@ -106,24 +113,26 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_exclaims", "n_distinct", "n_ends")
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every whole text; a null text has no words."""
+def with_measures(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The counts of every whole text beside the carried columns (doc_id alone unless told otherwise); a null text has no words."""
     use_package(docs.sparkSession)
+    carry = ["doc_id"] if carry is None else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 got = measure(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[k]) for k in MEASURES)], ["doc_id", *MEASURES])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(got[k]) for k in MEASURES)], [*carry, *MEASURES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in MEASURES))
+    kind = StructType([*(docs.schema[c] for c in carry), *(StructField(k, LongType()) for k in MEASURES)])
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, kind)
 
 
 def _rule(good, bad):
     return F.when(good, 1).when(bad, 0).otherwise(-1)
 
 
-def default_rules() -> dict[str, object]:
+def default_rules() -> dict[str, Column]:
     """Each rule's vote as a column over the measures: 1 good, 0 bad, -1 abstains."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     c = F.greatest(F.col("word_chars"), F.lit(1))
@@ -178,7 +187,33 @@ def posterior(patterns: np.ndarray, share: float, table_: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(score, -500, 500)))
 
 
-def weak_supervision(docs: DataFrame, rules: dict | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
+FAILED = f"(n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words)"
+
+
+def _learn(voted: DataFrame, votes: list[str]) -> Column:
+    """Log odds that a document is good, as a column over its votes."""
+    # What fails outright needs no votes; left in, it would make repetition the only thing that "bad" stands for.
+    found = voted.filter(f"not {FAILED}").groupBy(*votes).count().collect()  # at most 3**rules rows
+    patterns = np.array([[r[v] for v in votes] for r in found], np.int64).reshape(-1, len(votes))
+    counts = np.array([r["count"] for r in found], float)
+    share, learned = fit_votes(patterns, counts) if len(found) else (0.5, np.full((len(votes), 2, 3), 1 / 3))
+    odds = F.lit(float(np.log(share) - np.log(1 - share)))
+    for j, v in enumerate(votes):
+        ratio = np.log(learned[j, 1]) - np.log(learned[j, 0])
+        odds = odds + F.element_at(F.array(*(F.lit(float(x)) for x in ratio)), F.col(v).cast("int") + 2)
+    return odds
+
+
+def _judge(voted: DataFrame, odds: Column, keep_from: float) -> DataFrame:
+    judged = voted.withColumn("base_failed", F.expr(FAILED)).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
+
+
+def _vote(measured: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    return measured.select("*", *(v.cast("byte").alias(f"vote_{k}") for k, v in rules.items()))
+
+
+def weak_supervision(docs: DataFrame, rules: dict[str, Column] | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
     """Counts, votes, posterior and verdict of every document.
 
     base_failed documents (under 50 words, or more than half their words in
@@ -188,24 +223,18 @@ def weak_supervision(docs: DataFrame, rules: dict | None = None, keep_from: floa
     gives an empty result.
     """
     rules = default_rules() if rules is None else rules
-    measured = with_measures(docs)
-    voted = stash(measured.select("*", *(v.cast("byte").alias(f"vote_{k}") for k, v in rules.items())), "votes")
-    votes = [f"vote_{k}" for k in rules]
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    # What fails outright needs no votes; left in, it would make repetition the only thing that "bad" stands for.
-    found = voted.filter(~failed).groupBy(*votes).count().collect()  # at most 3**rules rows
-    patterns = np.array([[r[v] for v in votes] for r in found], np.int64).reshape(-1, len(votes))
-    counts = np.array([r["count"] for r in found], float)
-    share, learned = fit_votes(patterns, counts) if len(found) else (0.5, np.full((len(votes), 2, 3), 1 / 3))
-    log_odds = F.lit(float(np.log(share) - np.log(1 - share)))
-    for j, v in enumerate(votes):
-        ratio = np.log(learned[j, 1]) - np.log(learned[j, 0])
-        log_odds = log_odds + F.element_at(F.array(*(F.lit(float(x)) for x in ratio)), F.col(v).cast("int") + 2)
-    return (
-        voted.withColumn("base_failed", failed)
-        .withColumn("posterior", 1 / (1 + F.exp(-log_odds)))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
-    )
+    voted = stash(_vote(with_measures(docs), rules), "votes")
+    return _judge(voted, _learn(voted, [f"vote_{k}" for k in rules]), keep_from)
+
+
+def keep_good(docs: DataFrame, rules: dict[str, Column] | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The documents that weak_supervision() keeps, all columns. Texts are measured twice rather than shuffled."""
+    rules = default_rules() if rules is None else rules
+    odds = _learn(_vote(with_measures(docs), rules), [f"vote_{k}" for k in rules])
+    taken = {f"_in_{i}": c for i, c in enumerate(docs.columns)}  # input columns may be named like a measure
+    inner = docs.select(*(F.col(c).alias(k) for k, c in taken.items()), "text")
+    judged = _judge(_vote(with_measures(inner, list(taken)), rules), odds, keep_from)
+    return judged.filter("kept").select(*(F.col(k).alias(c) for k, c in taken.items()))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
