@@ -97,11 +97,11 @@ def origin_label(account: Column | str = "account", provenance: Column | str = "
 
 
 def human_size(size: Column | str) -> Column:
-    """P9. Bytes as an integer, above that two decimals in steps of 1024 up to TB."""
+    """P9. Bytes as an integer, above that two decimals (halves to even) in steps of 1024 up to TB."""
     n = _col(size).cast("double")
     out = F.concat(_col(size).cast("long").cast("string"), F.lit(" bytes"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= float(1024**k), F.format_string(f"%.2f {unit}", n / float(1024**k))).otherwise(out)
+        out = F.when(n >= float(1024**k), F.format_string(f"%.2f {unit}", F.bround(n / float(1024**k), 2))).otherwise(out)
     return out
 
 

@@ -106,7 +106,7 @@ def reconcile_moves(vanished: DataFrame, new: DataFrame) -> DataFrame:
     on = [F.col(f"v.{k}").eqNullSafe(F.col(f"w.{k}")) for k in (*key, "sha256", "n")]
     ranked = v.join(w, on).select(F.col("v.id").alias("id"), F.col("w.relative_path").alias("new_path"))
     rows_v = both.join(mixed, cond(both), "left_semi").select(*key, "id", F.lit(None).cast("string").alias("relative_path"), "sha256", F.col("captured_at").cast("timestamp").alias("captured_at"), F.lit(True).alias("vanished"))
-    rows_n = new.join(mixed, cond(new), "left_semi").select(*key, F.lit(None).cast("long").alias("id"), "relative_path", "sha256", F.lit(None).cast("timestamp").alias("captured_at"), F.lit(False).alias("vanished"))
+    rows_n = new.join(mixed, cond(new), "left_semi").select(*key, F.lit(0).cast("long").alias("id"), "relative_path", "sha256", F.lit(None).cast("timestamp").alias("captured_at"), F.lit(False).alias("vanished"))
     walked = rows_v.unionByName(rows_n).groupBy(*key).applyInPandas(lambda g: _greedy(g).astype({"id": "int64"}), "id long, new_path string")
     return ranked.unionByName(walked)
 

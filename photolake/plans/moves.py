@@ -52,7 +52,7 @@ def assign_unique(plan: DataFrame, existing: DataFrame) -> DataFrame:
     """
     use_package(plan.sparkSession)
     asked = plan.select("key", "ord", "path", F.lit(False).alias("existing"), *family(F.col("path")))
-    there = existing.select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("ord"), "path", F.lit(True).alias("existing"), *family(F.col("path")))
+    there = existing.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("ord"), "path", F.lit(True).alias("existing"), *family(F.col("path")))
     fam = ["_dir", "_stem", "_ext"]
     there = there.join(asked.select(*fam).distinct(), fam, "left_semi").select(*asked.columns)
     both = asked.unionByName(there)
@@ -120,7 +120,7 @@ def plan_export(files: DataFrame, photos: DataFrame, dest_listing: DataFrame, da
     The same name with the same size and a time within two seconds is skipped;
     only the unsuffixed name is looked at. `only` limits to rows with these paths.
     """
-    rows = files.filter(F.col("relative_path").startswith("selected/") & ~F.col("relative_path").rlike(r"(^|/)\."))
+    rows = files.select("relative_path", "file_size", "file_mtime").filter(F.col("relative_path").startswith("selected/") & ~F.col("relative_path").rlike(r"(^|/)\."))
     if only is not None:
         rows = rows.join(only.select("relative_path"), "relative_path", "left_semi")
     rows = rows.join(photos.select("relative_path", "captured_at"), "relative_path", "left")

@@ -2,5 +2,577 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from photolake.functions import dates, hashing, paths
+from photolake.operators import audit, decisions, dedup, live, neardup, scan, timeline
+from photolake.plans import moves, views
+from photolake.plans.views import ACTIONS_SQL, FILES_SQL, PAIRS_SQL, PHOTOS_SQL, REMOTE_SQL
+from photolake.session import table
+from photolake.sources import remote, state
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(ctes: str | None = None, sql: str = ""):
+    """Adds a query under its function's name, with its SQL where SQL says it shortly."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"with {ctes} done as (select 1) {sql}" if ctes else sql
+        return f
+
+    return add
+
+
+us = lambda c: F.unix_micros(c)
+SHOWN = ("id", "status", "provenance")
+ROW = "id, epoch_us(captured_at) as captured_us, status, provenance"
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select("id", us("captured_at").alias("captured_us"), "status", "provenance")
+
+
+@register(PHOTOS_SQL, f"select {ROW}, coalesce(r.n, 0) as dupe_count, coalesce(live_photo_video_path, '') <> '' as is_live, source = 'icloud' and status = 'selected' as download_pending from shown left join (select sha256, n from reps where n > 1) r using (sha256) order by captured_at, id limit 200")
+def timeline_first_page(s, d):
+    photos = views.photos(s, d)
+    first = timeline.page(timeline.timeline(photos), 1)
+    out = timeline.with_badges(first, photos)
+    return out.select("id", us("captured_at").alias("captured_us"), "status", "provenance", "dupe_count", "is_live", "download_pending")
+
+
+@register(PHOTOS_SQL, f"select {ROW} from shown where status = 'optional' and provenance = 'acct-1' and captured_at >= timestamp '2024-01-03' and captured_at < timestamp '2024-01-21' and captured_at_source <> 'exif'")
+def timeline_filtered(s, d):
+    return _rows(timeline.timeline(views.photos(s, d), "optional", "acct-1", "2024-01-03", "2024-01-20", low_confidence_only=True))
+
+
+@register(PHOTOS_SQL, f"select {ROW} from photos where missing")
+def timeline_missing(s, d):
+    return _rows(timeline.timeline(views.photos(s, d), show_missing=True))
+
+
+@register(PHOTOS_SQL + PAIRS_SQL, f"select {ROW} from shown where media_type = 'image' and id in (select photo_a from pairs where not resolved union all select photo_b from pairs where not resolved)")
+def timeline_unresolved_images(s, d):
+    return _rows(timeline.timeline(views.photos(s, d), media_type="image", unresolved_in=views.pairs(s, d)))
+
+
+@register(PHOTOS_SQL, f"select {ROW} from shown order by captured_at, id limit 200 offset 400")
+def timeline_third_page(s, d):
+    return _rows(timeline.page(timeline.timeline(views.photos(s, d)), 3))
+
+
+@register(PHOTOS_SQL, f"select {ROW} from (select *, row_number() over (order by captured_at, id) - 1 as pos, (select count(*) from shown) as total from shown) where pos >= (total - 1) // 200 * 200")
+def timeline_last_page(s, d):
+    return _rows(timeline.page(timeline.timeline(views.photos(s, d)), 10**9))
+
+
+@register(PHOTOS_SQL, f"select {ROW} from shown where captured_at > timestamp '2024-01-10' order by captured_at, id limit 200")
+def timeline_keyset_page(s, d):
+    return _rows(timeline.page_after(timeline.timeline(views.photos(s, d)), "2024-01-10", 1 << 62))
+
+
+@register(PHOTOS_SQL, "select cast(captured_at as date) as day, strftime(captured_at, '%a %-d %b %Y') as label, count(*) as n from shown group by 1, 2")
+def day_groups(s, d):
+    return timeline.by_day(timeline.timeline(views.photos(s, d)))
+
+
+@register(PHOTOS_SQL, "select cast(captured_at as date) as day, strftime(captured_at, '%a %-d %b %Y') as label, string_agg(cast(id as varchar), ',' order by captured_at, id) as ids from (select * from shown order by captured_at, id limit 200) group by 1, 2")
+def day_groups_of_page(s, d):
+    days = timeline.by_day_items(timeline.page(timeline.timeline(views.photos(s, d)), 1))
+    return days.select("day", "label", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@register(PHOTOS_SQL, 'select id, lag(id) over w as prev_id, lead(id) over w as next_id, row_number() over w - 1 as "index", count(*) over () as total from shown window w as (order by captured_at, id)')
+def neighbours(s, d):
+    return timeline.neighbours(timeline.timeline(views.photos(s, d)))
+
+
+@register(PHOTOS_SQL, "select id, array_to_string(list(id) over (order by captured_at, id rows between 10 preceding and 10 following), ',') as ids from shown")
+def filmstrip(s, d):
+    return timeline.filmstrip(timeline.timeline(views.photos(s, d))).select("id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@register(PHOTOS_SQL, "select id, epoch_us(status_changed_at) as changed_us from photos where status_changed_at is not null order by status_changed_at desc, id desc limit 10")
+def recent_activity(s, d):
+    return timeline.recent_activity(views.photos(s, d)).select("id", us("status_changed_at").alias("changed_us"))
+
+
+@register(PHOTOS_SQL, "select distinct provenance from photos where provenance <> ''")
+def distinct_provenances(s, d):
+    return timeline.distinct_provenances(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select account, epoch_us(r.cap) as at_us, r.rank, greatest(0, r.rank - 25) as \"offset\", cast(360 as bigint) as \"limit\" from (select a.account, a.captured_at as cap, (select count(*) from photos b where b.source = 'icloud' and b.account = a.account and b.captured_at > a.captured_at) as rank from photos a where a.source = 'icloud' and a.id % 26 = 0) r")
+def date_rank(s, d):
+    p = views.photos(s, d)
+    probes = p.filter("source = 'icloud' and id % 26 = 0").select("account", F.col("captured_at").alias("at"), F.lit(60).alias("wanted"))
+    out = timeline.date_rank(p, probes)
+    return out.select("account", us("at").alias("at_us"), F.col("rank").cast("long").alias("rank"), F.col("offset").cast("long").alias("offset"), "limit")
+
+
+@register(PHOTOS_SQL, "select sha256, n from reps where n > 1")
+def duplicate_counts(s, d):
+    return dedup.duplicate_counts(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select sha256, keep as id, n from reps")
+def representatives(s, d):
+    return dedup.representatives(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select id, sha256 from redundant")
+def redundant_copies(s, d):
+    return dedup.redundant_copies(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select id, sha256 from redundant")
+def redundant_copies_by_window(s, d):
+    return dedup.redundant_copies_by_window(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select id, sha256 from hashed where sha256 in (select sha256 from hashed where status = 'selected')")
+def duplicate_group(s, d):
+    p = views.photos(s, d)
+    return dedup.duplicate_group(p, p.filter("status = 'selected'")).select("id", "sha256")
+
+
+@register(PHOTOS_SQL, "select p as relative_path from companions")
+def companion_paths(s, d):
+    return timeline.companion_paths(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select status, count(*) as n from photos group by status")
+def counts_by_status(s, d):
+    return audit.counts_by_status(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select case when provenance = '' then '(root)' else provenance end as provenance, count(*) filter (status = 'optional') as optional, count(*) filter (status = 'selected') as selected, count(*) filter (status = 'rejected') as rejected, count(*) as total from photos group by 1")
+def provenance_matrix(s, d):
+    return audit.provenance_matrix(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select cast(coalesce(sum(file_size), 0) as bigint) as bytes from photos where status = 'selected'")
+def selected_bytes(s, d):
+    return audit.selected_bytes(views.photos(s, d))
+
+
+@register(PHOTOS_SQL, "select count(*) as total, count(*) filter (missing) as missing from photos")
+def totals(s, d):
+    return audit.totals(views.photos(s, d))
+
+
+@register(PHOTOS_SQL + PAIRS_SQL, "select * from pairs where not resolved and photo_a in (select id from photos where not missing) and photo_b in (select id from photos where not missing)")
+def unresolved_pairs(s, d):
+    return audit.unresolved_pairs(views.pairs(s, d), views.photos(s, d))
+
+
+@register(PHOTOS_SQL + PAIRS_SQL, "select * from pairs where not resolved and photo_a in (select id from photos where not missing) and photo_b in (select id from photos where not missing) and photo_a >= 500 order by photo_a limit 1")
+def next_unresolved(s, d):
+    return neardup.next_unresolved(views.pairs(s, d), views.photos(s, d), (499, 1 << 40))
+
+
+_OVERVIEW = "select s.account, (select count(*) from photos p where p.account = s.account) as items, (select count(*) from photos p where p.account = s.account and p.source = 'icloud' and p.status = 'selected' and p.id % 4 <> 0) as pending, epoch_us(s.cursor) as cursor_us from (select account, max(captured_at) as cursor from photos where account <> '' group by account) s"
+
+
+@register(PHOTOS_SQL, _OVERVIEW)
+def account_overview(s, d):
+    p = views.photos(s, d)
+    states = p.filter("account <> ''").groupBy("account").agg(F.max("captured_at").alias("cursor"))
+    got = p.filter("source = 'icloud' and id % 4 = 0").select("account", "remote_id")
+    return audit.account_overview(p, states, got).select("account", "items", "pending", us("cursor").alias("cursor_us"))
+
+
+@register(PHOTOS_SQL, "select 'sizes' as step, count(*) filter (file_size > 1000) as done, count(*) filter (file_size <= 1000) as errors, count(*) as total from photos")
+def run_report(s, d):
+    p = views.photos(s, d)
+    return audit.run_report({"sizes": audit.with_errors(p, F.when(F.col("file_size") <= 1000, "too small"))})
+
+
+_NEAR = """select least(a.id, b.id) as photo_a, greatest(a.id, b.id) as photo_b, cast(bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint)) as smallint) as hamming_distance
+ from usable a join usable b on (b.captured_at > a.captured_at or (b.captured_at = a.captured_at and b.id > a.id)) and b.captured_at <= a.captured_at + interval 8 second
+ where a.sha256 <> b.sha256 and bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint)) <= 8"""
+_USABLE = PHOTOS_SQL + "usable as (select * from photos where not missing and source = 'local'),"
+
+
+@register(_USABLE, _NEAR)
+def near_duplicates(s, d):
+    return neardup.near_duplicates(views.photos(s, d))
+
+
+@register(_USABLE, _NEAR)
+def near_duplicates_banded(s, d):
+    return neardup.near_duplicates_banded(views.photos(s, d))
+
+
+@register(_USABLE + PAIRS_SQL + f"near as ({_NEAR}),", "select * from pairs union all select photo_a, photo_b, hamming_distance, false from near where (photo_a, photo_b) not in (select (photo_a, photo_b) from pairs)")
+def merge_pairs(s, d):
+    return neardup.merge_pairs(views.pairs(s, d), neardup.near_duplicates(views.photos(s, d)))
+
+
+@register(PHOTOS_SQL, "select id, phash, 'malformed perceptual hash' as error from (select id, case when id % 5 = 0 then 'zz' else phash end as phash from photos) where phash = 'zz'")
+def bad_phashes(s, d):
+    p = views.photos(s, d).withColumn("phash", F.when(F.col("id") % 5 == 0, "zz").otherwise(F.col("phash")))
+    return neardup.split_bad_phash(p)[1]
+
+
+@register(PHOTOS_SQL, "select a.id as photo_a, b.id as photo_b from photos a join photos b on a.id < b.id and a.file_size // 100 = b.file_size // 100 and a.source = 'icloud' and b.source = 'icloud' and not a.missing and not b.missing and abs(epoch_us(a.captured_at) - epoch_us(b.captured_at)) <= 86400000000")
+def remote_lookalikes(s, d):
+    p = views.photos(s, d).withColumn("file_size", F.floor(F.col("file_size") / 100)).withColumn("remote_filename", F.when(F.col("source") == "icloud", "IMG.HEIC").otherwise(""))
+    return neardup.remote_lookalikes(p, 86400)
+
+
+_LIVE = "lv as (select id, relative_path, date_trunc('hour', captured_at) as t, media_type, regexp_extract(relative_path, '^(.*)/', 1) as dir, lower(regexp_extract(relative_path, '([^/]*)\\.[^.]*$', 1)) as stem from photos where not missing and source = 'local'), clips as (select dir, stem, max({'t': t, 'p': relative_path}) as c from lv where relative_path like '%.mov' group by dir, stem),"
+
+
+@register(PHOTOS_SQL + _LIVE, "select id, clips.c.p as clip from lv join clips using (dir, stem) where media_type = 'image' and abs(epoch_us(t) - epoch_us(clips.c.t)) <= 1000000")
+def live_pairs(s, d):
+    p = views.photos(s, d).withColumn("captured_at", F.date_trunc("hour", "captured_at")).withColumn("live_photo_video_path", F.lit(None).cast("string"))
+    return live.live_pairs(p)
+
+
+@register(PHOTOS_SQL, "select id, live_photo_video_path as clip from photos where live_photo_video_path in (select relative_path from photos where not missing)")
+def companions_kept(s, d):
+    return live.clear_dangling_companions(views.photos(s, d)).filter("live_photo_video_path is not null").select("id", F.col("live_photo_video_path").alias("clip"))
+
+
+_PATHS = r"""select doc_id, case when first in ('selected', 'rejected') then first else 'optional' end as status,
+ case when len(rest) > 1 then rest[1] else '' end as provenance, case when lower(ext) in ('.mov', '.mp4', '.m4v', '.avi') then 'video' else 'image' end as media_type,
+ case when contains(relative_path, '/') then regexp_extract(relative_path, '^(.*)/', 1) else '.' end as parent, lower(left(name, length(name) - length(ext))) as stem
+ from (select *, string_split(relative_path, '/')[1] as first, case when string_split(relative_path, '/')[1] in ('selected', 'rejected') then string_split(relative_path, '/')[2:] else string_split(relative_path, '/') end as rest,
+ regexp_extract(name, '[^.](\.[^.]+)$', 1) as ext from named_files)"""
+
+
+@register(FILES_SQL, _PATHS)
+def path_facts(s, d):
+    p = "relative_path"
+    return views.files(s, d).select("doc_id", paths.status_of(p).alias("status"), paths.provenance_of(p).alias("provenance"), paths.media_type_of(p).alias("media_type"), paths.parent_stem(p).alias("k")).select("doc_id", "status", "provenance", "media_type", "k.parent", "k.stem")
+
+
+@register(FILES_SQL, r"select doc_id, relative_path from files where not regexp_matches(relative_path, '(^|/)\.') and regexp_matches(lower(relative_path), '\.(jpg|heic|mov)$')")
+def media_files(s, d):
+    return paths.filter_media(views.files(s, d)).select("doc_id", "relative_path")
+
+
+_SIZE = "case when b >= 1099511627776 then printf('%.2f TB', b / 1099511627776.0) when b >= 1073741824 then printf('%.2f GB', b / 1073741824.0) when b >= 1048576 then printf('%.2f MB', b / 1048576.0) when b >= 1024 then printf('%.2f KB', b / 1024.0) else cast(b as varchar) || ' bytes' end"
+
+
+@register(None, f"select o_orderkey, {_SIZE} as label from (select o_orderkey, cast(case o_orderkey % 3 when 0 then o_orderkey when 1 then round(o_totalprice) else round(o_totalprice) * 4096 end as bigint) as b from orders)")
+def human_sizes(s, d):
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    size = F.when(k % 3 == 0, k).when(k % 3 == 1, F.round("o_totalprice").cast("long")).otherwise(F.round("o_totalprice").cast("long") * 4096)
+    return o.select("o_orderkey", paths.human_size(size).alias("label"))
+
+
+@register(None, "select c_custkey, coalesce(nullif(trim(regexp_replace(lower(trim(c_name)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'account') as slug, case when c_custkey % 3 = 0 then 'iCloud · ' || c_name when c_custkey % 3 = 1 then 'Local · ' || c_mktsegment else 'Local · root' end as label from customer")
+def account_labels(s, d):
+    k = F.col("c_custkey")
+    c = table(s, d, "customer").withColumn("a", F.when(k % 3 == 0, F.col("c_name")).otherwise("")).withColumn("p", F.when(k % 3 == 1, F.col("c_mktsegment")).otherwise(""))
+    return c.select("c_custkey", paths.account_slug("c_name").alias("slug"), paths.origin_label("a", "p").alias("label"))
+
+
+@register(PHOTOS_SQL, "select id, '@src/' || coalesce(source_ref, 0) || '/' || relative_path as sentinel, relative_path as rel from photos")
+def sentinels(s, d):
+    p = views.photos(s, d).withColumn("sentinel", paths.sentinel(F.coalesce("source_ref", F.lit(0)), F.col("relative_path")))
+    return p.select("id", "sentinel", paths.rel_from_sentinel("sentinel").alias("rel"))
+
+
+@register(PHOTOS_SQL, "select id, case when source = 'icloud' then null when source_ref is null then '/lib/' || relative_path when source_ref < 2 then '/src/' || source_ref || '/' || relative_path end as abs_path, case when source = 'icloud' then 'remote' when source_ref >= 2 then 'no source' end as path_error from photos")
+def resolved_paths(s, d):
+    p = views.photos(s, d)
+    p = p.withColumn("relative_path", F.when(F.col("source_ref").isNotNull(), paths.sentinel(F.col("source_ref"), F.col("relative_path"))).otherwise(F.col("relative_path")))
+    roots = p.select("source_ref").filter("source_ref < 2").distinct().select(F.col("source_ref").alias("id"), F.concat(F.lit("/src/"), F.col("source_ref").cast("string")).alias("path"))
+    return paths.resolve_paths(p, roots, "/lib").select("id", "abs_path", "path_error")
+
+
+_NAMEDATE = r"""n as (select *, regexp_extract(name, '(^|[^0-9])(\d{4})(\d{2})(\d{2})_?(\d{2})(\d{2})(\d{2})($|[^0-9])', ['x', 'y', 'm', 'd', 'h', 'i', 's', 'z']) as a,
+ regexp_extract(name, '(^|[^0-9])(\d{4})-(\d{2})-(\d{2})[ _](\d{2})[.:-](\d{2})[.:-](\d{2})($|[^0-9])', ['x', 'y', 'm', 'd', 'h', 'i', 's', 'z']) as b from named_files),
+dated as (select *, coalesce(case when try_cast(a.y as int) between 1990 and 2100 and try_cast(a.s as int) <= 59 then try_cast(a.y || '-' || a.m || '-' || a.d || ' ' || a.h || ':' || a.i || ':' || a.s as timestamp) end,
+ case when try_cast(b.y as int) between 1990 and 2100 and try_cast(b.s as int) <= 59 then try_cast(b.y || '-' || b.m || '-' || b.d || ' ' || b.h || ':' || b.i || ':' || b.s as timestamp) end) as from_name,
+ case when right(t, 2) <> '60' then try_cast(replace(left(t, 10), ':', '-') || substr(t, 11) as timestamp) end as tag_time, case when right(raw_cd, 2) <> '60' then try_cast(replace(left(raw_cd, 10), ':', '-') || substr(raw_cd, 11) as timestamp) end as raw_time
+ from (select *, case when coalesce(exif_datetime_original, '') <> '' then exif_datetime_original else exif_datetime end as t from n)),
+chain as (select *, coalesce(case when coalesce(trim(raw_dto), '') = '' then raw_time end, tag_time) as tagged from dated),"""
+
+
+@register(FILES_SQL + _NAMEDATE, "select doc_id, epoch_us(from_name) as us from dated")
+def filename_dates(s, d):
+    return views.files(s, d).select("doc_id", us(dates.filename_ts(paths.name_of("relative_path"))).alias("us"))
+
+
+@register(FILES_SQL + _NAMEDATE, "select doc_id, epoch_us(coalesce(tagged, from_name, make_timestamp(cast(file_mtime * 1000000 as bigint)))) as us, case when tagged is not null then 'exif' when from_name is not null then 'filename' else 'file_mtime' end as source from chain")
+def capture_dates(s, d):
+    return dates.capture_date(views.files(s, d)).select("doc_id", us("captured_at").alias("us"), F.col("captured_at_source").alias("source"))
+
+
+@register(FILES_SQL, "select doc_id, sha256(text) as sha256, sha1(case when octet_length(encode(text)) <= 65536 then encode(text) || encode(cast(file_size as varchar)) end) as content_key from files where octet_length(encode(text)) <= 65536")
+def content_hashes(s, d):
+    f = views.files(s, d).filter(F.octet_length("content") <= 65536)
+    return f.select("doc_id", F.sha2("content", 256).alias("sha256"), hashing.content_key(F.col("content"), F.col("file_size")).alias("content_key"))
+
+
+@register(FILES_SQL, "select doc_id as id, sha256(text) as sha256 from files where doc_id % 3 = 0 and doc_id % 7 <> 0")
+def hash_pending(s, d):
+    f = views.files(s, d)
+    key = F.col("doc_id").cast("string").alias("relative_path")
+    p = f.select(F.col("doc_id").alias("id"), key, F.lit("local").alias("source"), F.lit(False).alias("missing"), F.when(F.col("doc_id") % 3 > 0, "x").alias("sha256"))
+    return hashing.hash_pending(p, f.filter("doc_id % 7 <> 0").select(key, "content"))[0]
+
+
+@register()
+def phash_of_vectors(s, d):
+    """Each vector repeated to a 32 x 32 image."""
+    v = table(s, d, "embeddings").filter("size(embedding) = 64")
+    image = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 16))
+    return v.select("vec_id", hashing.phash64(image).alias("phash"))
+
+
+@register(PHOTOS_SQL, "select id from photos where source = 'local' and not missing and media_type = 'image' and id % 4 = 0 and captured_at < timestamp '2024-01-16'")
+def phash_worklist(s, d):
+    p = views.photos(s, d).withColumn("phash", F.when(F.col("id") % 4 > 0, F.col("phash")))
+    return hashing.phash_worklist(p, None, "2024-01-15").select("id")
+
+
+_LISTED = "own as (select * from photos where source = 'local' and source_ref is null), listed as (select case when id % 6 = 0 then 'new/' || relative_path else relative_path end as relative_path, file_size, case when id % 9 = 0 then file_mtime + 100 when id % 9 = 1 then file_mtime else file_mtime end as file_mtime from own where id % 7 <> 0),"
+
+
+def _listing(p: DataFrame) -> DataFrame:
+    own = p.filter("source = 'local' and source_ref is null and id % 7 <> 0")
+    i = F.col("id")
+    return own.select(F.when(i % 6 == 0, F.concat(F.lit("new/"), "relative_path")).otherwise(F.col("relative_path")).alias("relative_path"), "file_size", F.when(i % 9 == 0, F.col("file_mtime") + 100).otherwise(F.col("file_mtime")).alias("file_mtime"), "captured_at", "captured_at_source")
+
+
+@register(PHOTOS_SQL + _LISTED, "select relative_path, id, case when id is null then 'new' when l.file_size is null then 'vanished' when not missing and l.file_size = o.file_size and abs(l.file_mtime - o.file_mtime) < 1e-6 then 'unchanged' else 'changed' end as kind from own o full join listed l using (relative_path)")
+def diff_listing(s, d):
+    p = views.photos(s, d)
+    return scan.diff_listing(p, _listing(p)).select("relative_path", "id", "kind")
+
+
+@register(PHOTOS_SQL + _LISTED, "select relative_path, case when l.file_mtime is null then o.file_mtime else l.file_mtime end as file_mtime, case when l.file_mtime is null then o.missing else false end as missing, case when l.file_mtime is null then o.sha256 else o.sha256 end as sha256 from photos o full join listed l using (relative_path)")
+def apply_listing(s, d):
+    p = views.photos(s, d)
+    return scan.apply_listing(p, _listing(p)).select("relative_path", "file_mtime", "missing", "sha256")
+
+
+@register(PHOTOS_SQL + _LISTED, "select id, missing or (source = 'local' and source_ref is null and relative_path not in (select relative_path from listed)) as missing from photos")
+def mark_missing(s, d):
+    p = views.photos(s, d)
+    return scan.mark_missing(p, scan.diff_listing(p, _listing(p)).filter("kind = 'vanished'")).select("id", "missing")
+
+
+_MOVED = "v as (select *, row_number() over (partition by file_size, sha256 order by captured_at, id) as n from photos where id % 4 = 0), w as (select *, 'to/' || relative_path as path, row_number() over (partition by file_size, sha256 order by 'to/' || relative_path) as n from photos where id % 4 = 1),"
+
+
+@register(PHOTOS_SQL + _MOVED, "select v.id, w.path as new_path from v join w using (file_size, sha256, n)")
+def reconcile_hashed(s, d):
+    p = views.photos(s, d).withColumn("file_mtime", F.lit(0.0)).withColumn("root_id", F.lit(None).cast("long"))
+    return scan.reconcile_moves(p.filter("id % 4 = 0"), p.filter("id % 4 = 1").withColumn("relative_path", F.concat(F.lit("to/"), "relative_path")))
+
+
+@register()
+def reconcile_mixed(s, d):
+    """Some vanished rows have no hash, so their groups are walked in order."""
+    p = views.photos(s, d).withColumn("file_mtime", F.lit(0.0)).withColumn("root_id", F.lit(None).cast("long"))
+    gone = p.filter("id % 4 = 0").withColumn("sha256", F.when(F.col("id") % 12 > 0, F.col("sha256")))
+    return scan.reconcile_moves(gone, p.filter("id % 4 = 1").withColumn("relative_path", F.concat(F.lit("to/"), "relative_path")))
+
+
+_SRC = "own as (select * from photos where source_ref is not null), listed as (select source_ref, relative_path, file_size, file_mtime, case when id % 3 = 0 then 'selected' else 'optional' end as st from own where id % 7 <> 0 and source_ref < 3),"
+
+
+@register(PHOTOS_SQL + _SRC, "select o.id, case when l.st is null then 'vanished' when not o.missing and o.status = l.st then 'unchanged' else 'changed' end as kind from own o left join listed l using (source_ref, relative_path) where source_ref in (select source_ref from listed)")
+def scan_sources(s, d):
+    p = views.photos(s, d).filter("source_ref is not null")
+    listed = p.filter("id % 7 <> 0 and source_ref < 3").select(F.col("source_ref").alias("root_id"), "relative_path", "file_size", "file_mtime", "id")
+    named = listed.filter("id % 3 = 0").select(F.col("root_id").alias("source_id"), "relative_path", F.lit("selected").alias("status"))
+    p = p.withColumn("relative_path", paths.sentinel(F.col("source_ref"), F.col("relative_path")))
+    roots = p.select(F.col("source_ref").alias("id")).distinct().select("id", F.lit("local").alias("kind"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"))
+    return scan.scan_sources(p, listed.drop("id"), roots, named)[0].select("id", "kind")
+
+
+_FOLD = ACTIONS_SQL + PHOTOS_SQL + """ok as (select a.*, p.sha256 from actions a join photos p on p.id = a.photo_id where not p.missing),
+last as (select sha256, max_by(photo_id, {'t': ts, 'a': action_id}) as who, max_by(status, {'t': ts, 'a': action_id}) as st from ok group by sha256),
+gone as (select distinct photo_id from ok where status <> 'optional'),"""
+
+
+@register(_FOLD, """select id, new_status as status, case when status = 'optional' and (follows or id in (select photo_id from gone)) and original_path = '' and source = 'local' then relative_path else original_path end as original_path, new_status <> status as changed
+ from (select p.*, coalesce(l.who is not null and p.id <> l.who and not p.missing, false) as follows, case when p.id = l.who then l.st when l.who is not null and not p.missing then 'rejected' else p.status end as new_status from photos p left join last l using (sha256))""")
+def fold_actions(s, d):
+    return decisions.fold_actions(views.photos(s, d), views.actions(s, d)).select("id", "status", "original_path", "changed")
+
+
+@register(ACTIONS_SQL + PHOTOS_SQL, "select action_id, case when p.id is null then 'unknown photo' else 'conflict' end as error from actions a left join photos p on p.id = a.photo_id where p.id is null or p.missing")
+def action_errors(s, d):
+    return decisions.validate_actions(views.actions(s, d), views.photos(s, d))[1].select("action_id", "error")
+
+
+_RFOLD = ACTIONS_SQL + PHOTOS_SQL + "acts as (select a.*, p.account, p.remote_id from actions a join photos p on p.id = a.photo_id and p.source = 'icloud'), w as (select account, remote_id, max_by(status, {'t': ts, 'a': action_id}) as status from acts where status <> 'selected' group by 1, 2), old as (select account, remote_id, 'rejected' as status from photos where source = 'icloud' and id % 26 = 0),"
+
+
+@register(_RFOLD, "select * from old where (account, remote_id) not in (select (account, remote_id) from w) union all select * from w where status <> 'optional'")
+def remote_decisions(s, d):
+    p = views.photos(s, d)
+    old = p.filter("source = 'icloud' and id % 26 = 0").select("account", "remote_id", F.lit("rejected").alias("status"))
+    return decisions.fold_remote_actions(p, old, views.actions(s, d))[1]
+
+
+_RES = "r as (select photo_a as action_id, photo_a, photo_b, ['keep_left', 'keep_right', 'keep_both', 'defer', 'what'][1 + photo_a % 5] as action from pairs where photo_a % 4 = 0),"
+
+
+@register(PHOTOS_SQL + PAIRS_SQL + _RES, "select action_id * 2 as action_id, case action when 'keep_left' then photo_a else photo_b end as photo_id, 'selected' as status from r where action in ('keep_left', 'keep_right') union all select action_id * 2 + 1, case action when 'keep_left' then photo_b else photo_a end, 'rejected' from r where action in ('keep_left', 'keep_right')")
+def pair_resolutions(s, d):
+    pairs = views.pairs(s, d)
+    names = F.array(*(F.lit(x) for x in ("keep_left", "keep_right", "keep_both", "defer", "what")))
+    r = pairs.filter("photo_a % 4 = 0").select(F.col("photo_a").alias("action_id"), F.lit("2024-02-01").cast("timestamp").alias("ts"), "photo_a", "photo_b", F.element_at(names, (1 + F.col("photo_a") % 5).cast("int")).alias("action"))
+    return decisions.resolve_pairs(pairs, r)[1].select("action_id", "photo_id", "status")
+
+
+_DEST = r"""p as (select id, case id % 3 when 0 then 'selected/' when 1 then 'rejected/' else '' end || case when id % 4 = 0 then '' else 'a/' end || 'x' || id || '.jpg' as path, case when id % 5 = 0 then 'o/x.jpg' else '' end as orig, provenance, ['selected', 'rejected', 'optional'][1 + id % 7 % 3] as st from photos),
+q as (select *, regexp_extract(path, '[^/]*$') as name, case when path like 'selected/%' or path like 'rejected/%' then substr(path, 10) else path end as rest, path like 'selected/%' as sel, path like 'selected/%' or path like 'rejected/%' as placed from p),
+o as (select *, case when orig <> '' then orig when not placed then path when contains(rest, '/') then rest when provenance <> '' then provenance || '/' || name else name end as origin from q),"""
+
+
+@register(PHOTOS_SQL + _DEST, "select id, case st when 'selected' then 'selected/' || name when 'rejected' then 'rejected/' || case when sel then origin else rest end else origin end as dest from o")
+def destinations(s, d):
+    i = F.col("id")
+    top = F.when(i % 3 == 0, "selected/").when(i % 3 == 1, "rejected/").otherwise("")
+    path = F.concat(top, F.when(i % 4 == 0, "").otherwise("a/"), F.lit("x"), i.cast("string"), F.lit(".jpg"))
+    st = F.element_at(F.array(F.lit("selected"), F.lit("rejected"), F.lit("optional")), (1 + i % 7 % 3).cast("int"))
+    return views.photos(s, d).select("id", moves.dest_path(path, F.when(i % 5 == 0, "o/x.jpg").otherwise(""), F.col("provenance"), st).alias("dest"))
+
+
+@register()
+def unique_names(s, d):
+    """Photos flattened into one folder by a few names, so that most clash."""
+    p = views.photos(s, d)
+    plan = p.select(F.col("id").alias("key"), F.col("id").alias("ord"), F.concat(F.lit("selected/IMG_"), (F.col("id") % 997).cast("string"), F.lit(".jpg")).alias("path"))
+    there = p.filter("id % 10 = 0").select(F.concat(F.lit("selected/IMG_"), (F.col("id") % 997).cast("string"), F.lit(".jpg")).alias("path")).distinct()
+    return moves.assign_unique(plan, there)
+
+
+@register()
+def move_plan(s, d):
+    p = views.photos(s, d)
+    there = p.filter("not missing").select(F.col("relative_path").alias("path"))
+    return moves.plan_moves(p, p.filter("status = 'optional'").select("id", F.lit("selected").alias("new_status")), there)
+
+
+@register()
+def flatten_plan(s, d):
+    p = views.photos(s, d).withColumn("relative_path", F.concat(F.lit("selected/"), "relative_path"))
+    return moves.plan_flatten(p, p.select("relative_path"), p.filter("remote_id is not null").select("account", "remote_id", "relative_path"))[0]
+
+
+_EXPORT = "f as (select id, 'selected/' || regexp_extract(relative_path, '[^/]*$') as path, file_size, file_mtime from photos where not missing),"
+
+
+@register(PHOTOS_SQL + _EXPORT, "select action, count(*) as n from (select case when id % 3 = 0 then 'skip' else 'copy' end as action from f) group by 1")
+def export_counts(s, d):
+    return moves.export_report(_export(s, d))
+
+
+def _export(s, d):
+    f = views.photos(s, d).filter("not missing").select("id", F.concat(F.lit("selected/"), paths.name_of("relative_path")).alias("relative_path"), "file_size", "file_mtime", "captured_at")
+    there = f.filter("id % 3 = 0").select(paths.name_of("relative_path").alias("name"), "file_size", (F.col("file_mtime") + 1).alias("file_mtime"))
+    return moves.plan_export(f, f, there.unionByName(f.filter("id % 3 = 1").select(paths.name_of("relative_path").alias("name"), F.lit(-1).cast("long").alias("file_size"), "file_mtime")))
+
+
+@register(PHOTOS_SQL + _EXPORT, "select path as relative_path, case when id % 3 = 0 then 'skip' else 'copy' end as action, case when id % 3 = 1 then regexp_replace(substr(path, 10), '(\\.[a-z]+)$', ' (1)\\1') else substr(path, 10) end as target from f")
+def export_plan(s, d):
+    return _export(s, d)
+
+
+@register(PHOTOS_SQL, "select id, strftime(captured_at, '%Y-%m-%d') || '_' || regexp_extract(relative_path, '[^/]*$') as dated, case when remote_filename <> '' then replace(remote_filename, '.HEIC', case when id % 2 = 0 then '.png' else '.jpg' end) else coalesce(remote_id, 'r') || '.jpg' end as target from photos")
+def target_names(s, d):
+    dated = paths.export_name(paths.name_of("relative_path"), F.col("captured_at"), True)
+    target = paths.remote_target_name(F.col("remote_filename"), F.coalesce("remote_id", F.lit("r")), F.col("id") % 2 == 0)
+    return views.photos(s, d).select("id", dated.alias("dated"), target.alias("target"))
+
+
+@register(PHOTOS_SQL, "select id, 'n' || id as target, case when status = 'selected' and not missing then (case when id % 4 = 0 then 'restore' else 'keep' end) when id % 4 = 0 then 'gone' when id % 4 = 1 then 'modified' else 'remove' end as action from photos")
+def export_reconciliation(s, d):
+    p = views.photos(s, d)
+    ledger = p.select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), "file_size", "file_mtime")
+    there = ledger.filter("id % 4 <> 0").select("name", F.when(F.col("id") % 4 == 1, F.col("file_size") + 1).otherwise(F.col("file_size")).alias("file_size"), "file_mtime")
+    return moves.reconcile_export(p, ledger, there)
+
+
+@register(FILES_SQL, "select doc_id as source_id, relative_path, string_split(relative_path, '/')[1] as status from files where doc_id % 6 in (0, 1)")
+def adopted_statuses(s, d):
+    return moves.adopt_statuses(views.files(s, d).select(F.col("doc_id").alias("root_id"), "relative_path"))
+
+
+_SLUG = "trim(regexp_replace(lower(trim(account)), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+@register(REMOTE_SQL, f"select '@icloud/' || account || '/' || remote_id as relative_path, case when (account, remote_id) in (select (account, remote_id) from decisions) then 'rejected' else 'optional' end as status, {_SLUG} as provenance, size as file_size, epoch_us(captured_at) as captured_us, media_type, filename as remote_filename from items")
+def remote_pull(s, d):
+    named, got = views.remote_state(s, d)
+    items = remote.new_items(views.photos(s, d), remote.read_remote_listing(views.remote_listing(s, d)), got)
+    return remote.remote_rows(items, named).select("relative_path", "status", "provenance", "file_size", us("captured_at").alias("captured_us"), "media_type", "remote_filename")
+
+
+@register(PHOTOS_SQL, "select id, account, remote_id from photos where source = 'icloud' and status = 'selected' and id % 4 <> 0 and account in ('acct-1', 'acct-2', 'acct-3')")
+def download_queue(s, d):
+    p = views.photos(s, d)
+    got = p.filter("source = 'icloud' and id % 4 = 0").select("account", "remote_id")
+    up = p.select("account").distinct().filter(F.col("account").isin("acct-1", "acct-2", "acct-3"))
+    return remote.download_queue(p, got, up)[0].select("id", "account", "remote_id")
+
+
+@register(PHOTOS_SQL, "select id, case when media_type = 'video' then 'thumb_image' else 'thumb' end as variant, case when captured_at >= timestamp '2024-01-10' then 0 else 1 end as prio from photos where source = 'icloud' and (id % 3 <> 0 or (media_type = 'video' and id % 5 = 0))")
+def preview_worklist(s, d):
+    p = views.photos(s, d)
+    have = p.filter("source = 'icloud' and id % 3 = 0").select("account", "remote_id", (F.col("id") % 5 > 0).alias("is_jpeg"))
+    return remote.preview_worklist(p, have, "2024-01-10").select("id", "variant", "prio")
+
+
+@register(PHOTOS_SQL, "select id, case when source = 'icloud' and id % 2 = 0 then 'local' else source end as source, case when source = 'icloud' and id % 2 = 0 then 'selected/' || remote_id || '.jpg' else relative_path end as relative_path, epoch_us(captured_at) as captured_us from photos")
+def landed_downloads(s, d):
+    p = views.photos(s, d)
+    none = p.filter("source = 'icloud' and id % 2 = 0").select("account", "remote_id", F.concat(F.lit("selected/"), "remote_id", F.lit(".jpg")).alias("relative_path"), F.lit(1).cast("long").alias("file_size"), F.lit(2.0).alias("file_mtime"))
+    landed = none.select("*", F.lit(None).cast("string").alias("clip_path"), F.lit(None).cast("long").alias("clip_size"), F.lit(None).cast("double").alias("clip_mtime"))
+    empty = landed.select("account", "remote_id", "relative_path").limit(0)
+    rows = remote.land_downloads(p, landed, empty, landed.select("account", "remote_id", F.lit("rejected").alias("status")))[0]
+    return rows.select("id", "source", "relative_path", us("captured_at").alias("captured_us"))
+
+
+@register(PHOTOS_SQL, "select id from photos where not (source = 'icloud' and account = 'acct-1')")
+def disconnected(s, d):
+    return remote.disconnect(views.photos(s, d), "acct-1")[0].select("id")
+
+
+@register(PHOTOS_SQL, "select account, epoch_us(case when account in ('acct-1', 'acct-2') then max(captured_at) else timestamp '2024-01-05' end) as cursor_us from photos where account <> '' group by account")
+def advanced_cursors(s, d):
+    p = views.photos(s, d).filter("account <> ''")
+    states = p.select("account").distinct().withColumn("cursor", F.lit("2024-01-05").cast("timestamp"))
+    full = p.select("account").distinct().filter(F.col("account").isin("acct-1", "acct-2"))
+    return remote.advance_cursor(states, p, full).select("account", us("cursor").alias("cursor_us"))
+
+
+@register(PHOTOS_SQL, "select account, count(*) filter (id % 2 = 0 and status <> 'optional') as n_decisions, count(*) filter (id % 2 = 1) as n_downloaded from photos where source = 'icloud' group by account")
+def account_documents(s, d):
+    p = views.photos(s, d).filter("source = 'icloud'")
+    states = p.groupBy("account").agg(F.max("captured_at").alias("cursor"))
+    docs = state.account_documents(states, p.filter("id % 2 = 0").select("account", "remote_id", "status"), p.filter("id % 2 = 1").select("account", "remote_id", "relative_path"))
+    return docs.select("account", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("decisions", "downloaded")))
+
+
+@register(None, "select cast(ts as date) as day, count(*) as n from events group by 1")
+def streamed_daily_counts(s, d):
+    """W5 run over the event table as a stream until it has seen all of it."""
+    from photolake.session import shared_dir
+    from photolake.streaming.jobs import stream_daily_counts
+
+    s.conf.set("spark.sql.session.timeZone", "UTC")
+    kind = table(s, d, "events").schema
+    rows = s.readStream.schema(kind).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("captured_at"))
+    name = f"daily_{uuid.uuid4().hex}"
+    run = stream_daily_counts(rows, "3650 days").writeStream.format("memory").queryName(name).outputMode("complete")
+    run.option("checkpointLocation", f"{shared_dir(s)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return s.table(name).select(F.to_date("day").alias("day"), "n")

@@ -96,9 +96,10 @@ def stream_near_duplicates_bounded(photos: DataFrame, lateness: str = "1 minute"
     from photolake.functions.hashing import phash_bits
 
     rows = photos.filter("not missing and source = 'local'").withColumn("bits", phash_bits(F.col("phash"))).filter("bits is not null").withWatermark("captured_at", lateness)
-    a = rows.select(F.col("id").alias("a"), F.col("captured_at").alias("a_ts"), F.col("sha256").alias("a_sha"), F.col("bits").alias("a_bits"))
-    b = rows.select(F.col("id").alias("b"), F.col("captured_at").alias("b_ts"), F.col("sha256").alias("b_sha"), F.col("bits").alias("b_bits"))
-    near = F.expr(f"b_ts >= a_ts and b_ts <= a_ts + interval {window_s} seconds and (b_ts > a_ts or b > a)")
+    bucket = F.floor(F.unix_micros("captured_at") / (window_s * 1_000_000))
+    a = rows.select(F.explode(F.array(bucket, bucket + 1)).alias("bucket"), F.col("id").alias("a"), F.col("captured_at").alias("a_ts"), F.col("sha256").alias("a_sha"), F.col("bits").alias("a_bits"))
+    b = rows.select(bucket.alias("bucket2"), F.col("id").alias("b"), F.col("captured_at").alias("b_ts"), F.col("sha256").alias("b_sha"), F.col("bits").alias("b_bits"))
+    near = F.expr(f"bucket = bucket2 and b_ts >= a_ts and b_ts <= a_ts + interval {window_s} seconds and (b_ts > a_ts or b > a)")
     distance = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
     same = F.coalesce(F.col("a_sha") == F.col("b_sha"), F.lit(False))
     return a.join(b, near).filter(~same & (distance <= max_hamming)).select(F.least("a", "b").alias("photo_a"), F.greatest("a", "b").alias("photo_b"), distance.cast("short").alias("hamming_distance"))
