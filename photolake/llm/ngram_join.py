@@ -24,6 +24,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Wanted share of pairs at exactly the threshold that the bands propose; more alike pairs are found more surely.
 RECALL = 0.9999
+#: Bands with more documents than this are verified in blocks of BLOCK documents by BLOCK.
+CROWDED, BLOCK = 32, 256
 #: Longest signature that is worth its time.
 MOST_HASHES = 96
 
@@ -125,12 +127,71 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
-def similar_pairs(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(membership, links).
+def _crowd_links(similarity: float, bands: int):
+    """For applyInArrow over the documents of one crowded band that fall into two blocks i <= j.
 
-    membership: doc_id, representative (smallest doc_id with the same n-gram
-    set), copies (size of that class). links: a < b, similarity of
-    representatives at or above the threshold.
+    Verifies all pairs between the blocks (within, if i = j) on full n-gram
+    sets. Gives for each document the links counted here, and the smallest
+    document that those links lead to within the group; no pairs.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, copies, block = (t.column(c).to_numpy() for c in ("doc_id", "copies", "block"))
+        pos = t.column("pos")[0].as_py()
+        n = len(ids)
+        lists = t.column("grams").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        gram, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), size)
+        order = np.argsort(gram)
+        gram, row = gram[order], row[order]
+        same = np.zeros(len(gram) + 1, bool)
+        same[1:-1] = gram[1:] == gram[:-1]
+        shared = same[:-1] | same[1:]  # others are in no intersection
+        gram, row = gram[shared], row[shared]
+        code = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+        both = np.zeros((n, n), np.float32)
+        for first in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            x, y = np.searchsorted(code, [first, first + 4096])
+            held = np.zeros((n, 4096), np.float32)
+            held[row[x:y], code[x:y] - first] = 1
+            both += held @ held.T
+        alike = both / (size[:, None] + size[None, :] - both) >= similarity
+        np.fill_diagonal(alike, False)
+        if (block != block[0]).any():
+            alike &= block[:, None] != block[None, :]
+        # A pair that meets in several crowded bands is counted in the first of them.
+        crowd = np.repeat(-1 - np.arange(n, dtype=np.int64)[:, None], bands, axis=1)
+        for i, own in enumerate(t.column("crowds").to_pylist()):
+            for x in own:
+                crowd[i, x["pos"]] = x["band"] & 0x7FFFFFFFFFFFFFFF
+        p, q = np.nonzero(np.triu(alike))
+        earlier = np.zeros(len(p), bool)
+        for k in range(pos):
+            earlier |= crowd[p, k] == crowd[q, k]
+        p, q = p[~earlier], q[~earlier]
+        near = np.bincount(p, minlength=n) + np.bincount(q, minlength=n)
+        others = np.bincount(p, copies[q], minlength=n) + np.bincount(q, copies[p], minlength=n)
+        by_id = np.argsort(np.argsort(ids, kind="stable"))
+        label, before = by_id, None
+        while before is None or (label != before).any():
+            before, label = label, np.minimum(label, np.where(alike, label[None, :], n).min(axis=1))
+        root = np.sort(ids)[label]
+        return pa.table({"representative": ids, "others": others.astype(np.int64), "n_near": near.astype(np.int64), "root": root})
+
+    return run
+
+
+def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, crowded: int = CROWDED, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, counts, edges).
+
+    members: doc_id, representative (smallest doc_id with the same n-gram set),
+    copies (size of that class). counts: representative, others (documents of
+    the classes linked to it), n_near (number of those classes). edges: pairs
+    of representatives that connect what links connect.
+
+    Bands with up to `crowded` documents propose pairs by a join. In a more
+    crowded band all pairs are verified in blocks, without ever being rows.
     """
     bands, rows = choose_bands(similarity, recall)
     sig = stash(signatures(docs, bands, rows, n), "signatures")
@@ -138,22 +199,43 @@ def similar_pairs(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARIT
     own = worded.groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("copies"))
     members = worded.select("doc_id", "d1", "d2", "size").join(own, ["d1", "d2", "size"]).select("doc_id", "representative", "copies")
     members = stash(members.unionByName(sig.filter("size = 0").select("doc_id", F.col("doc_id").alias("representative"), F.lit(1).cast("long").alias("copies"))), "members")
-    first = worded.join(members.select("doc_id", "representative"), "doc_id").filter("doc_id = representative").select("doc_id", "size", "bands").dropDuplicates(["doc_id"])
-    posted = first.select("doc_id", "size", F.explode("bands").alias("band"))
-    a, b = posted.toDF("a", "size_a", "band"), posted.toDF("b", "size_b", "band")
+    chosen = members.filter("doc_id = representative").select("doc_id", "copies").dropDuplicates(["doc_id"])
+    first = worded.select("doc_id", "size", "bands").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    posted = stash(first.select("doc_id", "size", "copies", F.posexplode("bands").alias("pos", "band")), "posted")
+    crowds = stash(posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded), "crowds")
+    inside = stash(posted.join(crowds, "band"), "inside")
+    of_doc = inside.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "band")).alias("crowds"))  # at most one entry for each band
+
+    few = posted.join(crowds, "band", "left_anti")
+    a, b = few.select("band", F.col("doc_id").alias("a"), F.col("size").alias("size_a")), few.select("band", F.col("doc_id").alias("b"), F.col("size").alias("size_b"))
     # A pair below this ratio of sizes can't reach the threshold.
     near = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
     pairs = stash(a.join(b, "band").filter(near).select("a", "b").distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(of_doc.select("doc_id")).distinct()
     sets = stash(ngram_sets(docs.join(needed, "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]), "sets")
-    left, right = sets.toDF("a", "grams_a"), sets.toDF("b", "grams_b")
+    keys = of_doc.select("doc_id", F.transform("crowds", lambda x: x["band"]).alias("keys"))
+    met = F.coalesce(F.arrays_overlap("keys_a", "keys_b"), F.lit(False))  # verified in a crowded band
+    apart = pairs.join(keys.toDF("a", "keys_a"), "a", "left").join(keys.toDF("b", "keys_b"), "b", "left").filter(~met).select("a", "b")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     share = both / (F.size("grams_a") + F.size("grams_b") - both)
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", share.alias("similarity")).filter(F.col("similarity") >= similarity)
-    return members, stash(links, "links")
+    links = apart.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b").select("a", "b", share.alias("similarity"))
+    links = stash(links.filter(F.col("similarity") >= similarity).select("a", "b"), "links")
+
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    spread = inside.withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.select("doc_id", "copies", "band", "pos", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    spread = spread.join(sets, "doc_id").join(of_doc, "doc_id")
+    verified = spread.groupBy("band", "i", "j").applyInArrow(_crowd_links(similarity, bands), "representative long, others long, n_near long, root long")
+    verified = stash(verified, "verified")
+
+    ends = links.select(F.col("a").alias("representative"), F.col("b").alias("other")).union(links.select("b", "a"))
+    beside = ends.join(chosen.toDF("other", "others"), "other").select("representative", "others", F.lit(1).cast("long").alias("n_near"))
+    counts = beside.union(verified.select("representative", "others", "n_near")).groupBy("representative").agg(F.sum("others").alias("others"), F.sum("n_near").alias("n_near"))
+    edges = links.union(verified.filter("root <> representative").select("representative", "root"))
+    return members, counts, edges
 
 
-def join_documents(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def join_documents(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id, representative, n_links, n_near of every document.
 
     class_id is the smallest doc_id that links lead to; n_links counts the
@@ -163,14 +245,9 @@ def join_documents(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARI
     classes of their own. Rows that repeat a doc_id with one text count as
     copies. Extra columns are left out; an empty table gives an empty result.
     """
-    members, links = similar_pairs(docs, n, similarity, recall)
-    size = members.select("representative", "copies").distinct()
-    ends = links.select(F.col("a").alias("representative"), F.col("b").alias("other")).union(links.select("b", "a"))
-    beside = ends.join(size.select(F.col("representative").alias("other"), "copies"), "other")
-    beside = beside.groupBy("representative").agg(F.sum("copies").alias("others"), F.count(F.lit(1)).alias("n_near"))
-    group = components(links.select("a", "b")).withColumnRenamed("node", "representative")
-    facts = beside.join(group, "representative", "left")
-    out = members.join(facts, "representative", "left")
+    members, counts, edges = similarities(docs, **how)
+    group = components(edges.toDF("a", "b")).withColumnRenamed("node", "representative")
+    out = members.join(counts, "representative", "left").join(group, "representative", "left")
     return out.select(
         "doc_id",
         F.coalesce("component", "representative").alias("class_id"),
