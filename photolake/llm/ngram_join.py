@@ -212,7 +212,8 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     near = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
     pairs = stash(a.join(b, "band").filter(near).select("a", "b").distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(of_doc.select("doc_id")).distinct()
-    sets = stash(ngram_sets(docs.join(needed, "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]), "sets")
+    # Ids grow with the documents, so this join is planned as a shuffle at every size.
+    sets = stash(ngram_sets(docs.hint("merge").join(needed, "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]), "sets")
     keys = of_doc.select("doc_id", F.transform("crowds", lambda x: x["band"]).alias("keys"))
     met = F.coalesce(F.arrays_overlap("keys_a", "keys_b"), F.lit(False))  # verified in a crowded band
     apart = pairs.join(keys.toDF("a", "keys_a"), "a", "left").join(keys.toDF("b", "keys_b"), "b", "left").filter(~met).select("a", "b")
@@ -260,7 +261,7 @@ def join_documents(docs: DataFrame, **how) -> DataFrame:
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents whose doc_id is the smallest of their class, all columns kept. Rows that repeat a doc_id stay together."""
     kept = join_documents(docs, **how).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
