@@ -65,13 +65,14 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._photolake_path = path
+    return out
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Remove the files of a stash() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_stash(*stashed: DataFrame) -> None:
+    """Remove the files of stash() results that nothing will read any more, neither directly nor through a frame not written yet."""
+    for df in stashed:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._photolake_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
