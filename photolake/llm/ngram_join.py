@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake.llm.textnum import U, chunks, load, mix, shingles, words
-from photolake.session import stash, table, use_package
+from photolake.session import drop_stash, stash, table, use_package
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -119,7 +119,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").union(least.select("u", "m")).distinct()
-        now = stash(small, "edges")
+        before, now = now, stash(small, "edges")
+        drop_stash(before)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
@@ -202,6 +203,7 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     chosen = members.filter("doc_id = representative").select("doc_id", "copies").dropDuplicates(["doc_id"])
     first = worded.select("doc_id", "size", "bands").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     posted = stash(first.select("doc_id", "size", "copies", F.posexplode("bands").alias("pos", "band")), "posted")
+    drop_stash(sig)
     crowds = stash(posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded), "crowds")
     inside = stash(posted.join(crowds, "band"), "inside")
     of_doc = inside.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "band")).alias("crowds"))  # at most one entry for each band
@@ -211,6 +213,7 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     # A pair below this ratio of sizes can't reach the threshold.
     near = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
     pairs = stash(a.join(b, "band").filter(near).select("a", "b").distinct(), "pairs")
+    drop_stash(posted, crowds)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(of_doc.select("doc_id")).distinct()
     # Ids grow with the documents, so this join is planned as a shuffle at every size.
     sets = stash(ngram_sets(docs.hint("merge").join(needed, "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]), "sets")
@@ -228,6 +231,7 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     spread = spread.join(sets, "doc_id").join(of_doc, "doc_id")
     verified = spread.groupBy("band", "i", "j").applyInArrow(_crowd_links(similarity, bands), "representative long, others long, n_near long, root long")
     verified = stash(verified, "verified")
+    drop_stash(inside, pairs, sets)
 
     ends = links.select(F.col("a").alias("representative"), F.col("b").alias("other")).union(links.select("b", "a"))
     beside = ends.join(chosen.toDF("other", "others"), "other").select("representative", "others", F.lit(1).cast("long").alias("n_near"))

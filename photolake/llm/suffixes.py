@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake.llm.textnum import U, Words, _power, chunks, load, mix, words
-from photolake.session import stash, table, use_package
+from photolake.session import drop_stash, stash, table, use_package
 
 #: Least length of a passage in words.
 LEAST = 50
@@ -157,6 +157,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataF
     use_package(docs.sparkSession)
     suffixes = stash(sparse_suffixes(docs, key, least), "suffixes")
     windows = stash(extended(docs, matching(suffixes), key, least), "windows")
+    drop_stash(suffixes)
     shared = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other")
     found = windows.join(shared.select("window", "owner"), "window").select("doc_id", (F.col("owner") < F.col("doc_id")).alias("duplicate"), "word")
 
