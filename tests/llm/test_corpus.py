@@ -249,6 +249,13 @@ def test_wrapper_generalises():
     assert (("p", "#", "/p"), True, False) in shape and (("table",), False, True) in shape
 
 
+def test_marked_inline_tags_end():
+    skip = '<body><a class="skip-link" href="#m">Skip</a><div><article><h1>Title</h1><span class="share">Share <span>it</span> now</span><p>One <span class="ad">Ad</span> rest <b>of</b> it</p></article></div></body>'
+    assert wrappers.extract(skip, None) == "Title One rest of it"
+    assert wrappers.extract('<div><p>One <a class="promo"><b>x</b><p>Two</p></div><p>Three', None) == "One Two Three"
+    assert wrappers.extract("<div><p>One</span> two</b> three</p></div>", None) == "One two three"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
