@@ -256,6 +256,22 @@ def test_marked_inline_tags_end():
     assert wrappers.extract("<div><p>One</span> two</b> three</p></div>", None) == "One two three"
 
 
+@pytest.mark.parametrize("start, end", [('<body class="has-sidebar">', "</body>"), ('<body><div class="no-sidebar overflow-hidden">', "</div></body>"), ('<html class="js-nav-open"><body><form><div>', "</div></form></body></html>")])
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ('<article class="post category-legal">', "</article>"), ('<div role="main">', "</div>"), ("<section>", "</section>")])
+def test_layout_words_keep_the_article(start, end, open_, close):
+    menu = '<div class="menu"><p>Home</p></div><nav>Nav</nav>'
+    page = f"{start}{menu}{open_}<h1>Title</h1><p>{'Long text. ' * 20}</p>{close}{end}"
+    want = f"Title {'Long text. ' * 20}".strip()
+    assert wrappers.extract(page, None) == want
+
+
+def test_marked_regions_still_go():
+    page = '<body class="nav-open"><div class="no-sidebar"><article><p>A long enough article</p><div class="share">S</div></article><div class="comments"><article><p>Nice</p></article></div></div><p>(c) me</p></body>'
+    assert wrappers.extract(page, None) == "A long enough article"
+    assert wrappers.extract('<main><article class="tags"><p>Text</p><article class="comment"><p>Nice</p></article></article><aside>x</aside></main>', None) == "Text"
+    assert wrappers.extract('<div><p>Some text here</p></div><form class="search"><p>Mail</p></form><div class="comments"><p>Nice post</p></div>', None) == "Some text here"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
