@@ -272,6 +272,19 @@ def test_marked_regions_still_go():
     assert wrappers.extract('<div><p>Some text here</p></div><form class="search"><p>Mail</p></form><div class="comments"><p>Nice post</p></div>', None) == "Some text here"
 
 
+def test_template_text_goes_and_article_text_stays(spark):
+    menu, links = "<div><ul><li>Home</li><li>News</li><li>About</li></ul></div>", "<section><h4>More</h4><p>Link one</p><p>Link two</p></section>"
+    plain = lambda i: f"<body>{menu}<div><h1>Title {i}</h1>{''.join(f'<p>Text {i} {k}</p>' for k in range(1 + i % 3))}</div>{links if i % 2 else ''}</body>"
+    rows = [(i, "https://plain.org/", plain(i)) for i in range(24)] + [(100 + i, "https://art.org/", f"<article><h2>Summary</h2><p>Text {i}</p></article>") for i in range(24)]
+    rows += [(200 + i, "https://copies.org/", "<div><h1>One</h1><p>page</p></div>") for i in range(12)] + [(300, "https://copies.org/", "<div><h1>Other</h1><table></table></div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in wrappers.extract_pages(pages).collect()}
+    for i in range(24):
+        assert got[i] == " ".join([f"Title {i}", *(f"Text {i} {k}" for k in range(1 + i % 3))])
+        assert got[100 + i] == f"Summary Text {i}"
+    assert all(got[200 + i] == "One page" for i in range(12)) and got[300] == "Other"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
