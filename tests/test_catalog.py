@@ -256,3 +256,22 @@ def test_audit_and_empty_tables(spark):
     assert {r.status: r.n for r in audit.counts_by_status(p).collect()} == {"optional": 0, "selected": 0, "rejected": 0}
     assert audit.selected_bytes(p).first()[0] == 0 and timeline.neighbours(timeline.timeline(p)).count() == 0
     assert neardup.near_duplicates(p).count() == 0 and schemas.check_invariants(p).count() == 0
+
+
+def test_hashes_of_long_documents(spark, tmp_path):
+    import hashlib
+
+    import duckdb
+
+    import __spark_entry__ as e
+
+    texts = {1: "", 2: "short é", 3: "x" * 65536, 4: "x" * 65535 + "é tail", 5: "x" * 65535 + "é other tail", 6: "日本 " * 50_000}
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = e.queries()["content_hashes_whole"](spark, str(tmp_path)).select("doc_id", "sha256", "content_key")
+    got = {r.doc_id: (r.sha256, r.content_key) for r in df.collect()}
+    raw = {i: t.encode() for i, t in texts.items()}
+    assert got == {i: (hashlib.sha256(b).hexdigest(), hashlib.sha1(b[:65536] + str(len(texts[i])).encode()).hexdigest()) for i, b in raw.items()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {a: (b, c) for a, b, c in con.execute(f"select doc_id, sha256, content_key from ({e.oracle_sql()['content_hashes_whole']})").fetchall()} == got
