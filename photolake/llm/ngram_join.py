@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photolake.llm.keys import ODD, row_keys
 from photolake.llm.textnum import U, chunks, load, mix, shingles, words
 from photolake.session import drop_stash, stash, table, use_package
 
@@ -240,6 +241,21 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     return members, counts, edges
 
 
+def _classes(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """(documents with their _key, what join_documents gives with keys in place of doc_id)."""
+    keyed = row_keys(docs)
+    members, counts, edges = similarities(keyed.select(F.col("_key").alias("doc_id"), "text"), **how)
+    group = components(edges.toDF("a", "b")).withColumnRenamed("node", "representative")
+    out = members.join(counts, "representative", "left").join(group, "representative", "left")
+    return keyed, out.select(
+        "doc_id",
+        F.coalesce("component", "representative").alias("class_id"),
+        "representative",
+        (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+    )
+
+
 def join_documents(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id, representative, n_links, n_near of every document.
 
@@ -248,24 +264,23 @@ def join_documents(docs: DataFrame, **how) -> DataFrame:
     the different n-gram sets among them. A text of one to n-1 words has one
     shingle of all its words; null and wordless texts link to nothing and are
     classes of their own. Rows that repeat a doc_id with one text count as
-    copies. Extra columns are left out; an empty table gives an empty result.
+    copies. Rows without a doc_id, or whose doc_id names several texts, take
+    part by a key of their own (row_keys()), which comes after usual ids and is
+    the class_id of a class without any. Extra columns are left out; an empty
+    table gives an empty result.
     """
-    members, counts, edges = similarities(docs, **how)
-    group = components(edges.toDF("a", "b")).withColumnRenamed("node", "representative")
-    out = members.join(counts, "representative", "left").join(group, "representative", "left")
-    return out.select(
-        "doc_id",
-        F.coalesce("component", "representative").alias("class_id"),
-        "representative",
-        (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-    )
+    keyed, out = _classes(docs, **how)
+    # Only a key that row_keys() made differs from its doc_id.
+    made = stash(keyed.filter(F.col("_key") >= ODD).select(F.col("_key").alias("doc_id"), F.col("doc_id").alias("own"), F.lit(True).alias("_made")).distinct(), "made")
+    own = F.when(F.col("_made"), F.col("own")).otherwise(F.col("doc_id"))
+    return out.join(made, "doc_id", "left").select(own.alias("doc_id"), "class_id", "representative", "n_links", "n_near")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose doc_id is the smallest of their class, all columns kept. Rows that repeat a doc_id stay together."""
-    kept = join_documents(docs, **how).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The documents whose key (doc_id, see row_keys()) is the smallest of their class, all columns kept. Rows that repeat a doc_id and text stay together, as do those of one text without a doc_id."""
+    keyed, out = _classes(docs, **how)
+    kept = out.filter("doc_id = class_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.hint("merge").join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

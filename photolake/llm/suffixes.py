@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photolake.llm.keys import row_keys
 from photolake.llm.textnum import U, Words, _power, chunks, load, mix, words
 from photolake.session import drop_stash, stash, table, use_package
 
@@ -179,12 +180,14 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataF
 
     The rest of a text stays as it is, its pieces joined by one blank. A text
     of which nothing is left goes. All columns stay; a text without such
-    passages, a null one included, isn't touched.
+    passages, a null one included, isn't touched. Rows without a doc_id, or
+    whose doc_id names several texts, come after all others (row_keys()).
     """
     use_package(docs.sparkSession)
-    spans = repeated_spans(docs, least, key).filter("duplicate")
-    spans = stash(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans")), "spans")
-    joined = docs.join(spans, "doc_id", "left")
+    keyed = row_keys(docs)
+    spans = repeated_spans(keyed.select(F.col("_key").alias("doc_id"), "text"), least, key).filter("duplicate")
+    spans = stash(spans.groupBy(F.col("doc_id").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans")), "spans")
+    joined = keyed.join(spans, "_key", "left")
     names = docs.columns
     at, counts = names.index("text"), "n_chars" in names
 

@@ -153,6 +153,24 @@ def test_ngram_join_loses_no_link(spark, empty, texts, how):
     assert ngram_join.join_documents(empty, **how).count() == 0
 
 
+def test_rows_without_an_id_or_with_two_texts_under_one(spark):
+    r = random.Random(8)
+    a, b, c, d, e = (" ".join(f"v{r.randrange(4000)}" for _ in range(120)) for _ in range(5))
+    near = lambda t: t + " changed"
+    rows = [(None, a), (1, b), (None, near(b)), (7, c), (7, d), (9, near(c)), (10, near(d)), (None, None), (11, e), (7, near(d)), (12, "a short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    out = ngram_join.join_documents(docs).collect()
+    links = collections.Counter((x.doc_id, x.n_links) for x in out)
+    assert links == collections.Counter([(None, 0), (1, 1), (None, 1), (7, 1), (7, 2), (9, 1), (10, 2), (None, 0), (11, 0), (7, 2), (12, 0)])
+    assert {x.doc_id: x.class_id for x in out if x.doc_id in (1, 9, 10, 11, 12)} == {i: i for i in (1, 9, 10, 11, 12)}
+    kept = [(x.doc_id, x.text) for x in ngram_join.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (1, b), (9, near(c)), (10, near(d)), (None, None), (11, e), (12, "a short text")], key=str)
+    tail = " ".join(f"t{k}" for k in range(30))
+    two = spark.createDataFrame([(1, a), (7, tail + " " + a), (7, "short " + tail), (None, "x " + a), (None, None)], "doc_id long, text string").repartition(2)
+    cut = [(x.doc_id, x.text) for x in suffixes.remove_repeats(two).collect()]
+    assert sorted(cut, key=str) == sorted([(1, a), (7, tail), (7, "short " + tail), (None, "x"), (None, None)], key=str)
+
+
 def test_bands_meet_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999, 96)
     assert bands * rows <= 96 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
