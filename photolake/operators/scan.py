@@ -71,10 +71,17 @@ def _greedy(group: pd.DataFrame) -> pd.DataFrame:
     gone = group[group.vanished].sort_values(["captured_at", "id"])
     free = group[~group.vanished].sort_values("relative_path")
     left = dict(zip(free.relative_path, free.sha256, strict=True))
+    by_hash: dict[str, list[str]] = {}
+    for p, h in reversed(left.items()):
+        by_hash.setdefault(h, []).append(p)
     out = []
     for g in gone.itertuples():
+        to = None
         if isinstance(g.sha256, str) and g.sha256:
-            to = next((p for p, h in left.items() if h == g.sha256), None)
+            own = by_hash.get(g.sha256, [])
+            while own and to is None:
+                p = own.pop()
+                to = p if p in left else None
         else:
             to = next(iter(left)) if len(left) == 1 else None
         if to is not None:

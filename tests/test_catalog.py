@@ -275,3 +275,17 @@ def test_hashes_of_long_documents(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert {a: (b, c) for a, b, c in con.execute(f"select doc_id, sha256, content_key from ({e.oracle_sql()['content_hashes_whole']})").fetchall()} == got
+
+
+def test_large_mixed_group_is_walked_in_linear_time():
+    import time
+
+    import pandas as pd
+
+    n = 60_000
+    gone = pd.DataFrame({"id": range(n), "relative_path": None, "sha256": [None if i == n - 1 else f"h{n - i}" for i in range(n)], "captured_at": range(n), "vanished": True})
+    free = pd.DataFrame({"id": 0, "relative_path": [f"p{i:06}" for i in range(n)], "sha256": [f"h{i + 1}" for i in range(n)], "captured_at": 0, "vanished": False})
+    start = time.process_time()
+    got = scan._greedy(pd.concat([gone, free], ignore_index=True)).set_index("id").new_path
+    assert time.process_time() - start < 20
+    assert len(got) == n and all(got[i] == f"p{n - i - 1:06}" for i in range(n))
