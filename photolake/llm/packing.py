@@ -15,6 +15,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from photolake.session import stash, table, use_package
 CAPACITY = 2048
 #: Parts into which the pieces of one length are dealt for ranking.
 SALTS = 64
-#: Encoded words that a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Encoded words that a worker remembers; then it starts anew. Longer ones than LONG characters are not remembered.
+REMEMBERED, LONG = 500_000, 64
+#: Characters of new words that are encoded as one text; a longer word is a text of its own.
+BLOCK_CHARS = 8192
 
 
 class CapacityTree:
@@ -105,32 +108,63 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(plan, np.int64).reshape(-1, 6)
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Ids of whole texts as little-endian 32-bit integers; words seen before come from memory.
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t, {}
+    A tokenizer that drops white space and never merges across it gives the same
+    ids for space-separated parts as for the whole text. New parts are encoded
+    many to a text with MARK between them, a control character that becomes one
+    token of its own, at which the ids are cut. Other tokenizers, and parts that
+    hold MARK, get whole texts.
+    """
 
+    MARK = "\x01"
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[str, bytes] = {}
+        a, mark, b = self._whole(["Ab.", self.MARK, "7c"])
+        self.mark = int.from_bytes(mark, "little")
+        self.by_part = len(mark) == 4 and self._whole([f" Ab. {self.MARK}\n7c  ", f"Ab.\n\n 7c {self.MARK}\t", " \n"]) == [a + mark + b, a + b + mark, b""]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if self.MARK not in p]
+        sizes = np.cumsum([len(p) + 3 for p in plain])
+        cuts = np.searchsorted(sizes, np.arange(1, sizes[-1] // BLOCK_CHARS + 1) * BLOCK_CHARS, side="right").tolist() if plain else []
+        blocks = [plain[a:b] for a, b in zip([0, *cuts], [*cuts, len(plain)], strict=True) if a < b]
+        for block in blocks:
+            raw = self._whole([f" {self.MARK} ".join(block)])[0]
+            ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)).tolist()
+            self.known.update(zip(block, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)), strict=True))
+        odd = [p for p in parts if self.MARK in p]
+        self.known.update(zip(odd, self._whole(odd), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_part:
+            return self._whole(texts)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.known)
+        self._learn(list(new))
+        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        for p in new:
+            if len(p) > LONG:
+                del self.known[p]
+        return out
 
-def encode_words(parts: list[str], path: str) -> dict[str, bytes]:
-    """Ids of space-separated parts as little-endian 32-bit integers; parts seen before come from memory.
 
-    A tokenizer that drops white space and never merges across it gives the
-    same ids for the parts as for the whole text.
-    """
-    tokenizer, known = _encoder(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list(set(parts).difference(known))
-    for a in range(0, len(new), 4096):
-        block = new[a : a + 4096]
-        for part, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-            known[part] = np.array(e.ids, "<u4").tobytes()
-    return known
+@lru_cache(maxsize=4)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -143,14 +177,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     use_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = end_id.to_bytes(4, "little")
+        end, encoder = end_id.to_bytes(4, "little"), _encoder(path)
         for batch in batches:
             for part in chunks(batch, "text"):
-                split = [t.replace("\n", " ").split(" ") for t in text_array(part.column("text")).to_pylist()]
-                known = encode_words([w for s in split for w in s], path)
                 doc, piece, start, length, crc = [], [], [], [], []
-                for doc_id, s in zip(part.column("doc_id").to_pylist(), split, strict=True):
-                    ids = b"".join(map(known.__getitem__, s)) + end
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(text_array(part.column("text")).to_pylist()), strict=True):
+                    ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[a : a + 4 * capacity]
                         doc.append(doc_id)
