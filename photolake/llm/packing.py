@@ -32,6 +32,8 @@ SALTS = 64
 REMEMBERED, LONG = 500_000, 64
 #: Characters of new words that are encoded as one text; a longer word is a text of its own.
 BLOCK_CHARS = 8192
+#: Characters behind a word that no tokenizer of this kind merges with it.
+TRAILING = ".,;:!?*#$%&@=+/|~^_-()[]{}<>\""
 
 
 class CapacityTree:
@@ -136,6 +138,21 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
+        """New parts; of a Latin-1 word with punctuation behind it or with capitals, the bare word and the punctuation are encoded instead."""
+        whole, pieces = [], []
+        for p in parts:
+            bare = (p if p.isascii() or max(p) < "\u0100" else "").lower().rstrip(TRAILING)
+            if bare != p and bare.isalpha():
+                pieces.append((p, bare, p[len(bare) :]))
+            else:
+                whole.append(p)
+        more = {x for _, *own in pieces for x in own}.difference(self.known, whole)
+        self._encode_parts(whole + list(more))
+        known = self.known
+        for p, bare, tail in pieces:
+            known[p] = known[bare] + known[tail]
+
+    def _encode_parts(self, parts: list[str]) -> None:
         plain = [p for p in parts if self.MARK not in p]
         sizes = np.cumsum([len(p) + 3 for p in plain])
         cuts = np.searchsorted(sizes, np.arange(1, sizes[-1] // BLOCK_CHARS + 1) * BLOCK_CHARS, side="right").tolist() if plain else []
