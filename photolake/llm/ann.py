@@ -1,31 +1,39 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order, and posted under each
-of them in pivot inverted files. A query's pivots lead to the postings, from
-which the footrule distance between the two orders follows; the candidates of
-least distance are reranked by exact inner product. Rows and queries are dealt
-into blocks of bounded size, each pair of blocks is a group of its own, and
-only each group's best go on, so no task holds all rows or all queries.
+of them in pivot inverted files. A query walks the lists of its own nearest
+pivots, which gives the footrule distance between the two orders for the rows
+met there; the rows of least distance are reranked by exact inner product.
+
+Rows live in the cell of their nearest pivot. Neighbouring cells make up a
+bundle of about ROW_BLOCK rows, a larger cell is dealt into parts of that size,
+and each part has its inverted files to itself. A query goes only to bundles
+that hold a cell near it; how many cells that takes, and what cosine a footrule
+distance stands for, is learnt on a bounded sample. Rows longer than nearly all
+of the sample can be near to any query, and have a bundle that every query visits.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photolake.session import stash, table, use_package
+from photolake.session import drop_stash, stash, table, use_package
 
 NEIGHBOURS = 20
-#: Documented bounds: pivots are chosen among the rows of smallest hashed ids.
-PIVOTS = 512
-PIVOT_SAMPLE = 4000
-#: Pivots in a permutation.
-PREFIX = 128
-#: Share of a block's rows that is reranked for each query, and the least number.
-RERANKED, RERANKED_LEAST = 0.16, 400
-ROW_BLOCK, QUERY_BLOCK = 8192, 4096
+#: Documented bounds: pivots are centres of the rows of smallest hashed ids.
+PIVOTS, PIVOT_SAMPLE = 1024, 4096
+#: Pivots under which a row is posted, and lists that a query walks.
+LISTED, WALKED = 64, 48
+#: Share of a visited part's rows that is reranked for a query, beside the neighbours wanted.
+RERANKED = 0.16
+#: Share of the sample's neighbours that the visited cells must hold.
+REACHED = 0.995
+ROW_BLOCK, QUERY_BLOCK = 8192, 16384
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -37,108 +45,204 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
-    lists = lists.combine_chunks()
+def _matrix(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     lists = lists if isinstance(lists, (pa.ListArray, pa.LargeListArray)) else pa.concat_arrays(lists.chunks)
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def choose_pivots(vectors: DataFrame, count: int, sample: int = PIVOT_SAMPLE, rounds: int = 8) -> np.ndarray:
-    """Centres of a bounded sample by spherical k-means, so that pivots lie where vectors are."""
-    found = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
-    if not found.num_rows:
-        return np.zeros((0, 0))
-    x = _matrix(found.column("embedding"))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centre = x[:count].copy()
-    for _ in range(rounds):
-        near = (x @ centre.T).argmax(axis=1)
-        for p in range(len(centre)):
-            if (own := near == p).any():
-                m = x[own].sum(axis=0)
-                centre[p] = m / max(np.linalg.norm(m), 1e-12)
-    return centre
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first."""
     near = x @ pivots.T
     prefix = min(prefix, near.shape[1])
-    return np.argsort(-near, axis=1, kind="stable")[:, :prefix].astype(np.int32)
-
-
-def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, pivots: np.ndarray, prefix: int, k: int, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best k rows of a block for each query: (query index, row index, score).
-
-    Rows of unlike length are lifted by one component that makes all equally
-    long, which turns the largest inner product into the nearest direction.
+    some = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < near.shape[1] else np.tile(np.arange(prefix), (len(x), 1))
+    some.sort(axis=1)
+    order = np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(some, order, axis=1).astype(np.int32)
+
+
+class InvertedFiles:
+    """Under each pivot the rows that name it among their nearest, with the place they give it."""
+
+    def __init__(self, order: np.ndarray, pivots: int):
+        rows, self.listed = order.shape
+        flat = order.ravel()
+        by_pivot = np.argsort(flat, kind="stable")
+        self.rows = rows
+        self.row = np.repeat(np.arange(rows, dtype=np.int32), self.listed)[by_pivot]
+        self.place = np.tile(np.arange(self.listed, dtype=np.int32), rows)[by_pivot]
+        self.start = np.searchsorted(flat[by_pivot], np.arange(pivots + 1)).tolist()
+
+    def agreement(self, asked: list[int]) -> np.ndarray:
+        """The footrule distance of every row's order to the query's, turned over: 0 for rows that share no list, more for nearer ones."""
+        spans = [slice(self.start[p], self.start[p + 1]) for p in asked]
+        place = np.concatenate([self.place[x] for x in spans])
+        place -= np.repeat(np.arange(len(asked), dtype=np.int32), [x.stop - x.start for x in spans])
+        np.abs(place, out=place)
+        return np.bincount(np.concatenate([self.row[x] for x in spans]), self.listed - place, self.rows)
+
+
+@dataclass
+class Fit:
+    """What the sample tells: pivots, cosine a + b * agreement (a raised by three standard deviations), cells a query visits, and the length from which rows are kept apart."""
+
+    pivots: np.ndarray
+    a: float
+    b: float
+    probes: int
+    long: float
+
+
+def fit(x: np.ndarray, pivots: int = PIVOTS, listed: int = LISTED, walked: int = WALKED, rounds: int = 5) -> Fit:
+    """Pivots by spherical k-means, at most one for four vectors of the sample."""
+    size = _lengths(x)
+    unit = x / size[:, None]
+    centre = unit[: max(1, min(pivots, len(unit) // 4))].copy()
+    for _ in range(rounds):
+        near = (unit @ centre.T).argmax(axis=1)
+        sums = np.zeros_like(centre)
+        np.add.at(sums, near, unit)
+        length = _lengths(sums)
+        centre[length > 1e-12] = sums[length > 1e-12] / length[length > 1e-12, None]
+    asked = np.arange(0, len(x), max(1, len(x) // 128))
+    files = InvertedFiles(permutations(unit, centre, listed), len(centre))
+    order = np.argsort(-(unit[asked] @ centre.T), axis=1, kind="stable")
+    agree = np.stack([files.agreement(o[:walked].tolist()) for o in order])
+    cosine = unit[asked] @ unit.T
+    other = np.arange(len(x))[None, :] != asked[:, None]
+    b, a = np.polyfit(agree[other], cosine[other], 1) if other.sum() > 1 and np.ptp(agree[other]) else (1.0, 0.0)
+    spread = float((cosine[other] - a - b * agree[other]).std()) if other.any() else 0.0
+    # How far down a query's order of pivots the cells of its neighbours come, neighbours being its nearest hundredth of the sample.
+    score = np.where(other, x[asked] @ x.T, -np.inf)
+    nearest = np.argsort(-score, axis=1, kind="stable")[:, : max(1, len(x) // 100)]
+    cell = (unit @ centre.T).argmax(axis=1)
+    place = np.argsort(order, axis=1)
+    reach = np.take_along_axis(place, cell[nearest], axis=1)
+    return Fit(centre, float(a + 3 * spread), float(max(b, 1e-12)), int(np.quantile(reach, REACHED, method="higher")) + 1, float(np.quantile(size, 0.99)) * 1.000001)
+
+
+def bundle_cells(pivots: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """The bundle of each cell: cells are halved along their main direction until a bundle holds at most `most` rows or is one cell."""
+    out, n = np.zeros(len(pivots), np.int64), 0
+    todo = [np.arange(len(pivots))]
+    while todo:
+        own = todo.pop()
+        if len(own) == 1 or rows[own].sum() <= most:
+            out[own], n = n, n + 1
+            continue
+        centred = pivots[own] - pivots[own].mean(axis=0)
+        along = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+        own = own[along]
+        half = int(np.searchsorted(np.cumsum(rows[own]), rows[own].sum() / 2)) + 1
+        half = min(max(half, 1), len(own) - 1)
+        todo += [own[:half], own[half:]]
+    return out
+
+
+def search_part(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, f: Fit, k: int, listed: int = LISTED, walked: int = WALKED, reranked: float = RERANKED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k rows of a part for each query: (query index, row index, score). Rows must be in order of their ids, so that ties fall alike in every run.
+
+    Rows rank by the cosine that their footrule distance may stand for, times
+    their length: by the footrule distance alone where all are equally long.
     """
-    lift = np.sqrt(np.maximum(norm * norm - (rows**2).sum(axis=1), 0))
-    order = permutations(rows / norm if len(rows) else rows, pivots[:, :-1], prefix) if not lift.any() else permutations(np.column_stack([rows, lift]) / norm, pivots, prefix)
-    asked = permutations(queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300), pivots[:, :-1], prefix)
-    width = order.shape[1]
-    # The inverted files: under each pivot, its rank for every row; one that a row doesn't name ranks just behind the named ones.
-    posted = np.full((len(pivots), len(rows)), width, np.int16)
-    posted[order.ravel(), np.repeat(np.arange(len(rows)), width)] = np.tile(np.arange(width, dtype=np.int16), len(rows))
-    n = len(rows)
-    take = min(n, max(RERANKED_LEAST, int(RERANKED * n), k + 1))
-    footrule, apart = np.empty(n, np.int32), np.empty(n, np.int16)
+    files = InvertedFiles(permutations(rows, f.pivots, listed), len(f.pivots))
+    size = _lengths(rows)
+    take = min(len(rows), int(np.ceil(reranked * len(rows))) + k + 1)
+    asked = permutations(queries, f.pivots, walked).tolist()
     out_q, out_r, out_s = [], [], []
-    for q in range(len(queries)):
-        if take < n:
-            footrule[:] = 0
-            for j, p in enumerate(asked[q]):
-                np.subtract(posted[p], j, out=apart)
-                np.abs(apart, out=apart)
-                footrule += apart
-            some = np.argpartition(footrule, take - 1)[:take]
-        else:
-            some = np.arange(n)
+    for q, order in enumerate(asked):
+        worth = size * (f.a + f.b * files.agreement(order))
+        some = np.argpartition(-worth, take - 1)[:take] if take < len(rows) else np.arange(len(rows))
         some = some[row_ids[some] != query_ids[q]]
         score = np.einsum("ij,j->i", rows[some], queries[q])
+        if len(some) > k:
+            top = score >= np.partition(score, len(some) - k)[len(some) - k]
+            some, score = some[top], score[top]
         best = np.lexsort((row_ids[some], -score))[:k]
         out_q.append(np.full(len(best), q))
         out_r.append(some[best])
         out_s.append(score[best])
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(out_q, np.int64), join(out_r, np.int64), join(out_s, np.float64)
+    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, prefix: int = PREFIX) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE, reranked: float = RERANKED, row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product found for each query.
 
     Vectors that are null, zero or hold null or non-finite components take no
-    part, nor do those whose length isn't that of most; rows that repeat a
-    vec_id count once. Ties go to the smaller vec_id. Other columns are left out.
+    part, nor do those whose length isn't that of most, with which no inner
+    product is defined; rows that repeat a vec_id count once. Ties go to the
+    smaller vec_id. Other columns are left out. The index is fitted on `sample`
+    rows and holds every row.
     """
     spark = vectors.sparkSession
     use_package(spark)
-    good = usable(vectors).withColumn("_d", F.size("embedding"))
-    facts = good.groupBy("_d").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("aggregate(embedding, 0D, (s, x) -> s + double(x) * double(x))")).alias("q")).orderBy(F.desc("n"), "_d").first()
-    kind = "query_id long, vec_id long, score double"
+    good = usable(vectors)
+    facts = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if facts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, norm = facts._d, float(np.sqrt(facts.q)) * (1 + 1e-9)
-    good = good.filter(F.col("_d") == size).drop("_d")
-    asked = usable(queries).filter(F.size("embedding") == size)
-    row_blocks = max(6, -(-facts.n // ROW_BLOCK))
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    centre = choose_pivots(good, pivots)
-    shared = spark.sparkContext.broadcast(np.column_stack([centre, np.zeros(len(centre))]))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = good.withColumn("r", block("vec_id", row_blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("q", block("vec_id", query_blocks)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-
-    def search(rows: pa.Table, own: pa.Table) -> pa.Table:
-        if not rows.num_rows or not own.num_rows:
+    good = good.filter(F.size("embedding") == facts.d)
+    asked = usable(queries).filter(F.size("embedding") == facts.d)
+    f = fit(_matrix(good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column("embedding")), pivots)
+    apart = len(f.pivots)  # the cell of long rows
+    shared = spark.sparkContext.broadcast(f)
+
+    def place(batches):
+        f = shared.value
+        for b in batches:
+            x = _matrix(b.column("embedding"))
+            cell = np.where(_lengths(x) > f.long, apart, (x @ f.pivots.T).argmax(axis=1)) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], [*b.schema.names, "cell"])
+
+    kind = good.schema["embedding"].dataType.simpleString()
+    placed = stash(good.mapInArrow(place, f"vec_id long, embedding {kind}, cell int"), "placed")
+    rows = np.zeros(apart + 1, np.int64)
+    for r in placed.groupBy("cell").count().collect():  # at most a row for each pivot
+        rows[r.cell] = r["count"]
+    bundle = np.append(bundle_cells(f.pivots, rows[:apart], row_block), 0)
+    bundle[apart] = bundle.max() + 1
+    parts = -(-np.bincount(bundle, rows) // row_block).astype(np.int64)
+    shared_bundle = spark.sparkContext.broadcast(bundle)
+
+    def route(batches):
+        f, bundle = shared.value, shared_bundle.value
+        always = [int(bundle[apart])] if rows[apart] else []
+        for b in batches:
+            x = _matrix(b.column("embedding"))
+            near = permutations(x, f.pivots, f.probes)
+            to = [np.unique(np.append(bundle[own], always).astype(np.int32)) for own in near]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.list_(pa.int32()))], [*b.schema.names, "to"])
+
+    routed = stash(asked.mapInArrow(route, f"vec_id long, embedding {kind}, `to` array<int>"), "routed")
+    visits = np.zeros(len(parts), np.int64)
+    for r in routed.select(F.explode("to").alias("bundle")).groupBy("bundle").count().collect():
+        visits[r.bundle] = r["count"]
+    turns = np.maximum(-(-visits // QUERY_BLOCK), 1)
+    facts_of = spark.createDataFrame([(i, int(p), int(t)) for i, (p, t) in enumerate(zip(parts, turns, strict=True)) if p], "bundle int, parts int, turns int")
+    cells = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bundle)], "cell int, bundle int").join(facts_of, "bundle")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Both small tables have at most a row for each pivot.
+    left = placed.join(F.broadcast(cells), "cell").withColumn("part", dealt(F.col("parts"), 1)).withColumn("turn", all_of("turns"))
+    right = routed.withColumn("bundle", F.explode("to")).join(F.broadcast(facts_of), "bundle").withColumn("turn", dealt(F.col("turns"), 2)).withColumn("part", all_of("parts"))
+    key = ["bundle", "part", "turn"]
+
+    def search(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not own.num_rows or not wanted.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        row_ids, query_ids = rows.column("vec_id").to_numpy(), own.column("vec_id").to_numpy()
-        q, r, s = search_block(_matrix(rows.column("embedding")), row_ids, _matrix(own.column("embedding")), query_ids, shared.value, prefix, k, norm)
+        own = own.sort_by("vec_id")
+        row_ids, query_ids = own.column("vec_id").to_numpy(), wanted.column("vec_id").to_numpy()
+        q, r, s = search_part(_matrix(own.column("embedding")), row_ids, _matrix(wanted.column("embedding")), query_ids, shared.value, k, reranked=reranked)
         return pa.table({"query_id": query_ids[q], "vec_id": row_ids[r], "score": s})
 
-    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(search, kind)
+    cogrouped = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "vec_id", "embedding").groupBy(*key))
+    found = stash(cogrouped.applyInArrow(search, "query_id long, vec_id long, score double"), "nearest")
+    drop_stash(placed, routed)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = stash(found, "nearest").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 

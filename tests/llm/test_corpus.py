@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,7 +220,7 @@ def test_nearest(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
     x = {r.vec_id: np.array(r.embedding, float) for r in ann.usable(v).collect()}
     assert set(x) == set(range(300))
-    got = ann.nearest(v, v.filter("vec_id % 20 = 0")).toPandas()
+    got = ann.nearest(v, v.filter("vec_id % 20 = 0"), reranked=1.0).toPandas()
     for q in range(0, 300, 20):
         want = sorted((-float(np.einsum("j,j->", x[i], x[q])), i) for i in x if i != q)[:20]
         own = got[got.query_id == q].sort_values("rank")
@@ -227,6 +228,39 @@ def test_nearest(spark):
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["unit", "lengths", "groups", "ties"])
+def test_nearest_recall(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    if kind == "groups":
+        x = (x + 4 * rng.normal(size=(100, 32))[rng.integers(0, 100, len(x))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lengths":
+        x *= rng.lognormal(0, 1, len(x)).astype(np.float32)[:, None]
+    if kind == "ties":
+        x[5000:] = x[:1000].repeat(15, axis=0)
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.astype(float).tolist()}), "vec_id long, embedding array<float>").repartition(4)
+    got = ann.nearest(v, v.filter("vec_id % 200 = 0"), row_block=2048).toPandas()
+    full, found = x.astype(float), 0
+    for q, own in got.groupby("query_id"):
+        own = own.sort_values("rank")
+        score = np.einsum("ij,j->i", full, full[q])
+        score[q] = -np.inf
+        assert len(own) == 20 and (score[own.vec_id] == own.score).all() and sorted(zip(-own.score, own.vec_id, strict=True)) == list(zip(-own.score, own.vec_id, strict=True))
+        found += (own.score >= np.sort(score)[-20]).sum()
+    assert got.query_id.nunique() == 100 and found / 2000 >= 0.9
+
+
+def test_few_cells_are_visited_where_vectors_form_groups():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4096, 32)) + 4 * rng.normal(size=(100, 32))[rng.integers(0, 100, 4096)]
+    assert ann.fit(x).probes < 200
+    rows = rng.integers(0, 900, 64)
+    bundle = ann.bundle_cells(rng.normal(size=(64, 32)), rows, 1000)
+    held = np.bincount(bundle, rows)
+    assert held.sum() == rows.sum() and held.max() <= 1000 and len(held) < 64
+
+
 def test_chat_reads_back(spark):
     rows = [(1, 0, "user", "a\\b [INST] </s> <s>"), (1, 1, "assistant", "x\\</s>[/INST]\\"), (1, 2, "assistant", None), (2, 5, "system", ""), (2, None, None, "é"), (3, 0, "assistant", "t" * 100_000), (3, 0, "assistant", "t" * 100_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).repartition(3)
