@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from photolake.llm.rules import duplicate_lines, repeated_words
-from photolake.llm.textnum import U, load, mix, words
+from photolake.llm.textnum import Bytes, U, load, mix, words
 
 #: Features: lower-cased words, word pairs, word beginnings, and the shapes of words.
 BITS = 18
@@ -33,7 +33,7 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     """
     t = load(texts)
     as_written = words(t)
-    folded = load_bytes(_LOWER[t.buf], t.offsets)
+    folded = Bytes(_LOWER[t.buf], t.offsets)
     start, end, doc = as_written.start, as_written.end, as_written.doc
     h = folded.hash(start, end)
     size = end - start
@@ -47,7 +47,7 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
         longer = size > k
         codes.append(mix(folded.hash(start[longer], start[longer] + k) + U(k)))
         docs.append(doc[longer])
-    shape = load_bytes(_CLASS[t.buf], t.offsets)
+    shape = Bytes(_CLASS[t.buf], t.offsets)
     codes.append(mix(shape.hash(np.maximum(start, end - 4), end) + U(99)))
     docs.append(doc)
     # Share of words in repeated three-word windows and of repeated lines, in steps.
@@ -63,14 +63,6 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return np.searchsorted(key, np.arange(n + 1, dtype=np.int64) << bits), key & ((1 << bits) - 1)
 
 
-def load_bytes(buf: np.ndarray, offsets: np.ndarray):
-    from photolake.llm.textnum import _BASE, Bytes, _power
-
-    sums = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * _power(_BASE, len(buf)), out=sums[1:])
-    return Bytes(buf, offsets, sums)
-
-
 def row_sums(indptr: np.ndarray, values: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values)])
     return total[indptr[1:]] - total[indptr[:-1]]

@@ -4,11 +4,14 @@ Of all suffixes only those at minimisers are kept: the position with the
 smallest hash of KEY words in each run of positions, chosen by content, so a
 passage that repeats brings its minimisers along. The suffixes are sorted by
 their first KEY words over all documents, and one whose neighbour in that order
-begins alike is a match. Matches are then extended word by word to the left and
-right: all windows of the least length that a matching suffix can lie in are
-compared, and those found in more than one document make up the passages.
-Every step is a sort or an aggregation with rows of a few bytes, so a passage
-that a large part of all documents shares is no group that a task must hold.
+begins alike is a match. A match may reach least - KEY words to either side, so
+the suffixes at all words in that reach are sorted once more, now by `least`
+words, and compared with their neighbours again: that extends every match to
+both sides, word by word, against all its partners. (Extending only against the
+neighbour by the first words would miss passages: the suffix that shares most
+to the right need not share anything to the left.) Both orders are range
+partitionings by (words, doc_id, word) with rows of a few bytes, so a passage
+that a large part of all documents shares is spread over tasks.
 """
 
 from __future__ import annotations
@@ -20,23 +23,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photolake.llm.keys import row_keys
-from photolake.llm.textnum import U, Words, _power, chunks, load, mix, words
+from photolake.llm.keys import free_name, row_keys
+from photolake.llm.textnum import U, Words, chunks, load, mix, words
 from photolake.session import drop_stash, stash, table, use_package
 
 #: Least length of a passage in words.
 LEAST = 50
 KEY = 12
-_FACTOR = 0xBF58476D1CE4E5B9
-_UNDO = pow(_FACTOR, -1, 1 << 64)
 
 
 def _runs(w: Words, n: int) -> np.ndarray:
-    """Hash of the n words from each word on; meaningless where the text has fewer left."""
+    """Hash of the n words from each word on; meaningless where the text has fewer left. Built up by doubling, mixed at each step."""
     total = len(w.hash)
-    sums = np.zeros(total + 1, U)
-    np.cumsum(w.hash * _power(_FACTOR, total), out=sums[1:])
-    return mix((sums[n:] - sums[: total + 1 - n]) * _power(_UNDO, total + 1)[: total + 1 - n]) if total >= n else np.zeros(0, U)
+    if total < n:
+        return np.zeros(0, U)
+    power, width = w.hash, 1  # hash of `width` words from each word on
+    out, done = np.zeros(total + 1 - n, U), 0
+    while True:
+        if n & width:
+            out = mix(out + power[done : done + len(out)])
+            done += width
+        if 2 * width > n:
+            return out
+        power = mix(power[: len(power) - width] * U(0xBF58476D1CE4E5B9) + power[width:])
+        width *= 2
 
 
 def minimisers(w: Words, key: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +146,71 @@ def extended(docs: DataFrame, matches: DataFrame, key: int = KEY, least: int = L
     return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(run, "window long, doc_id long, word int")
 
 
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """doc_id, word, duplicate of windows that more than one document holds, by comparing neighbours in sorted order.
+
+    A run of equal windows belongs to the document of its first row. The first
+    run of a partition may have begun before it, and the last may go on after
+    it: rows of the former, and those of the latter's first document, carry the
+    window, and their duplicate is left open.
+    """
+    names = ["doc_id", "word", "duplicate", "window"]
+
+    def settled(b: pa.RecordBatch, keep: np.ndarray, duplicate: bool) -> pa.RecordBatch:
+        b = b.filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("word"), pa.array(np.full(b.num_rows, duplicate)), pa.nulls(b.num_rows, pa.int64())], names)
+
+    def left_open(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("word"), pa.nulls(b.num_rows, pa.bool_()), b.column("window")], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, begun = None, False  # window of the partition's first run, while that goes on
+        at, owner, shared, held = None, None, False, []  # the run at the end so far: its window, document, whether others hold it, that document's rows
+        for b in batches:
+            if not b.num_rows:
+                continue
+            window = b.column("window").to_numpy()
+            if not begun:
+                first, begun = window[0], True
+            if first is not None:
+                n = int((window == first).sum())
+                yield left_open(b.slice(0, n))
+                if n == len(window):
+                    continue
+                b, window, first = b.slice(n), window[n:], None
+            doc = b.column("doc_id").to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+            size = np.diff(np.append(start, len(window)))
+            owners = doc[start]
+            goes_on = at is not None and window[0] == at
+            if goes_on:
+                owners[0] = owner
+            elif shared:
+                for x in held:
+                    yield settled(x, np.ones(x.num_rows, bool), False)
+            later = doc > np.repeat(owners, size)
+            met = np.logical_or.reduceat(later, start)
+            if goes_on:
+                met[0] |= shared
+                if met[0] and len(start) > 1:
+                    for x in held:
+                        yield settled(x, np.ones(x.num_rows, bool), False)
+            yield settled(b, later, True)
+            last = start[-1]
+            inner = ~later & np.repeat(met, size)
+            inner[last:] = False
+            yield settled(b, inner, False)
+            own = b.slice(last).filter(pa.array(~later[last:]))
+            held = [*held, own] if goes_on and len(start) == 1 else [own]
+            at, owner, shared = window[-1], owners[-1], bool(met[-1])
+        for x in held:
+            yield left_open(x)
+
+    kind = "doc_id long, word int, duplicate boolean, window long"
+    ordered = windows.repartitionByRange("window", "doc_id", "word").sortWithinPartitions("window", "doc_id", "word")
+    return ordered.mapInArrow(run, kind)
+
+
 def _spans(words_at: list[int], least: int) -> list[tuple[int, int]]:
     """Windows that overlap or touch joined to [start, end)."""
     at = np.unique(np.asarray(words_at, np.int64))
@@ -159,8 +234,12 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataF
     suffixes = stash(sparse_suffixes(docs, key, least), "suffixes")
     windows = stash(extended(docs, matching(suffixes), key, least), "windows")
     drop_stash(suffixes)
-    shared = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other")
-    found = windows.join(shared.select("window", "owner"), "window").select("doc_id", (F.col("owner") < F.col("doc_id")).alias("duplicate"), "word")
+    found = stash(shared_windows(windows), "shared")
+    drop_stash(windows)
+    owners = found.filter("window is not null").groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other")
+    # At most two windows for each partition of the sort.
+    opened = found.join(F.broadcast(owners), "window").select("doc_id", (F.col("owner") < F.col("doc_id")).alias("duplicate"), "word")
+    found = found.filter("window is null").select("doc_id", "duplicate", "word").unionByName(opened)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,17 +263,18 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataF
     whose doc_id names several texts, come after all others (row_keys()).
     """
     use_package(docs.sparkSession)
-    keyed = row_keys(docs)
-    spans = repeated_spans(keyed.select(F.col("_key").alias("doc_id"), "text"), least, key).filter("duplicate")
-    spans = stash(spans.groupBy(F.col("doc_id").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans")), "spans")
-    joined = keyed.join(spans, "_key", "left")
     names = docs.columns
+    by, found = free_name("_key", names), free_name("_spans", names)
+    keyed = row_keys(docs, by)
+    spans = repeated_spans(keyed.select(F.col(by).alias("doc_id"), "text"), least, key).filter("duplicate")
+    spans = stash(spans.groupBy(F.col("doc_id").alias(by)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(found)), "spans")
+    joined = keyed.join(spans, by, "left")
     at, counts = names.index("text"), "n_chars" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                lists = part.column("_spans").to_pylist()
+                lists = part.column(found).to_pylist()
                 hit = [i for i, x in enumerate(lists) if x]
                 cols = [part.column(c) for c in names]
                 if not hit:
@@ -224,7 +304,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataF
                 out = pa.RecordBatch.from_arrays(cols, names)
                 yield out.filter(pa.array([i not in gone for i in range(len(texts))])) if gone else out
 
-    return joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*names, found).mapInArrow(run, docs.schema)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,41 +1,32 @@
 """Word, line and shingle arithmetic over whole Arrow batches with numpy.
 
-A prefix sum of byte values times powers of an odd base (modulo 2**64) gives the
-hash of any byte range in constant time, so words, lines and shingles of a
-batch are hashed without a Python loop over them.
+Byte ranges are hashed side by side, eight bytes at a step, each step mixed
+before the next bytes come in, so that no pattern of a text makes two ranges
+collide more often than chance; long ranges are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Byte ranges longer than this are hashed one by one.
+LONG_RANGE = 128
 #: Bytes of text handled at once; a longer single text is one chunk of its own.
 CHUNK_BYTES = 1 << 21
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the next batch unless it is large."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES), U(base))
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 2 * CHUNK_BYTES:
-            _powers[base] = have
-    return have[:n]
+#: Mask for the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -75,12 +66,25 @@ class Bytes:
 
     buf: np.ndarray
     offsets: np.ndarray
-    sums: np.ndarray
+
+    @cached_property
+    def _eights(self) -> np.ndarray:
+        """The eight bytes from each place on as one number."""
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        return np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = _power(_INVERSE, len(self.buf) + 1)
-        h = (self.sums[end] - self.sums[start]) * inverse[start]
-        return mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        size = end - start
+        h = mix(size.astype(U) + U(1))
+        who = np.flatnonzero((size > 0) & (size <= LONG_RANGE))
+        done = 0
+        while len(who):
+            left = size[who] - done
+            h[who] = mix(h[who] ^ (self._eights[start[who] + done] & _FIRST[np.minimum(left, 8)]) * U(0x9E3779B97F4A7C15))
+            who, done = who[left > 8], done + 8
+        for i in np.flatnonzero(size > LONG_RANGE).tolist():
+            h[i] = int.from_bytes(blake2b(self.buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
 
 def load(texts: pa.Array) -> Bytes:
@@ -88,10 +92,7 @@ def load(texts: pa.Array) -> Bytes:
     raw = texts.buffers()
     offsets = np.frombuffer(raw[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None else np.zeros(0, np.uint8)
-    buf = data[offsets[0] : offsets[-1]]
-    sums = np.zeros(len(buf) + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * _power(_BASE, len(buf)), out=sums[1:])
-    return Bytes(buf, offsets - offsets[0], sums)
+    return Bytes(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
 @dataclass

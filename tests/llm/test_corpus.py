@@ -194,6 +194,50 @@ def test_repeated_spans_equal_brute_force(docs, empty, texts):
     assert suffixes.repeated_spans(empty).count() == 0 and suffixes.remove_repeats(empty).count() == 0
 
 
+def test_shared_windows_over_partitions(spark):
+    r = random.Random(2)
+    rows = [(r.randrange(6), r.choice([1, 1, 1, 2, r.randrange(40)]), i) for i in range(3000)] + [(99, 7, 1), (99, 7, 2), (98, 3, 1)]
+    w = spark.createDataFrame(rows, "window long, doc_id long, word int")
+    held = collections.defaultdict(set)
+    for win, d, _ in rows:
+        held[win].add(d)
+    want = sorted((d, i, d > min(held[win])) for win, d, i in rows if len(held[win]) > 1)
+    for size in ("100", "10000"):  # rows of an Arrow batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        try:
+            found = suffixes.shared_windows(w).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        opened = collections.defaultdict(set)
+        for x in found:
+            if x.window is not None:
+                opened[x.window].add(x.doc_id)
+        got = [(x.doc_id, x.word, x.duplicate) for x in found if x.window is None]
+        got += [(x.doc_id, x.word, x.doc_id > min(opened[x.window])) for x in found if x.window is not None and len(opened[x.window]) > 1]
+        assert sorted(got) == want
+
+
+def test_names_of_input_columns_may_clash(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    d = spark.createDataFrame([(1, text, "a", 1, 2), (2, "x " + text, "b", 3, 4)], "doc_id long, text string, _spans string, _key int, _split int")
+    got = sorted(map(tuple, suffixes.remove_repeats(d).collect()))
+    assert got == [(1, text, "a", 1, 2), (2, "x", "b", 3, 4)]
+    assert ngram_join.one_of_each(d).columns == d.columns and rules.keep_good(d).columns == d.columns
+
+
+def test_crafted_texts_do_not_collide(spark):
+    def thue_morse(a, b, n):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+    x, y = thue_morse("a", "b", 2048), thue_morse("b", "a", 2048)
+    said = [x + "\n" + y + "\n" + x, f"{x} x y {y} x y", f"{x[:64]} x y {y[:64]} x y", " ".join(thue_morse("a ", "b ", 2048).split()), "\n".join([x[:7], y[:7], x[:8], y[:8], x[:9], y[:9], x[:7]])]
+    got = {r.doc_id: r for r in rules.weak_supervision(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(said):
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == _counts(t)
+
+
 def test_quality_and_toxicity_on_odd_tables(spark, docs, empty, labels):
     no_labels = labels.limit(0)
     for df in (docs, empty):
