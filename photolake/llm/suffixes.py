@@ -149,68 +149,72 @@ def extended(docs: DataFrame, matches: DataFrame, key: int = KEY, least: int = L
 def shared_windows(windows: DataFrame) -> DataFrame:
     """doc_id, word, duplicate of windows that more than one document holds, by comparing neighbours in sorted order.
 
-    A run of equal windows belongs to the document of its first row. The first
-    run of a partition may have begun before it, and the last may go on after
-    it: rows of the former, and those of the latter's first document, carry the
-    window, and their duplicate is left open.
+    A run of equal windows belongs to the document of its first row; rows of
+    other documents are duplicates wherever the run began. The first run of a
+    partition may have begun before it, and the last may go on after it: for
+    the rows of the run's first document there, duplicate is null, window is
+    given, and met says whether another document's row was seen.
     """
-    names = ["doc_id", "word", "duplicate", "window"]
+    names = ["doc_id", "word", "duplicate", "window", "met"]
 
-    def settled(b: pa.RecordBatch, keep: np.ndarray, duplicate: bool) -> pa.RecordBatch:
-        b = b.filter(pa.array(keep))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("word"), pa.array(np.full(b.num_rows, duplicate)), pa.nulls(b.num_rows, pa.int64())], names)
+    def settled(b: pa.RecordBatch, duplicate: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("word"), pa.array(np.full(b.num_rows, duplicate)), pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.bool_())], names)
 
-    def left_open(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("word"), pa.nulls(b.num_rows, pa.bool_()), b.column("window")], names)
+    def left_open(b: pa.RecordBatch, met: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("word"), pa.nulls(b.num_rows, pa.bool_()), b.column("window"), pa.array(np.full(b.num_rows, met))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, begun = None, False  # window of the partition's first run, while that goes on
-        at, owner, shared, held = None, None, False, []  # the run at the end so far: its window, document, whether others hold it, that document's rows
+        # The run at the end so far: its window, first document, whether others hold it, whether it is the partition's first, the first document's rows.
+        at, owner, met, first, held = None, None, False, True, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            for x in held:
+                if first:
+                    yield left_open(x, met)
+                elif met:
+                    yield settled(x, False)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            window = b.column("window").to_numpy()
-            if not begun:
-                first, begun = window[0], True
-            if first is not None:
-                n = int((window == first).sum())
-                yield left_open(b.slice(0, n))
-                if n == len(window):
-                    continue
-                b, window, first = b.slice(n), window[n:], None
-            doc = b.column("doc_id").to_numpy()
+            window, doc = b.column("window").to_numpy(), b.column("doc_id").to_numpy()
             start = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
             size = np.diff(np.append(start, len(window)))
             owners = doc[start]
-            goes_on = at is not None and window[0] == at
-            if goes_on:
+            if at is not None and window[0] == at:
                 owners[0] = owner
-            elif shared:
-                for x in held:
-                    yield settled(x, np.ones(x.num_rows, bool), False)
+            elif at is not None:
+                yield from ended()
+                met, first, held = False, False, []
             later = doc > np.repeat(owners, size)
-            met = np.logical_or.reduceat(later, start)
-            if goes_on:
-                met[0] |= shared
-                if met[0] and len(start) > 1:
-                    for x in held:
-                        yield settled(x, np.ones(x.num_rows, bool), False)
-            yield settled(b, later, True)
-            last = start[-1]
-            inner = ~later & np.repeat(met, size)
-            inner[last:] = False
-            yield settled(b, inner, False)
-            own = b.slice(last).filter(pa.array(~later[last:]))
-            held = [*held, own] if goes_on and len(start) == 1 else [own]
-            at, owner, shared = window[-1], owners[-1], bool(met[-1])
+            yield settled(b.filter(pa.array(later)), True)
+            seen = np.logical_or.reduceat(later, start)
+            # The first and the last run of the batch are held, others end here.
+            held.append(b.slice(0, size[0]).filter(pa.array(~later[: size[0]])))
+            met |= bool(seen[0])
+            if len(start) > 1:
+                yield from ended()
+                inner = ~later & np.repeat(seen, size)
+                inner[: size[0]] = inner[start[-1] :] = False
+                yield settled(b.filter(pa.array(inner)), False)
+                held, met, first = [b.slice(start[-1]).filter(pa.array(~later[start[-1] :]))], bool(seen[-1]), False
+            at, owner = window[-1], owners[-1]
         for x in held:
-            yield left_open(x)
+            yield left_open(x, met)
 
-    kind = "doc_id long, word int, duplicate boolean, window long"
+    kind = "doc_id long, word int, duplicate boolean, window long, met boolean"
     ordered = windows.repartitionByRange("window", "doc_id", "word").sortWithinPartitions("window", "doc_id", "word")
     return ordered.mapInArrow(run, kind)
 
 
+def settle(found: DataFrame) -> DataFrame:
+    """doc_id, word, duplicate from what shared_windows() gives: rows left open look at the first documents of their window's run in other partitions."""
+    owners = found.filter("window is not null").groupBy("window").agg(F.min("doc_id").alias("owner"), (F.max("met") | (F.min("doc_id") < F.max("doc_id"))).alias("shared")).filter("shared")
+    # At most two windows for each partition of the sort.
+    opened = found.join(F.broadcast(owners), "window").select("doc_id", (F.col("owner") < F.col("doc_id")).alias("duplicate"), "word")
+    return found.filter("window is null").select("doc_id", "duplicate", "word").unionByName(opened)
+
+
 def _spans(words_at: list[int], least: int) -> list[tuple[int, int]]:
     """Windows that overlap or touch joined to [start, end)."""
     at = np.unique(np.asarray(words_at, np.int64))
@@ -234,12 +238,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataF
     suffixes = stash(sparse_suffixes(docs, key, least), "suffixes")
     windows = stash(extended(docs, matching(suffixes), key, least), "windows")
     drop_stash(suffixes)
-    found = stash(shared_windows(windows), "shared")
+    shared = stash(shared_windows(windows), "shared")
     drop_stash(windows)
-    owners = found.filter("window is not null").groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other")
-    # At most two windows for each partition of the sort.
-    opened = found.join(F.broadcast(owners), "window").select("doc_id", (F.col("owner") < F.col("doc_id")).alias("duplicate"), "word")
-    found = found.filter("window is null").select("doc_id", "duplicate", "word").unionByName(opened)
+    found = settle(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
