@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from photolake.functions.paths import export_name, media_type_of, name_of, parent_of, provenance_of, status_of, stem_of, suffix_of
-from photolake.session import use_package
+from photolake.session import stash, use_package
 
 
 def dest_path(path: Column, original_path: Column, provenance: Column, new_status: Column) -> Column:
@@ -28,37 +30,104 @@ def family(path: Column) -> list[Column]:
     return [parent_of(path).alias("_dir"), F.regexp_replace(stem_of(path), r"( \(\d+\))+$", "").alias("_stem"), suffix_of(path).alias("_ext")]
 
 
-def _number(group: pd.DataFrame) -> pd.DataFrame:
-    taken = set(group.path[group.existing])
-    out, last = [], {}
-    for r in group[~group.existing].sort_values(["ord", "key"]).itertuples():
-        path, n = r.path, last.get(r.path, 0)
-        if path in taken:
-            base, dot = re.fullmatch(r"(.*?[^./])(\.[^./]+)?", path, re.S).groups()
-            while path in taken:
-                n += 1
-                path = f"{base} ({n}){dot or ''}"
-            last[r.path] = n
-        taken.add(path)
-        out.append((r.key, path))
-    return pd.DataFrame(out, columns=["key", "final_path"])
+#: A name as what numbering leaves alone and the extension behind the number.
+_PARTS = r"(?s)^(.*?[^./])(\.[^./]+)?$"
+
+
+def _numbered(path: Column, n: Column) -> Column:
+    base = F.when(F.regexp_extract(path, _PARTS, 1) == "", path).otherwise(F.regexp_extract(path, _PARTS, 1))
+    return F.when(n == 0, path).otherwise(F.concat(base, F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract(path, _PARTS, 2)))
+
+
+def _number_in(path: Column, like: Column) -> Column:
+    """The number that `path` has as a numbered form of `like` (0 for itself), else null."""
+    base = F.when(F.regexp_extract(like, _PARTS, 1) == "", like).otherwise(F.regexp_extract(like, _PARTS, 1))
+    ext = F.regexp_extract(like, _PARTS, 2)
+    middle = F.substring(path, F.length(base) + 1, F.length(path) - F.length(base) - F.length(ext))
+    n = F.regexp_extract(middle, r"^ \(([1-9][0-9]{0,17})\)$", 1)
+    return F.when(path == like, F.lit(0).cast("long")).when(path.startswith(base) & path.endswith(ext) & (n != ""), n.cast("long"))
+
+
+def rank_within(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds each row's rank in its group, from 0.
+
+    Rows are sorted over range partitions, so that a large group is spread over
+    several: a rank is that within the partition plus the group's rows before it.
+    """
+    placed = stash(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "placed")
+    own = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)).cast("long") - 1
+    sizes = placed.groupBy("_part", *group).count()
+    before = (F.sum("count").over(Window.partitionBy(*group).orderBy("_part")) - F.col("count")).alias("_before")
+    before = sizes.select("_part", *group, before).filter("_before > 0")  # groups that go on from one partition to the next
+    return placed.withColumn(name, own).join(before, ["_part", *group], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
+
+
+def _walk(columns: list[str]):
+    """For mapInArrow over rows sorted by family, existing files first, then claimants in order: gives the claimants with final_path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family_now, taken, last = None, set(), {}
+        for b in batches:
+            keep, out = [], []
+            families = zip(*(b.column(c).to_pylist() for c in _FAMILY), strict=True)
+            for i, (fam, path, there) in enumerate(zip(families, b.column("path").to_pylist(), b.column("_existing").to_pylist(), strict=True)):
+                if fam != family_now:
+                    family_now, taken, last = fam, set(), {}
+                if there:
+                    taken.add(path)
+                    continue
+                name, n = path, last.get(path, 0)
+                if name in taken:
+                    base, dot = (re.fullmatch(r"(.*?[^./])(\.[^./]+)?", path, re.S) or re.fullmatch("(.*)()", path, re.S)).groups()
+                    while name in taken:
+                        n += 1
+                        name = f"{base} ({n}){dot or ''}"
+                    last[path] = n
+                taken.add(name)
+                keep.append(i)
+                out.append(name)
+            own = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "final_path"])
+
+    return run
+
+
+_FAMILY = ["_dir", "_stem", "_ext"]
 
 
 def assign_unique(plan: DataFrame, existing: DataFrame) -> DataFrame:
-    """U2. key, final_path for rows (key, ord, path): the first free of `stem.ext`, `stem (1).ext`, ... in order of (ord, key).
+    """U2. The plan's rows with final_path: the first free of `stem.ext`, `stem (1).ext`, ... in order of (ord, key).
 
-    existing: path. Families with one claimant and no existing file keep their
-    name; only the others are walked, each in a group of its own.
+    plan: key, ord, path and any other columns; key is unique. existing: path.
+    Names without a clash stay. Claimants of one name get the numbers that
+    existing files leave free by their rank, in joins and sorts that spread a
+    much claimed name over tasks. Only families in which different names
+    clash, one of which ends in a number, are walked one by one.
     """
     use_package(plan.sparkSession)
-    asked = plan.select("key", "ord", "path", F.lit(False).alias("existing"), *family(F.col("path")))
-    there = existing.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("ord"), "path", F.lit(True).alias("existing"), *family(F.col("path")))
-    fam = ["_dir", "_stem", "_ext"]
-    there = there.join(asked.select(*fam).distinct(), fam, "left_semi").select(*asked.columns)
-    both = asked.unionByName(there)
-    crowded = both.groupBy(*fam).count().filter("count > 1").drop("count")
-    alone = asked.join(crowded, fam, "left_anti").select("key", F.col("path").alias("final_path"))
-    return alone.unionByName(both.join(crowded, fam).groupBy(*fam).applyInPandas(lambda g: _number(g).astype({"key": "int64"}), "key long, final_path string"))
+    asked = stash(plan.select("*", *family(F.col("path"))), "asked")
+    by_path = asked.groupBy("path", *_FAMILY).agg(F.count(F.lit(1)).alias("_n"))
+    there = existing.select("path").distinct().select("path", *family(F.col("path")))
+    there = stash(there.join(by_path.select(*_FAMILY).distinct(), _FAMILY, "left_semi").select("path", *_FAMILY), "there")
+    hit = there.join(by_path.select("path"), "path", "left_semi").select(*_FAMILY).distinct().withColumn("_hit", F.lit(True))
+    facts = by_path.groupBy(*_FAMILY).agg(F.min("path").alias("_lo"), F.max("path").alias("_hi"), F.max("_n").alias("_most")).join(hit, _FAMILY, "left")
+    clash = F.coalesce("_hit", F.lit(False)) | (F.col("_most") > 1)
+    facts = stash(facts.select(*_FAMILY, "_lo", (F.col("_lo") == F.col("_hi")).alias("_plain")).filter(clash), "families")
+    free = asked.join(facts, _FAMILY, "left_anti").select(*plan.columns, F.col("path").alias("final_path"))
+
+    plain = facts.filter("_plain").select(*_FAMILY, "_lo")
+    claims = rank_within(asked.join(plain.select(*_FAMILY), _FAMILY, "left_semi"), _FAMILY, ["ord", "key"], "_v")
+    numbers = there.join(plain, _FAMILY).select(*_FAMILY, _number_in(F.col("path"), F.col("_lo")).alias("_n")).filter("_n is not null")
+    # A number n with i taken ones below it is passed by the claimants from rank n - i on.
+    passed = rank_within(numbers, _FAMILY, ["_n"], "_i").select(*_FAMILY, (F.col("_n") - F.col("_i")).alias("_v"), F.lit(False).alias("_claims"))
+    both = rank_within(passed.unionByName(claims.withColumn("_claims", F.lit(True)), allowMissingColumns=True), _FAMILY, ["_v", "_claims", "key"], "_number")
+    ranked = both.filter("_claims").select(*plan.columns, _numbered(F.col("path"), F.col("_number")).alias("final_path"))
+
+    mixed = facts.filter("not _plain").select(*_FAMILY)
+    rows = asked.withColumn("_existing", F.lit(False)).unionByName(there.withColumn("_existing", F.lit(True)), allowMissingColumns=True)
+    rows = rows.join(mixed, _FAMILY, "left_semi").repartition(*_FAMILY).sortWithinPartitions(*_FAMILY, F.desc("_existing"), "ord", "key")
+    kind = StructType([*plan.schema, StructField("final_path", StringType())])
+    return free.unionByName(ranked).unionByName(rows.mapInArrow(_walk(plan.columns), kind))
 
 
 def plan_moves(photos: DataFrame, new_status: DataFrame, existing: DataFrame) -> DataFrame:
@@ -73,8 +142,8 @@ def plan_moves(photos: DataFrame, new_status: DataFrame, existing: DataFrame) ->
     beside = F.when(parent_of("path") == ".", name_of("clip")).otherwise(F.concat_ws("/", parent_of("path"), name_of("clip")))
     rows = image.select("id", F.lit("image").alias("role"), "from_path", "path").unionByName(clips.select("id", F.lit("companion").alias("role"), F.col("clip").alias("from_path"), beside.alias("path")))
     rows = rows.withColumn("key", F.col("id") * 2 + (F.col("role") == "companion").cast("long"))
-    named = assign_unique(rows.select("key", F.col("key").alias("ord"), "path"), existing.join(rows.select(F.col("from_path").alias("path")), "path", "left_anti"))
-    return rows.join(named, "key").select("id", "role", "from_path", F.col("final_path").alias("to_path"))
+    named = assign_unique(rows.withColumn("ord", F.col("key")), existing.join(rows.select(F.col("from_path").alias("path")), "path", "left_anti"))
+    return named.select("id", "role", "from_path", F.col("final_path").alias("to_path"))
 
 
 def apply_moves(photos: DataFrame, plan: DataFrame) -> DataFrame:
@@ -98,13 +167,8 @@ def plan_flatten(photos: DataFrame, listing: DataFrame, downloaded: DataFrame) -
     """U4. (moves from_path -> to_path, catalog after, downloaded after) for files deeper than one level under selected/. A second run is empty."""
     deep = listing.select("relative_path").filter(F.col("relative_path").rlike(r"^selected/.*/") & ~F.col("relative_path").rlike(r"(^|/)\."))
     flat = listing.select(F.col("relative_path").alias("path")).filter(F.col("path").rlike(r"^selected/[^/]*$"))
-    rows = deep.select(F.xxhash64("relative_path").alias("key"), F.lit(0).cast("long").alias("ord0"), F.col("relative_path").alias("from_path"), F.concat(F.lit("selected/"), name_of("relative_path")).alias("path"))
-    # Order by path: the position within the names that can clash is all that matters.
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy(*family(F.col("path"))).orderBy("from_path")).cast("long"))
-    named = assign_unique(rows.select("key", "ord", "path"), flat)
-    moves = rows.join(named, "key").select("from_path", F.col("final_path").alias("to_path"))
+    rows = deep.select(F.col("relative_path").alias("key"), F.col("relative_path").alias("ord"), F.concat(F.lit("selected/"), name_of("relative_path")).alias("path"))
+    moves = stash(assign_unique(rows, flat).select(F.col("key").alias("from_path"), F.col("final_path").alias("to_path")), "moves")
     by_path, by_clip = moves.toDF("relative_path", "to_path"), moves.toDF("live_photo_video_path", "clip_to")
     joined = photos.join(by_path, "relative_path", "left").join(by_clip, "live_photo_video_path", "left")
     origin = F.when(F.col("to_path").isNotNull() & (F.coalesce("original_path", F.lit("")) == ""), F.regexp_replace("relative_path", "^selected/", "")).otherwise(F.col("original_path"))
@@ -128,12 +192,10 @@ def plan_export(files: DataFrame, photos: DataFrame, dest_listing: DataFrame, da
     there = dest_listing.select(F.col("name").alias("path"), F.col("file_size").alias("_size"), F.col("file_mtime").alias("_mtime"))
     joined = rows.join(there, "path", "left")
     same = F.coalesce((F.col("file_size") == F.col("_size")) & (F.abs(F.col("file_mtime") - F.col("_mtime")) < 2.0), F.lit(False))
-    from pyspark.sql import Window
-
     todo = joined.withColumn("same", same)
-    copies = todo.filter("not same").withColumn("key", F.xxhash64("relative_path")).withColumn("ord", F.row_number().over(Window.partitionBy(*family(F.col("path"))).orderBy("relative_path")).cast("long"))
-    named = assign_unique(copies.select("key", "ord", "path"), dest_listing.select(F.col("name").alias("path")))
-    out = copies.join(named, "key").select("relative_path", F.lit("copy").alias("action"), F.col("final_path").alias("target"))
+    copies = todo.filter("not same").select(F.col("relative_path").alias("key"), F.col("relative_path").alias("ord"), "path")
+    named = assign_unique(copies, dest_listing.select(F.col("name").alias("path")))
+    out = named.select(F.col("key").alias("relative_path"), F.lit("copy").alias("action"), F.col("final_path").alias("target"))
     return out.unionByName(todo.filter("same").select("relative_path", F.lit("skip").alias("action"), F.col("path").alias("target")))
 
 

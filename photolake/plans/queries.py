@@ -452,23 +452,34 @@ def destinations(s, d):
     return views.photos(s, d).select("id", moves.dest_path(path, F.when(i % 5 == 0, "o/x.jpg").otherwise(""), F.col("provenance"), st).alias("dest"))
 
 
-@register()
+_NUMBERED = "case when n = 0 then path else regexp_replace(path, '(\\.[a-z]+)$', ' (' || n || ')\\1') end"
+
+
+@register(
+    PHOTOS_SQL + "asked as (select id as key, 'selected/IMG_' || id % 997 || '.jpg' as path from photos), there as (select distinct path from asked where key % 10 = 0),",
+    f"select key, {_NUMBERED} as final_path from (select key, path, row_number() over (partition by path order by key) - 1 + case when path in (select path from there) then 1 else 0 end as n from asked)",
+)
 def unique_names(s, d):
     """Photos flattened into one folder by a few names, so that most clash."""
     p = views.photos(s, d)
     plan = p.select(F.col("id").alias("key"), F.col("id").alias("ord"), F.concat(F.lit("selected/IMG_"), (F.col("id") % 997).cast("string"), F.lit(".jpg")).alias("path"))
     there = p.filter("id % 10 = 0").select(F.concat(F.lit("selected/IMG_"), (F.col("id") % 997).cast("string"), F.lit(".jpg")).alias("path")).distinct()
-    return moves.assign_unique(plan, there)
+    return moves.assign_unique(plan, there).select("key", "final_path")
 
 
-@register()
+@register(
+    PHOTOS_SQL + """moved as (select id, relative_path as from_path, live_photo_video_path as clip from photos where status = 'optional' and source = 'local' and not missing),
+      rws as (select id, 'image' as role, from_path, id * 2 as key from moved union all select id, 'companion', clip, id * 2 + 1 from moved where clip in (select relative_path from photos where not missing)),
+      ranked as (select *, 'selected/' || regexp_extract(from_path, '[^/]*$') as path from rws),""",
+    f"select id, role, from_path, {_NUMBERED} as to_path from (select *, row_number() over (partition by path order by key) - 1 as n from ranked)",
+)
 def move_plan(s, d):
     p = views.photos(s, d)
     there = p.filter("not missing").select(F.col("relative_path").alias("path"))
     return moves.plan_moves(p, p.filter("status = 'optional'").select("id", F.lit("selected").alias("new_status")), there)
 
 
-@register()
+@register(PHOTOS_SQL, "select 'selected/' || relative_path as from_path, 'selected/' || regexp_extract(relative_path, '[^/]*$') as to_path from photos")
 def flatten_plan(s, d):
     p = views.photos(s, d).withColumn("relative_path", F.concat(F.lit("selected/"), "relative_path"))
     return moves.plan_flatten(p, p.select("relative_path"), p.filter("remote_id is not null").select("account", "remote_id", "relative_path"))[0]
