@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photolake.functions.dates import day_label, in_range, low_confidence
-from photolake.operators.dedup import duplicate_counts, redundant_copies
+from photolake.operators.dedup import duplicate_counts, representatives
 from photolake.session import stash
 
 PAGE = 200
+#: Pages from the start that are read without ranking all rows.
+NEAR = 10
 
 
 def companion_paths(photos: DataFrame) -> DataFrame:
@@ -31,7 +33,8 @@ def timeline(photos: DataFrame, status: str | None = None, provenance: str | Non
     if show_missing:
         rows = photos.filter("missing")
     else:
-        rows = photos.filter("not missing").join(redundant_copies(photos).select("id"), "id", "left_anti")
+        best = representatives(photos).filter("n > 1").select("sha256", F.col("id").alias("_keep"))
+        rows = photos.filter("not missing").join(best, "sha256", "left").filter("_keep is null or id = _keep")
         rows = rows.join(companion_paths(photos), "relative_path", "left_anti")
     if status:
         rows = rows.filter(F.col("status") == status)
@@ -54,7 +57,8 @@ def ordered(rows: DataFrame, order: str = "asc") -> DataFrame:
 
 def with_badges(rows: DataFrame, photos: DataFrame) -> DataFrame:
     """T9. dupe_count (0 for none), is_live, download_pending."""
-    counts = duplicate_counts(photos).withColumnRenamed("n", "dupe_count")
+    shown = rows.select("sha256").distinct()
+    counts = duplicate_counts(photos.join(shown, "sha256", "left_semi")).withColumnRenamed("n", "dupe_count")
     joined = rows.join(counts, "sha256", "left")
     return joined.select(
         *rows.columns,
@@ -80,13 +84,15 @@ def page(rows: DataFrame, number: object = 1, size: int = PAGE, descending: bool
         wanted = int(number)
     except (TypeError, ValueError):
         wanted = 1
-    total = rows.count()
-    last = max(1, -(-total // size))
-    wanted = wanted if 1 <= wanted <= last else last
     keys = [F.desc(c) if descending else F.asc(c) for c in ("captured_at", "id")]
-    if wanted * size <= 10 * size:  # near the start the top rows are cheaper than a rank of all
-        return rows.orderBy(*keys).offset((wanted - 1) * size).limit(size)
+    if 1 <= wanted <= NEAR:  # the top rows are cheaper than a rank of all
+        top = stash(rows.orderBy(*keys).limit(wanted * size), "top")
+        if (total := top.count()) <= (wanted - 1) * size:  # these are all rows there are
+            wanted = max(1, -(-total // size))
+        return top.orderBy(*keys).offset((wanted - 1) * size).limit(size)
     found = ranked(rows, rows.columns, descending)
+    last = max(1, -(-found.count() // size))
+    wanted = wanted if 1 <= wanted <= last else last
     return found.filter(F.col("pos").between((wanted - 1) * size, wanted * size - 1)).drop("pos").orderBy(*keys)
 
 

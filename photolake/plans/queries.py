@@ -493,10 +493,10 @@ def export_counts(s, d):
     return moves.export_report(_export(s, d))
 
 
-def _export(s, d):
+def _export(s, d, only=None):
     f = views.photos(s, d).filter("not missing").select("id", F.concat(F.lit("selected/"), paths.name_of("relative_path")).alias("relative_path"), "file_size", "file_mtime", "captured_at")
     there = f.filter("id % 3 = 0").select(paths.name_of("relative_path").alias("name"), "file_size", (F.col("file_mtime") + 1).alias("file_mtime"))
-    return moves.plan_export(f, f, there.unionByName(f.filter("id % 3 = 1").select(paths.name_of("relative_path").alias("name"), F.lit(-1).cast("long").alias("file_size"), "file_mtime")))
+    return moves.plan_export(f, f, there.unionByName(f.filter("id % 3 = 1").select(paths.name_of("relative_path").alias("name"), F.lit(-1).cast("long").alias("file_size"), "file_mtime")), only=only)
 
 
 @register(PHOTOS_SQL + _EXPORT, "select path as relative_path, case when id % 3 = 0 then 'skip' else 'copy' end as action, case when id % 3 = 1 then regexp_replace(substr(path, 10), '(\\.[a-z]+)$', ' (1)\\1') else substr(path, 10) end as target from f")
@@ -589,7 +589,150 @@ def streamed_daily_counts(s, d):
     s.conf.set("spark.sql.session.timeZone", "UTC")
     kind = table(s, d, "events").schema
     rows = s.readStream.schema(kind).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("captured_at"))
-    name = f"daily_{uuid.uuid4().hex}"
-    run = stream_daily_counts(rows, "3650 days").writeStream.format("memory").queryName(name).outputMode("complete")
-    run.option("checkpointLocation", f"{shared_dir(s)}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return s.table(name).select(F.to_date("day").alias("day"), "n")
+    base = f"{shared_dir(s)}/daily-{uuid.uuid4().hex}"
+    counted = stream_daily_counts(rows, "3650 days")
+    # Update mode: a day's row comes again whenever it grows, and the newest counts.
+    write = lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/rows/batch={n}")
+    counted.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").groupBy(F.to_date("day").alias("day")).agg(F.max_by("n", "batch").alias("n"))
+
+
+def _streamed(s, d, name, start, view, key, run):
+    """The keyed table after a streaming job has seen all of a given table as files."""
+    from photolake.session import shared_dir
+    from photolake.streaming.jobs import KeyedTable
+
+    base = f"{shared_dir(s)}/{run.__name__}-{uuid.uuid4().hex}"
+    rows = s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parquet*")
+    state_ = KeyedTable(s, f"{base}/table", key).start(start)
+    run(view(rows), state_, base).awaitTermination()
+    return state_.read()
+
+
+@register(REMOTE_SQL, f"select '@icloud/' || account || '/' || remote_id as relative_path, case when (account, remote_id) in (select (account, remote_id) from decisions) then 'rejected' else 'optional' end as status, {_SLUG} as provenance, size as file_size, epoch_us(captured_at) as captured_us from items")
+def streamed_pull(s, d):
+    """W1."""
+    from photolake.streaming.jobs import stream_pull
+
+    named, got = views.remote_state(s, d)
+    photos = views.photos(s, d)
+
+    def pulled(rows, catalog, base):
+        return stream_pull(rows, catalog, got, named, f"{base}/check")
+
+    view = lambda o: remote.read_remote_listing(views.listing_of_orders(o))
+    out = _streamed(s, d, "orders", photos, view, ["id"], pulled)
+    return out.filter("relative_path like '@icloud/%'").select("relative_path", "status", "provenance", "file_size", us("captured_at").alias("captured_us"))
+
+
+@register(_FOLD, """select id, case when id = l.who then l.st when l.who is not null and not missing then 'rejected' else status end as status from photos left join last l using (sha256)""")
+def streamed_decisions(s, d):
+    """W2."""
+    from photolake.schemas import ACTIONS
+    from photolake.streaming.jobs import KeyedTable, stream_decisions
+
+    def decided(rows, catalog, base):
+        log = KeyedTable(s, f"{base}/log", ["photo_id"]).start(s.createDataFrame([], ACTIONS))
+        return stream_decisions(rows, catalog, log, f"{base}/check")
+
+    return _streamed(s, d, "orders", views.photos(s, d), views.actions_of_orders, ["id"], decided).select("id", "status")
+
+
+@register(_USABLE, _NEAR)
+def streamed_near_duplicates(s, d):
+    """W3."""
+    from photolake.streaming.jobs import KeyedTable, stream_near_duplicates
+
+    pairs = s.createDataFrame([], "photo_a long, photo_b long, hamming_distance short, resolved boolean")
+
+    def paired(rows, found, base):
+        seen = KeyedTable(s, f"{base}/seen", ["id"]).start(views.photos(s, d).limit(0))
+        return stream_near_duplicates(rows, seen, found, f"{base}/check")
+
+    return _streamed(s, d, "events", pairs, views.photos_of_events, ["photo_a", "photo_b"], paired).select("photo_a", "photo_b", "hamming_distance")
+
+
+@register(PHOTOS_SQL + _LISTED, "select relative_path, case when l.file_mtime is null then o.file_mtime else l.file_mtime end as file_mtime, case when l.file_mtime is null then o.missing else false end as missing from photos o full join listed l using (relative_path)")
+def streamed_listing(s, d):
+    """W4."""
+    from photolake.streaming.jobs import stream_listing
+
+    def listed(rows, catalog, base):
+        return stream_listing(rows, catalog, f"{base}/check")
+
+    return _streamed(s, d, "events", views.photos(s, d), lambda e: _listing(views.photos_of_events(e)), ["relative_path"], listed).select("relative_path", "file_mtime", "missing")
+
+
+@register(PHOTOS_SQL, "select account, count(*) filter (id % 2 = 0 and status <> 'optional') as n_decisions, count(*) filter (id % 2 = 1) as n_downloaded, max(epoch_us(captured_at)) as cursor_us from photos where source = 'icloud' group by account")
+def account_states_read_back(s, d):
+    """S3, S6. What was written for each account, read again."""
+    from photolake.session import shared_dir
+
+    p = views.photos(s, d).filter("source = 'icloud'")
+    docs = state.account_documents(p.groupBy("account").agg(F.max("captured_at").alias("cursor")), p.filter("id % 2 = 0").select("account", "remote_id", "status"), p.filter("id % 2 = 1").select("account", "remote_id", "relative_path"))
+    states, named, got, _ = state.read_account_states(s, state.write_account_states(docs, f"{shared_dir(s)}/states"))
+    counted = lambda df, n: df.groupBy("account").agg(F.count(F.lit(1)).alias(n))
+    out = states.join(counted(named, "n_decisions"), "account", "left").join(counted(got, "n_downloaded"), "account", "left")
+    return out.select("account", F.coalesce("n_decisions", F.lit(0)).alias("n_decisions"), F.coalesce("n_downloaded", F.lit(0)).alias("n_downloaded"), us("cursor").alias("cursor_us"))
+
+
+@register(PHOTOS_SQL, "select source_ref as source_id, relative_path, status from photos where source_ref is not null and status <> 'optional'")
+def source_states_read_back(s, d):
+    """S5, S6."""
+    from photolake.session import shared_dir
+
+    p = views.photos(s, d).filter("source_ref is not null")
+    sources = p.select(F.col("source_ref").alias("id"), F.concat(F.lit("disk-"), F.col("source_ref").cast("string")).alias("name")).distinct()
+    docs = state.source_documents(sources, p.select(F.col("source_ref").alias("source_id"), "relative_path", "status"))
+    return state.read_source_states(s, state.write_states(docs, f"{shared_dir(s)}/sources"), sources)[0].select("source_id", "relative_path", "status")
+
+
+@register(PHOTOS_SQL, """select id, case when id % 4 = 0 then 'selected/moved/' || id || '.jpg' else relative_path end as relative_path, case when id % 4 = 0 then false else missing end as missing,
+ case when id % 4 = 0 and source_ref is null then 'selected' else status end as status, case when id % 4 = 0 and source_ref is null then 'moved' else provenance end as provenance from photos""")
+def relinked(s, d):
+    """J5."""
+    p = views.photos(s, d)
+    to = p.filter("id % 4 = 0").select("id", F.concat(F.lit("selected/moved/"), F.col("id").cast("string"), F.lit(".jpg")).alias("new_path"))
+    placeholder = p.filter("id % 8 = 0").withColumn("relative_path", F.concat(F.lit("selected/moved/"), F.col("id").cast("string"), F.lit(".jpg"))).withColumn("id", -1 - F.col("id"))
+    return scan.relink(p.unionByName(placeholder), to).select("id", "relative_path", "missing", "status", "provenance")
+
+
+_BY_ID = "by_id as (select id // 2 as cid, max_by(relative_path, {'t': captured_at, 'p': relative_path}) as clip from photos where not missing and source = 'local' and media_type = 'video' and id % 6 <> 1 group by 1),"
+
+
+@register(PHOTOS_SQL + _BY_ID, """select i.id, coalesce(b.clip, v.relative_path) as clip from photos i left join by_id b on b.cid = i.id // 2
+ left join photos v on v.id = i.id + 1 and not v.missing and v.source = 'local' and abs(epoch_us(i.captured_at) - epoch_us(v.captured_at)) <= 1000000
+ where i.media_type = 'image' and not i.missing and i.source = 'local' and coalesce(b.clip, v.relative_path) is not null""")
+def live_pairs_by_identifier(s, d):
+    """J13. Two thirds of the clips carry their image's identifier, the others pair by name."""
+    p = views.photos(s, d).withColumn("live_photo_video_path", F.lit(None).cast("string"))
+    cid = F.when(~((F.col("media_type") == "video") & (F.col("id") % 6 == 1)), F.floor(F.col("id") / 2))
+    return live.live_pairs(p.withColumn("content_id", cid), "content_id")
+
+
+_LOCAL_FOLD = ACTIONS_SQL + PHOTOS_SQL + """ok as (select a.*, p.sha256 from actions a join photos p on p.id = a.photo_id where not p.missing and p.source = 'local'),
+last as (select sha256, max_by(photo_id, {'t': ts, 'a': action_id}) as who, max_by(status, {'t': ts, 'a': action_id}) as st from ok group by sha256),
+far as (select p.id, max_by(a.status, {'t': a.ts, 'a': a.action_id}) as st from actions a join photos p on p.id = a.photo_id and p.source = 'icloud' group by 1),"""
+
+
+@register(_LOCAL_FOLD, "select p.id, case when p.source = 'icloud' then coalesce(f.st, p.status) when p.id = l.who then l.st when l.who is not null and not p.missing then 'rejected' else p.status end as status from photos p left join last l using (sha256) left join far f on f.id = p.id")
+def decisions_applied(s, d):
+    """C7."""
+    p = views.photos(s, d)
+    none = p.filter("source = 'icloud'").select("account", "remote_id", "status").limit(0)
+    return decisions.apply_decisions(p, none, views.actions(s, d))[0].select("id", "status")
+
+
+@register(PHOTOS_SQL + _EXPORT, "select path as relative_path, case when id % 3 = 0 then 'skip' else 'copy' end as action, case when id % 3 = 1 then regexp_replace(substr(path, 10), '(\\.[a-z]+)$', ' (1)\\1') else substr(path, 10) end as target from f where id in (select id from photos where status = 'selected')")
+def incremental_export(s, d):
+    """U7. Only what has just been selected."""
+    changed = views.photos(s, d).filter("status = 'selected'").select(F.concat(F.lit("selected/"), paths.name_of("relative_path")).alias("relative_path"))
+    return _export(s, d, changed)
+
+
+@register(REMOTE_SQL + PHOTOS_SQL + _LISTED, f"select relative_path, case split_part(relative_path, '/', 1) when 'selected' then 'selected' when 'rejected' then 'rejected' else 'optional' end as status from listed union all select '@icloud/' || account || '/' || remote_id, case when (account, remote_id) in (select (account, remote_id) from decisions) then 'rejected' else 'optional' end from items")
+def rebuilt_catalog(s, d):
+    """R7. A catalog from listings and states alone."""
+    p = views.photos(s, d)
+    named, got = views.remote_state(s, d)
+    return remote.rebuild_catalog(p.limit(0), _listing(p), remote.read_remote_listing(views.remote_listing(s, d)), got, named).select("relative_path", "status")

@@ -16,7 +16,11 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One photo an event."""
     use_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.regexp_extract("props", r'"k": (\d+)', 1).cast("long"))
+    return photos_of_events(table(spark, sf_dir, "events"))
+
+
+def photos_of_events(events: DataFrame) -> DataFrame:
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.regexp_extract("props", r'"k": (\d+)', 1).cast("long"))
     i = F.col("event_id")
     remote = i % 13 == 0
     prov = F.when(F.col("user_id") % 7 == 0, "").otherwise(F.concat(F.lit("acct-"), (F.col("user_id") % 5).cast("string")))
@@ -108,7 +112,10 @@ named_files as (select *, regexp_extract(relative_path, '[^/]*$') as name from f
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One action an order, on a photo chosen by its number."""
-    o = table(spark, sf_dir, "orders")
+    return actions_of_orders(table(spark, sf_dir, "orders"))
+
+
+def actions_of_orders(o: DataFrame) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "selected").when(F.col("o_orderstatus") == "O", "rejected").otherwise("optional")
     return o.select(F.col("o_orderkey").alias("action_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), (F.col("o_custkey") * 7 % 10007).alias("photo_id"), status.alias("status"))
 
@@ -121,7 +128,11 @@ actions as (select o_orderkey as action_id, o_orderdate as ts, o_custkey * 7 % 1
 def remote_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as items of accounts named after customers; every third item is listed twice."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    o = table(spark, sf_dir, "orders").withColumn("again", F.explode(F.sequence(F.lit(0), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0))))
+    return listing_of_orders(table(spark, sf_dir, "orders"))
+
+
+def listing_of_orders(orders: DataFrame) -> DataFrame:
+    o = orders.withColumn("again", F.explode(F.sequence(F.lit(0), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0))))
     k = F.col("o_orderkey")
     return o.select(
         F.concat(F.lit("C "), (F.col("o_custkey") % 50).cast("string"), F.lit("@X.org")).alias("account"), (k * 2 + F.col("again")).alias("position"), F.concat(F.lit("r"), k.cast("string")).alias("remote_id"),

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ACCOUNT = "account string, cursor string, decisions map<string,string>, downloaded map<string,string>, _corrupt string"
-_SOURCE = "decisions map<string,string>, _corrupt string"
+_SOURCE = "name string, decisions map<string,string>, _corrupt string"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true")
-    return reader.json(path).withColumn("_file", F.col("_metadata.file_path"))
+    """The objects of all .json files below a path with their file: one a file, over as many lines as it likes, or one a line.
+
+    No text of an object can hold a brace, a line end and a brace, so files are
+    cut there. A missing path counts as empty.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
+        files = files.select(F.col("_metadata.file_path").alias("_file"), "value")
+    else:
+        files = spark.createDataFrame([], "_file string, value string")
+    each = files.select("_file", F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("_one"))
+    each = each.withColumn("_x", F.from_json("_one", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    sound = F.col("_x._corrupt").isNull() & F.col("_one").rlike(r"(?s)^\s*\{.*\}\s*$")
+    names = [c.split()[0] for c in re.split(r", (?=\w+ )", schema) if not c.startswith("_corrupt")]
+    return each.select("_file", *(F.when(sound, F.col(f"_x.{c}")).alias(c) for c in names), F.when(~sound, F.col("_one")).alias("_corrupt"))
 
 
 def read_account_states(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -28,8 +43,8 @@ def read_account_states(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 def read_source_states(spark: SparkSession, path: str, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S5. (decisions, quarantined) from `{name}.json` for each registered source."""
-    docs = _read(spark, path, _SOURCE).withColumn("name", F.regexp_extract("_file", r"([^/]+)\.json$", 1))
+    """S5. (decisions, quarantined) from one document for each registered source, named in it or else by its file, `{name}.json`."""
+    docs = _read(spark, path, _SOURCE).withColumn("name", F.coalesce("name", F.regexp_extract("_file", r"([^/]+)\.json$", 1)))
     bad = F.col("_corrupt").isNotNull()
     named = docs.filter(~bad).join(sources.select(F.col("id").alias("source_id"), "name"), "name")
     return named.select("source_id", F.explode("decisions").alias("relative_path", "status")), docs.filter(bad).select("_file", "_corrupt")
@@ -45,8 +60,19 @@ def account_documents(states: DataFrame, decisions: DataFrame, downloaded: DataF
     return every.select("account", F.date_format("cursor", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("cursor"), F.coalesce("decisions", empty).alias("decisions"), F.coalesce("downloaded", empty).alias("downloaded"), F.lit(1).alias("version"))
 
 
-def write_account_states(documents: DataFrame, base: str) -> str:
-    """S6. Writes a fresh version folder and returns its path; what is being read is never overwritten."""
+def source_documents(sources: DataFrame, decisions: DataFrame) -> DataFrame:
+    """S6. One document a source; decisions of status "optional" are left out."""
+    named = decisions.filter("status <> 'optional'").join(sources.select(F.col("id").alias("source_id"), "name"), "source_id")
+    maps = named.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("relative_path", "status")))).alias("decisions"))
+    every = sources.select("name").join(maps, "name", "left")
+    return every.select("name", F.coalesce("decisions", F.create_map().cast("map<string,string>")).alias("decisions"), F.lit(1).alias("version"))
+
+
+def write_states(documents: DataFrame, base: str) -> str:
+    """S6. Writes a fresh version folder, one document a line, and returns its path; what is being read is never overwritten."""
     path = f"{base}/version-{uuid.uuid4().hex}"
     documents.write.json(path)
     return path
+
+
+write_account_states = write_states

@@ -1,9 +1,9 @@
 """Streaming forms of the catalog jobs.
 
-State lives in versioned tables: each batch reads the newest version, applies
-the batch operator and writes the next one, named by the batch's number. A
-batch that is run again therefore gives the same version and loses nothing,
-however late its rows are.
+State lives in keyed tables: a folder of Parquet partitions, one for each batch,
+of which a key's newest row counts. Each batch reads what came before it,
+applies the batch operator and writes the rows it touched. A batch that is run
+again therefore gives the same rows and loses nothing, however late its input is.
 """
 
 from __future__ import annotations
@@ -20,64 +20,66 @@ from photolake.operators.scan import apply_listing
 from photolake.sources.remote import pull
 
 
-class VersionedTable:
-    """Parquet versions under one folder, numbered by batch; -1 is the start."""
+class KeyedTable:
+    """Parquet partitions batch=n under one folder; -1 is the start. The row of a key's largest batch is its row."""
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base
+    def __init__(self, spark: SparkSession, base: str, key: list[str]):
+        self.spark, self.base, self.key = spark, base, key
 
-    def _path(self, n: int):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/v={n}")
-
-    def versions(self) -> list[int]:
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(top):
-            return []
-        names = [s.getPath() for s in fs.listStatus(top)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def start(self, df: DataFrame) -> VersionedTable:
-        df.write.parquet(f"{self.base}/v=-1")
+    def start(self, df: DataFrame) -> KeyedTable:
+        df.write.parquet(f"{self.base}/batch=-1")
         return self
 
     def read(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the newest made before a batch."""
-        n = max(v for v in self.versions() if before is None or v < before)
-        return self.spark.read.parquet(f"{self.base}/v={n}")
+        """The table as it is, or as it was before a batch."""
+        schema = self.spark.read.parquet(f"{self.base}/batch=-1").schema
+        rows = self.spark.read.schema(schema).option("basePath", self.base).parquet(self.base)
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        newest = rows.groupBy(*self.key).agg(F.max_by(F.struct(*(c for c in schema.names if c not in self.key)), "batch").alias("_row"))
+        return newest.select(*(F.col(c) if c in self.key else F.col(f"_row.{c}").alias(c) for c in schema.names))
+
+    def write(self, touched: DataFrame, n: int) -> None:
+        touched.write.mode("overwrite").parquet(f"{self.base}/batch={n}")
 
-    def write(self, df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/v={n}")
+    def compacted(self, base: str) -> KeyedTable:
+        """A table of the same rows in another folder, to go on from with fewer partitions."""
+        return KeyedTable(self.spark, base, self.key).start(self.read())
 
 
 def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_pull(listing: DataFrame, catalog: VersionedTable, downloaded: DataFrame, decisions: DataFrame, checkpoint: str) -> StreamingQuery:
-    """W1. Listing pages as they arrive; items of any age come in, each once. No watermark: it would lose late ones."""
-    return _run(listing, checkpoint, lambda rows, n: catalog.write(pull(catalog.read(n), rows, downloaded, decisions), n))
+def stream_pull(listing: DataFrame, catalog: KeyedTable, downloaded: DataFrame, decisions: DataFrame, checkpoint: str) -> StreamingQuery:
+    """W1. Listing pages as they arrive; items of any age come in, each once. No watermark: it would lose late ones. catalog's key: id."""
+
+    def step(rows: DataFrame, n: int) -> None:
+        before = catalog.read(n)
+        catalog.write(pull(before, rows, downloaded, decisions).join(before.select("id"), "id", "left_anti").select(*before.columns), n)
+
+    return _run(listing, checkpoint, step)
 
 
-def stream_decisions(actions: DataFrame, catalog: VersionedTable, log: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """W2. Actions as they arrive, in any order. log keeps the last action for each photo, so a late older action changes nothing that a newer one has set."""
+def stream_decisions(actions: DataFrame, catalog: KeyedTable, log: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """W2. Actions as they arrive, in any order. log (key: photo_id) keeps the last action for each photo, so a late older action changes nothing that a newer one has set. catalog's key: id."""
 
     def step(rows: DataFrame, n: int) -> None:
-        every = log.read(n).unionByName(rows.select("action_id", "ts", "photo_id", "status"))
-        last = every.groupBy("photo_id").agg(F.max_by(F.struct("action_id", "ts", "status"), F.struct("ts", "action_id")).alias("x")).select("x.action_id", "x.ts", "photo_id", "x.status")
-        log.write(last, n)
-        now = log.read(n + 1)
-        touched = now.join(rows.select("photo_id").distinct(), "photo_id", "left_semi")
+        acts = rows.select("action_id", "ts", "photo_id", "status")
+        known = log.read(n).join(acts.select("photo_id").distinct(), "photo_id", "left_semi")
+        last = known.unionByName(acts).groupBy("photo_id").agg(F.max_by(F.struct("action_id", "ts", "status"), F.struct("ts", "action_id")).alias("x"))
+        log.write(last.select("x.action_id", "x.ts", "photo_id", "x.status"), n)
         before = catalog.read(n)
-        groups = before.join(touched.select(F.col("photo_id").alias("id")), "id", "left_semi").select("sha256").filter("sha256 is not null").distinct()
-        mates = before.join(groups, "sha256", "left_semi").select(F.col("id").alias("photo_id")).union(touched.select("photo_id")).distinct()
-        catalog.write(fold_actions(before, now.join(mates, "photo_id", "left_semi")).drop("changed"), n)
+        own = before.join(acts.select(F.col("photo_id").alias("id")).distinct(), "id", "left_semi")
+        groups = own.select("sha256").filter("coalesce(sha256, '') <> ''").distinct()
+        near = before.join(groups, "sha256", "left_semi").select(*before.columns).union(own.filter("coalesce(sha256, '') = ''"))
+        now = log.read(n + 1).join(near.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
+        catalog.write(fold_actions(near, now).drop("changed").select(*before.columns), n)
 
     return _run(actions, checkpoint, step)
 
 
-def stream_near_duplicates(photos: DataFrame, seen: VersionedTable, pairs: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """W3. New photos against each other and against known ones of the buckets they touch; exact for any lateness, a rerun adds nothing."""
+def stream_near_duplicates(photos: DataFrame, seen: KeyedTable, pairs: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """W3. New photos against each other and against known ones of the buckets they touch; exact for any lateness, a rerun adds nothing. Keys: id of seen, photo_a and photo_b of pairs."""
 
     def step(rows: DataFrame, n: int) -> None:
         known = seen.read(n)
@@ -85,8 +87,9 @@ def stream_near_duplicates(photos: DataFrame, seen: VersionedTable, pairs: Versi
         bucket = F.floor(F.unix_micros("captured_at") / (WINDOW_S * 1_000_000))
         touched = fresh.select(F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b")).distinct()
         near = known.withColumn("_b", bucket).join(touched, "_b", "left_semi").drop("_b")
-        pairs.write(merge_pairs(pairs.read(n), near_duplicates(near.unionByName(fresh))), n)
-        seen.write(known.unionByName(fresh), n)
+        found = merge_pairs(pairs.read(n), near_duplicates(near.unionByName(fresh)))
+        pairs.write(found.join(pairs.read(n).select("photo_a", "photo_b"), ["photo_a", "photo_b"], "left_anti"), n)
+        seen.write(fresh, n)
 
     return _run(photos, checkpoint, step)
 
@@ -105,9 +108,14 @@ def stream_near_duplicates_bounded(photos: DataFrame, lateness: str = "1 minute"
     return a.join(b, near).filter(~same & (distance <= max_hamming)).select(F.least("a", "b").alias("photo_a"), F.greatest("a", "b").alias("photo_b"), distance.cast("short").alias("hamming_distance"))
 
 
-def stream_listing(listing: DataFrame, catalog: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """W4. New and changed files as they are listed. Vanished files need a whole snapshot, which diff_listing() takes."""
-    return _run(listing, checkpoint, lambda rows, n: catalog.write(apply_listing(catalog.read(n), rows), n))
+def stream_listing(listing: DataFrame, catalog: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """W4. New and changed files as they are listed. Vanished files need a whole snapshot, which diff_listing() takes. catalog's key: relative_path."""
+
+    def step(rows: DataFrame, n: int) -> None:
+        after = apply_listing(catalog.read(n), rows)
+        catalog.write(after.join(rows.select("relative_path").distinct(), "relative_path", "left_semi").select(*after.columns), n)
+
+    return _run(listing, checkpoint, step)
 
 
 def stream_daily_counts(photos: DataFrame, lateness: str = "7 days") -> DataFrame:

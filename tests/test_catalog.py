@@ -210,6 +210,28 @@ def test_state_documents(spark, tmp_path):
     assert state.read_account_states(spark, out)[2].first() == ("l@x.org", "r2", "selected/r2.jpg")
 
 
+def test_states_read_back_whole(spark, tmp_path):
+    accounts = [(f"a{i}@x.org", None if i == 2 else T0) for i in range(5)]
+    states = spark.createDataFrame(accounts, "account string, cursor timestamp")
+    named = spark.createDataFrame([(f"a{i}@x.org", f"r{k}", "optional" if k == 0 else "rejected") for i in range(4) for k in range(3)], "account string, remote_id string, status string")
+    got = spark.createDataFrame([("a0@x.org", "r9", 'selected/}\n{".jpg')], "account string, remote_id string, relative_path string")
+    out = state.write_account_states(state.account_documents(states, named, got).coalesce(1), str(tmp_path / "out"))
+    (tmp_path / "out" / "broken.json").write_text("{broken")
+    (tmp_path / "out" / "list.json").write_text("[1, 2]")
+    (tmp_path / "out" / "nested.json").write_text('{"account": "n@x.org",\n "decisions": {\n "r1": "rejected", "n": 5\n }\n}')
+    a, b, c, bad = state.read_account_states(spark, str(tmp_path / "out"))
+    assert {r.account: r.cursor for r in a.collect()} == dict(accounts) | {"n@x.org": None}
+    assert {tuple(r) for r in b.collect()} == {tuple(r) for r in named.filter("status <> 'optional'").collect()} | {("n@x.org", "r1", "rejected"), ("n@x.org", "n", "5")}
+    assert c.collect() == got.collect() and {r._corrupt for r in bad.collect()} == {"{broken", "[1, 2]"}
+    assert state.read_account_states(spark, str(tmp_path / "none"))[0].count() == 0
+    sources = spark.createDataFrame([(1, "disk"), (2, "card")], "id long, name string")
+    marks = spark.createDataFrame([(1, "a.jpg", "rejected"), (1, "b.jpg", "optional"), (2, "c.jpg", "selected")], "source_id long, relative_path string, status string")
+    out = state.write_states(state.source_documents(sources, marks), str(tmp_path / "src"))
+    (tmp_path / "src" / "disk.json").write_text('{"decisions": {"d.jpg": "rejected"}}')
+    back, bad = state.read_source_states(spark, str(tmp_path / "src"), sources)
+    assert {tuple(r) for r in back.collect()} == {(1, "a.jpg", "rejected"), (2, "c.jpg", "selected"), (1, "d.jpg", "rejected")} and bad.count() == 0
+
+
 def test_listing_walk(spark, tmp_path):
     for name in ("_DSC1.jpg", "a/b/x.HEIC", ".h/x.jpg", "a/.x.jpg", "n.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -230,8 +252,8 @@ def test_stream_of_pairs_and_listing(spark, tmp_path):
     at = lambda s: T0 + timedelta(seconds=s)
     base = str(tmp_path)
     photos(spark, photo(1, phash="0" * 16)).write.parquet(f"{base}/in/1")
-    seen = jobs.VersionedTable(spark, f"{base}/seen").start(photos(spark))
-    pairs = jobs.VersionedTable(spark, f"{base}/pairs").start(spark.createDataFrame([], schemas.PAIRS))
+    seen = jobs.KeyedTable(spark, f"{base}/seen", ["id"]).start(photos(spark))
+    pairs = jobs.KeyedTable(spark, f"{base}/pairs", ["photo_a", "photo_b"]).start(spark.createDataFrame([], schemas.PAIRS))
     for n, rows in enumerate(([], [photo(2, phash="0" * 16, captured_at=at(3))], [photo(2, phash="0" * 16, captured_at=at(3))])):
         if rows:
             photos(spark, *rows).write.parquet(f"{base}/in/{n + 1}")
@@ -242,8 +264,8 @@ def test_stream_of_pairs_and_listing(spark, tmp_path):
 
 def test_stream_of_decisions_takes_the_latest(spark, tmp_path):
     base = str(tmp_path)
-    catalog = jobs.VersionedTable(spark, f"{base}/cat").start(photos(spark, photo(1, sha256="a"), photo(2, sha256="a")))
-    log = jobs.VersionedTable(spark, f"{base}/log").start(spark.createDataFrame([], schemas.ACTIONS))
+    catalog = jobs.KeyedTable(spark, f"{base}/cat", ["id"]).start(photos(spark, photo(1, sha256="a"), photo(2, sha256="a")))
+    log = jobs.KeyedTable(spark, f"{base}/log", ["photo_id"]).start(spark.createDataFrame([], schemas.ACTIONS))
     for n, row in enumerate([(5, T0 + timedelta(seconds=9), 1, "selected"), (4, T0, 2, "selected")]):
         spark.createDataFrame([row], schemas.ACTIONS).write.parquet(f"{base}/in/{n}")
         stream = spark.readStream.schema(schemas.ACTIONS).option("recursiveFileLookup", "true").parquet(f"{base}/in")
