@@ -16,7 +16,6 @@ which of them may follow the state reached there.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -32,9 +31,8 @@ from photolake.session import table, use_package
 
 #: The published pre-split pattern of this family of vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and space-separated parts that a worker remembers; then it starts anew.
+#: Words and space-separated parts that a worker remembers; then it starts anew. Longer ones than LONG characters are not remembered.
 REMEMBERED = 400_000
-#: Longer parts are not remembered.
 LONG = 64
 
 
@@ -130,9 +128,9 @@ class TokenAutomaton:
         col = self.column[token]
         return (self.bits[state, col >> 3] >> (7 - (col & 7)).astype(np.uint8)) & 1 == 1
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The one path through the automaton that spells each word."""
-        out: list[list[int]] = [[]] * len(words)
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The one path through the automaton that spells each word, as little-endian 32-bit ids."""
+        out = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         a = int(np.searchsorted(sizes[order], 1))
@@ -146,7 +144,7 @@ class TokenAutomaton:
             a = b
         return out
 
-    def _encode_block(self, words: list[bytes], sizes: np.ndarray) -> list[list[int]]:
+    def _encode_block(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
         n, top = len(words), int(sizes.max())
         text = np.frombuffer(b"".join(w.ljust(top, b"\0") for w in words), np.uint8).reshape(n, top)
         last = np.full((top + 1, n), -1, np.int32)  # token that ends here on the path, and where it begins
@@ -176,8 +174,8 @@ class TokenAutomaton:
             at = begin[at, lane]
         flat = np.stack(back[::-1], axis=1)
         counts = (flat >= 0).sum(axis=1)
-        ids, ends = flat[flat >= 0].tolist(), np.cumsum(counts).tolist()
-        return [ids[e - c : e] for e, c in zip(ends, counts.tolist(), strict=True)]
+        raw, ends = flat[flat >= 0].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
@@ -204,17 +202,17 @@ def load_automaton(path: str) -> TokenAutomaton:
 
 
 class TextEncoder:
-    """Whole texts through the automaton; what repeats is remembered."""
+    """Whole texts through the automaton, as little-endian 32-bit ids; what repeats is remembered."""
 
     def __init__(self, automaton: TokenAutomaton):
         import regex
 
         self.automaton = automaton
         self.split = regex.compile(SPLIT).findall
-        self.special = re.compile("(" + "|".join(map(re.escape, automaton.specials)) + ")") if automaton.specials else None
-        self.names = [str(i) for i in range(len(automaton.labels))]
-        self.words: dict[str, tuple[list[int], str]] = {}
-        self.parts: dict[str, tuple[list[int], str]] = {}  # by the part without the blank before it
+        longest_first = sorted(automaton.specials, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # by the part without the blank before it
 
     def _pre_split(self, text: str) -> list[str]:
         if text[1:].isalpha() and text[0] == " ":
@@ -223,63 +221,48 @@ class TextEncoder:
             return [text[:-1], text[-1]]
         return self.split(text)
 
-    def _join(self, words: list[str]) -> tuple[list[int], str]:
-        if len(words) == 1:
-            return self.words[words[0]]
-        got = [self.words[w] for w in words]
-        return list(chain.from_iterable([g[0] for g in got])), ",".join([g[1] for g in got])
-
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        for w, ids in zip(new, self.automaton.encode([w.encode() for w in new]), strict=True):
-            self.words[w] = (ids, ",".join(map(self.names.__getitem__, ids)))
+        new = list(words.difference(self.words))
+        self.words.update(zip(new, self.automaton.encode([w.encode() for w in new]), strict=True))
 
-    def _segments(self, segments: list[str]) -> list[tuple[list[int], str]]:
+    def _segments(self, segments: list[str]) -> list[bytes]:
         """Texts without special tokens. A single blank between visible characters begins a word, so the parts between such blanks are looked up on their own."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        lookup = self.parts
+        words, lookup = self.words, self.parts
         split = [s.split(" ") for s in segments]
-        found = [list(map(lookup.get, parts)) for parts in split]
-        new: dict[str, list[str]] = {}
-        odd: dict[int, list[str]] = {}
-        for i, got in enumerate(found):
-            if None in got:
-                for p in {p for p, g in zip(split[i], got, strict=True) if g is None and p not in new}:
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        odd[i] = self.split(segments[i])  # space meets a blank: the whole text is split at once
-                    else:
-                        new[p] = self._pre_split(" " + p)
+        new = set(chain.from_iterable(split)).difference(lookup)
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        own = {p: self._pre_split(" " + p) for p in new - odd}
         first = [self.split(p[0]) for p in split]  # has no blank before it
-        self._learn(set(chain.from_iterable(chain(new.values(), first, odd.values()))))
-        now = {p: self._join(words) for p, words in new.items()}
-        lookup.update((p, g) for p, g in now.items() if len(p) <= LONG)
+        # Where space meets a blank, the whole text is split at once.
+        whole = {i: self.split(segments[i]) for i, p in enumerate(split) if odd and not odd.isdisjoint(p)}
+        self._learn(set(chain.from_iterable(chain(own.values(), first, whole.values()))))
+        for p, found in own.items():
+            lookup[p] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
         out = []
-        for i, (parts, got) in enumerate(zip(split, found, strict=True)):
-            if i in odd:
-                out.append(self._join(odd[i]) if odd[i] else ([], ""))
-                continue
-            if None in got:
-                got = [now[p] if g is None else g for p, g in zip(parts, got, strict=True)] if len(parts) > 1 else got
-            got[0] = self._join(first[i])
-            out.append((list(chain.from_iterable([g[0] for g in got])), ",".join([g[1] for g in got])))
+        for i, (parts, begin) in enumerate(zip(split, first, strict=True)):
+            if i in whole:
+                out.append(b"".join(map(words.__getitem__, whole[i])))
+            else:
+                head = b"".join(map(words.__getitem__, begin))
+                parts[0] = ""
+                out.append(head + b"".join(map(lookup.__getitem__, parts[1:])))
+        for known, fresh in ((lookup, own), (words, chain.from_iterable(chain(own.values(), first, whole.values())))):
+            for p in [p for p in fresh if len(p) > LONG]:
+                known.pop(p, None)
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
-        """(ids, ids joined by commas) of each text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
         specials = self.automaton.specials
         if not any(s in t for t in texts for s in specials):
             return self._segments(texts)
         cut = [[x for x in self.special.split(t) if x] for t in texts]
         plain = [x for own in cut for x in own if x not in specials]
         done = iter(self._segments(plain))
-        out = []
-        for own in cut:
-            got = [([specials[x]], self.names[specials[x]]) if x in specials else next(done) for x in own]
-            out.append((list(chain.from_iterable([g[0] for g in got])), ",".join([g[1] for g in got])))
-        return out
+        return [b"".join([specials[x].to_bytes(4, "little") if x in specials else next(done) for x in own]) for own in cut]
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -288,7 +271,6 @@ _encoders: dict[str, TextEncoder] = {}
 def _encoder(path: str, shared) -> TextEncoder:
     """The worker's encoder; its memory of words goes on from task to task."""
     if path not in _encoders:
-        gc.disable()  # the remembered words are many small objects without cycles
         _encoders[path] = TextEncoder(shared.value)
     return _encoders[path]
 
@@ -307,12 +289,14 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared)
+        decimal = [str(i) for i in range(len(encoder.automaton.labels))].__getitem__
         for batch in batches:
             for part in chunks(batch, "text"):
                 n, digest, back = [], [], []
-                for ids, joined in encoder.encode(text_array(part.column("text")).to_pylist()):
+                for raw in encoder.encode(text_array(part.column("text")).to_pylist()):
+                    ids = np.frombuffer(raw, "<u4").tolist()
                     n.append(len(ids))
-                    digest.append(hashlib.sha256(joined.encode()).hexdigest())
+                    digest.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(encoder.automaton.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -329,8 +313,10 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         encoder = _encoder(path, shared)
         for batch in batches:
             for part in chunks(batch, "text"):
-                got = [ids for ids, _ in encoder.encode(text_array(part.column("text")).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                got = encoder.encode(text_array(part.column("text")).to_pylist())
+                begin = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(begin), pa.array(np.frombuffer(b"".join(got), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
