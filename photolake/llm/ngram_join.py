@@ -25,8 +25,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Wanted share of pairs at exactly the threshold that the bands propose; more alike pairs are found more surely.
 RECALL = 0.9999
-#: Bands with more documents than this are verified in blocks of BLOCK documents by BLOCK.
-CROWDED, BLOCK = 32, 256
+#: Bands with more documents than this are verified in blocks of about BLOCK documents by BLOCK, of about BLOCK_GRAMS n-grams each.
+CROWDED, BLOCK, BLOCK_GRAMS = 32, 256, 1 << 20
 #: Longest signature that is worth its time.
 MOST_HASHES = 96
 
@@ -104,6 +104,20 @@ def ngram_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
 
 
+def equal_sets(sets: DataFrame) -> DataFrame:
+    """doc_id, representative (smallest doc_id of an equal n-gram set), copies, from doc_id, d1, d2, size.
+
+    Rows are sorted over range partitions, and a set that fills several is
+    counted and joined partition by partition, so that no task holds all its rows.
+    """
+    key = ["d1", "d2", "size"]
+    placed = stash(sets.repartitionByRange(*key, "doc_id").withColumn("_part", F.spark_partition_id()), "placed")
+    some = placed.groupBy("_part", *key).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    whole = some.groupBy(*key).agg(F.min("least").alias("representative"), F.sum("n").alias("copies"))
+    told = some.select("_part", *key).join(whole, key)
+    return placed.join(told, ["_part", *key]).select("doc_id", "representative", "copies")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (its smallest node) for the nodes of undirected edges (a, b).
 
@@ -198,14 +212,13 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     bands, rows = choose_bands(similarity, recall)
     sig = stash(signatures(docs, bands, rows, n), "signatures")
     worded = sig.filter("size > 0")
-    own = worded.groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("copies"))
-    members = worded.select("doc_id", "d1", "d2", "size").join(own, ["d1", "d2", "size"]).select("doc_id", "representative", "copies")
+    members = equal_sets(worded.select("doc_id", "d1", "d2", "size"))
     members = stash(members.unionByName(sig.filter("size = 0").select("doc_id", F.col("doc_id").alias("representative"), F.lit(1).cast("long").alias("copies"))), "members")
     chosen = members.filter("doc_id = representative").select("doc_id", "copies").dropDuplicates(["doc_id"])
     first = worded.select("doc_id", "size", "bands").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     posted = stash(first.select("doc_id", "size", "copies", F.posexplode("bands").alias("pos", "band")), "posted")
     drop_stash(sig)
-    crowds = stash(posted.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded), "crowds")
+    crowds = stash(posted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams_in")).filter(F.col("n") > crowded), "crowds")
     inside = stash(posted.join(crowds, "band"), "inside")
     of_doc = inside.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "band")).alias("crowds"))  # at most one entry for each band
 
@@ -226,7 +239,7 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     links = apart.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b").select("a", "b", share.alias("similarity"))
     links = stash(links.filter(F.col("similarity") >= similarity).select("a", "b"), "links")
 
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("grams_in") / BLOCK_GRAMS)).cast("int")
     spread = inside.withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select("doc_id", "copies", "band", "pos", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     spread = spread.join(sets, "doc_id").join(of_doc, "doc_id")
