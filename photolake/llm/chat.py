@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photolake.llm.textnum import text_array
+from photolake.llm.textnum import chunks, text_array
 from photolake.session import table, use_package
 
 #: The template: BEGIN role MIDDLE text END, turn after turn.
@@ -76,6 +76,12 @@ def _ordered(turns: DataFrame) -> DataFrame:
     return kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded text, since index arrays take several times the bytes of a text."""
+    for b in batches:
+        yield from chunks(b, "text")
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """Formatted turns in order: conv_id, turn, formatted, loss_start, loss_end (code points within formatted, null if not learnt).
 
@@ -86,7 +92,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     use_package(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out, start, spans = assemble(text_array(b.column("role")), text_array(b.column("text")))
             made = pa.StringArray.from_buffers(b.num_rows, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(out))
             points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
@@ -121,7 +127,7 @@ def chat_digests(turns: DataFrame) -> DataFrame:
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in kind.split(", ")])
 
-        for b in batches:
+        for b in _slices(batches):
             out, start, spans = assemble(text_array(b.column("role")), text_array(b.column("text")))
             data = out.tobytes()
             ids = b.column("conv_id").to_pylist()

@@ -5,6 +5,10 @@ and the probabilities of the categories before it. A model that learnt from
 probabilities its predecessors give to their own training rows would trust
 them too much, so those are out-of-fold: each comes from a predecessor fitted
 without that row.
+
+The labels only say toxic or not. The categories before that one are the two
+kinds into which the labelled toxic texts themselves fall: clusters of what
+tells them from clean texts, found on the rows that the chain is fitted on.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake.llm import linear
@@ -24,16 +28,50 @@ from photolake.session import table, use_package
 FIT_ROWS = 2000
 TOXIC_FROM = 0.5
 FOLDS = 3
-#: Open insults: a toxic document with one of these is an "insult", a toxic one without is "veiled". Fixed values.
-OPEN_INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-CHAIN = ("insult", "veiled", "toxic")
+#: The chain's categories in order: the two kinds of toxic texts, and toxic as labelled.
+CHAIN = ("kind_1", "kind_2", "toxic")
+#: Features that clusters are told apart by.
+TELLING = 512
+
 
+def kinds(indptr: np.ndarray, index: np.ndarray, toxic: np.ndarray, width: int, rounds: int = 20) -> np.ndarray:
+    """Labels of the chain's categories, a column each, from the toxic labels.
 
-def categories(text: Column, toxic: Column) -> dict[str, Column]:
-    """Labels of the chain's categories from the one given label, for fitting only."""
-    open_ = F.lower(text).rlike(r"\b(" + "|".join(OPEN_INSULTS) + r")\b")
-    bad = toxic > 0
-    return {"insult": (bad & open_).cast("int"), "veiled": (bad & ~open_).cast("int"), "toxic": bad.cast("int")}
+    Two-means over the toxic rows' telling features, each scaled by its log-count
+    ratio; the first kind is the larger. All toxic rows are of the first kind if
+    they don't differ.
+    """
+    out = np.zeros((len(toxic), 3), np.int64)
+    out[:, 2] = toxic > 0
+    own = np.flatnonzero(toxic > 0)
+    out[own, 0] = 1
+    if len(own) < 4 or len(own) == len(toxic):
+        return out
+    ratio = np.maximum(linear.log_count_ratio(indptr, index, toxic, width), 0)
+    counts = np.diff(indptr)
+    row, feature = np.repeat(np.arange(len(toxic)), counts), index
+    mine = toxic[row] > 0
+    worth = np.bincount(feature[mine], minlength=width) * ratio
+    telling = np.argsort(-worth, kind="stable")[:TELLING]
+    place = np.full(width, -1)
+    place[telling] = np.arange(len(telling))
+    at = np.full(len(toxic), -1)
+    at[own] = np.arange(len(own))
+    keep = mine & (place[feature] >= 0)
+    x = np.zeros((len(own), len(telling)))
+    x[at[row[keep]], place[feature[keep]]] = ratio[feature[keep]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    first = x[int((x @ x.mean(axis=0)).argmax())]
+    centre = np.stack([first, x[int((x @ first).argmin())]])
+    for _ in range(rounds):
+        kind = (x @ centre.T).argmax(axis=1)
+        for k in range(2):
+            if (kind == k).any():
+                m = x[kind == k].sum(axis=0)
+                centre[k] = m / max(np.linalg.norm(m), 1e-12)
+    small = kind == (0 if (kind == 0).sum() < (kind == 1).sum() else 1)
+    out[own[small], 0], out[own[small], 1] = 0, 1
+    return out
 
 
 def _with_extra(indptr, index, value, extra, width):
@@ -104,24 +142,24 @@ def _rows_to_fit(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> p
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = each.filter("_y > 0").orderBy(*order).limit(rows).unionByName(each.filter("_y <= 0").orderBy(*order).limit(rows))
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    picked = picked.select("doc_id", "text", *(c.alias(n) for n, c in categories(F.col("text"), F.col("_y")).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 indptr, index = linear.features(part.column("text"))
                 found = pa.ListArray.from_arrays(pa.array(indptr, pa.int32()), pa.array(index, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(c) for c in CHAIN), found], ["doc_id", *CHAIN, "_f"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_y"), found], ["doc_id", "_y", "_f"])
 
-    made = picked.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} int" for c in CHAIN) + ", _f array<int>")
-    return made.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in CHAIN), F.min("_f").alias("_f")).toArrow().sort_by("doc_id")
+    made = picked.mapInArrow(run, "doc_id long, _y int, _f array<int>")
+    return made.groupBy("doc_id").agg(F.max("_y").alias("_y"), F.min("_f").alias("_f")).toArrow().sort_by("doc_id")
 
 
 def detect(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, toxic_from: float = TOXIC_FROM) -> DataFrame:
     """doc_id, a probability for each category of the chain, and toxic (1 or 0) of every whole text.
 
     Fitted on at most `rows` labelled documents of either class, those with the
-    smallest hashed ids. A null text counts as empty; without labels of both
+    smallest hashed ids; of a document labelled twice the higher label counts. A
+    null text counts as empty; without labels of both
     classes nothing is called toxic. Repeated rows get equal results; columns
     other than doc_id and text are left out.
     """
@@ -134,7 +172,7 @@ def detect(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
         indptr = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         index = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        y = np.column_stack([found.column(c).to_numpy() for c in CHAIN])
+        y = kinds(indptr, index, found.column("_y").to_numpy(), width)
     else:
         indptr, index, y = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, len(CHAIN)))
     links = fit_chain(indptr, index, y, width)

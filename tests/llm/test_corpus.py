@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,8 +250,26 @@ def test_quality_held_out_accuracy(spark):
     d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     m = quality.classify(d, lab).filter("held_out").join(lab, "doc_id").toPandas()
     assert (m.predicted == m.quality).mean() > 0.93
-    t = toxicity.detect(d, lab).join(lab.withColumnRenamed("toxic", "marked"), "doc_id").toPandas()
-    assert t[t.marked == 1].toxic.mean() > 0.95 and t[t.marked == 0].toxic.mean() < 0.03
+
+
+def test_toxicity_held_out_accuracy(spark):
+    d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    # Learnt from two thirds of the labels, judged on the others.
+    t = toxicity.detect(d, lab.filter("doc_id % 3 <> 0")).join(lab.filter("doc_id % 3 = 0").withColumnRenamed("toxic", "marked"), "doc_id").toPandas()
+    assert t.marked.sum() > 100 and t[t.marked == 1].toxic.mean() > 0.88 and t[t.marked == 0].toxic.mean() < 0.015
+
+
+def test_a_higher_label_counts_and_kinds_part_toxic_rows(spark):
+    said = [f"you are a {'rotten' if i % 2 else 'vile'} {'liar' if i % 2 else 'creature'} number{i}" if i < 60 else f"the garden grows well in row number{i}" for i in range(160)]
+    d = spark.createDataFrame(list(enumerate(said)) + [(3, said[3])], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i < 60)) for i in range(160)] + [(3, 0), (100, 0)], "doc_id long, toxic int")
+    got = toxicity.detect(d, lab).toPandas()
+    assert len(got) == 161 and (got.toxic == (got.doc_id < 60)).all()
+    from photolake.llm import linear
+
+    y = np.array([int(i < 60) for i in range(160)])
+    k = toxicity.kinds(*linear.features(pa.array(said)), y, 1 << linear.BITS)
+    assert (k[:, 0] + k[:, 1] == y).all() and len({tuple(x) for x in k[:60:2].tolist()}) == len({tuple(x) for x in k[1:60:2].tolist()}) == 1 and k[0].tolist() != k[1].tolist()
 
 
 def test_nearest(spark):
