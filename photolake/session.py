@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +63,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _stashed(spark: SparkSession) -> set[str]:
+    """Paths of this session's stashes that are still there; what is left when Python ends goes then."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_photolake_stashed"):
+        sc._photolake_stashed = set()
+
+        def sweep() -> None:
+            with contextlib.suppress(Exception):  # the session may be gone already
+                for path in list(sc._photolake_stashed):
+                    remove(spark, path)
+
+        atexit.register(sweep)
+    return sc._photolake_stashed
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _stashed(spark).discard(path)
+
+
 def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     """Write df once to the shared folder and read it back: later steps neither recompute it nor depend on one executor's disk."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stashed(spark).add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._photolake_path = path
@@ -73,6 +99,15 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
 def drop_stash(*stashed: DataFrame) -> None:
     """Remove the files of stash() results that nothing will read any more, neither directly nor through a frame not written yet."""
     for df in stashed:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._photolake_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._photolake_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what stash() has written within it; for work whose result is written by then."""
+    before = set(_stashed(spark))
+    try:
+        yield
+    finally:
+        for path in _stashed(spark) - before:
+            remove(spark, path)
