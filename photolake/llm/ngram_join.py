@@ -104,18 +104,20 @@ def ngram_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
 
 
-def equal_sets(sets: DataFrame) -> DataFrame:
-    """doc_id, representative (smallest doc_id of an equal n-gram set), copies, from doc_id, d1, d2, size.
+#: What equal n-gram sets agree in: a digest and their size.
+SET = ["d1", "d2", "size"]
 
-    Rows are sorted over range partitions, and a set that fills several is
-    counted and joined partition by partition, so that no task holds all its rows.
+
+def equal_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, told) from doc_id and SET: the rows with the part they are sorted into, and representative (smallest doc_id of an equal set) and copies for each part and set.
+
+    Rows are sorted over range partitions, and a set that fills several has an
+    entry for each, so that no join on (_part, *SET) brings all its rows together.
     """
-    key = ["d1", "d2", "size"]
-    placed = stash(sets.repartitionByRange(*key, "doc_id").withColumn("_part", F.spark_partition_id()), "placed")
-    some = placed.groupBy("_part", *key).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    whole = some.groupBy(*key).agg(F.min("least").alias("representative"), F.sum("n").alias("copies"))
-    told = some.select("_part", *key).join(whole, key)
-    return placed.join(told, ["_part", *key]).select("doc_id", "representative", "copies")
+    placed = stash(sets.select("doc_id", *SET).repartitionByRange(*SET, "doc_id").withColumn("_part", F.spark_partition_id()), "placed")
+    some = placed.groupBy("_part", *SET).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    whole = some.groupBy(*SET).agg(F.min("least").alias("representative"), F.sum("n").alias("copies"))
+    return placed, stash(some.select("_part", *SET).join(whole, SET), "told")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -198,11 +200,11 @@ def _crowd_links(similarity: float, bands: int):
     return run
 
 
-def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, crowded: int = CROWDED, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, counts, edges).
+def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, crowded: int = CROWDED, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, told, bare, counts, edges).
 
-    members: doc_id, representative (smallest doc_id with the same n-gram set),
-    copies (size of that class). counts: representative, others (documents of
+    rows and told: equal_sets() of all documents with words; bare: doc_id of the
+    others. counts: representative, others (documents of
     the classes linked to it), n_near (number of those classes). edges: pairs
     of representatives that connect what links connect.
 
@@ -212,9 +214,9 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     bands, rows = choose_bands(similarity, recall)
     sig = stash(signatures(docs, bands, rows, n), "signatures")
     worded = sig.filter("size > 0")
-    members = equal_sets(worded.select("doc_id", "d1", "d2", "size"))
-    members = stash(members.unionByName(sig.filter("size = 0").select("doc_id", F.col("doc_id").alias("representative"), F.lit(1).cast("long").alias("copies"))), "members")
-    chosen = members.filter("doc_id = representative").select("doc_id", "copies").dropDuplicates(["doc_id"])
+    placed, told = equal_sets(worded)
+    bare = stash(sig.filter("size = 0").select("doc_id"), "bare")
+    chosen = told.select(F.col("representative").alias("doc_id"), "copies").distinct()
     first = worded.select("doc_id", "size", "bands").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     posted = stash(first.select("doc_id", "size", "copies", F.posexplode("bands").alias("pos", "band")), "posted")
     drop_stash(sig)
@@ -251,22 +253,24 @@ def similarities(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY
     beside = ends.join(chosen.toDF("other", "others"), "other").select("representative", "others", F.lit(1).cast("long").alias("n_near"))
     counts = beside.union(verified.select("representative", "others", "n_near")).groupBy("representative").agg(F.sum("others").alias("others"), F.sum("n_near").alias("n_near"))
     edges = links.union(verified.filter("root <> representative").select("representative", "root"))
-    return members, counts, edges
+    return placed, told, bare, counts, edges
 
 
 def _classes(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     """(documents with their _key, what join_documents gives with keys in place of doc_id)."""
     keyed = row_keys(docs)
-    members, counts, edges = similarities(keyed.select(F.col("_key").alias("doc_id"), "text"), **how)
+    placed, told, bare, counts, edges = similarities(keyed.select(F.col("_key").alias("doc_id"), "text"), **how)
     group = components(edges.toDF("a", "b")).withColumnRenamed("node", "representative")
-    out = members.join(counts, "representative", "left").join(group, "representative", "left")
-    return keyed, out.select(
+    facts = told.join(counts, "representative", "left").join(group, "representative", "left")
+    out = placed.join(facts, ["_part", *SET]).select(
         "doc_id",
         F.coalesce("component", "representative").alias("class_id"),
         "representative",
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
+    zero = F.lit(0).cast("long")
+    return keyed, out.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("representative"), zero.alias("n_links"), zero.alias("n_near")))
 
 
 def join_documents(docs: DataFrame, **how) -> DataFrame:
