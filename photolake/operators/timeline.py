@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from photolake.functions.dates import day_label, in_range, low_confidence
 from photolake.operators.dedup import duplicate_counts, representatives
+from photolake.operators.ranks import rank_within
 from photolake.session import stash
 
 PAGE = 200
@@ -147,12 +148,13 @@ def distinct_provenances(photos: DataFrame) -> DataFrame:
 def date_rank(photos: DataFrame, probes: DataFrame) -> DataFrame:
     """T12. For each probe (account, at): rank (rows of the account captured later), offset, limit of the window to scan (wanted items around it).
 
-    Whole days are counted from a day histogram; only the probe's own day is looked at row by row.
+    Probes and rows are sorted together, latest first and probes before rows of
+    their time: a probe's rank is its place less the probes before it.
     """
-    remote = photos.filter("source = 'icloud'").select("account", "captured_at", F.to_date("captured_at").alias("day"))
-    days = remote.groupBy("account", "day").agg(F.count(F.lit(1)).alias("n"))
-    asked = probes.select("account", "at", "wanted", F.to_date("at").alias("own")).distinct()
-    later = asked.join(days, (asked.account == days.account) & (days.day > asked.own), "left").groupBy(asked.account, "at", "wanted", "own").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("later"))
-    same = asked.join(remote, (asked.account == remote.account) & (asked.own == remote.day) & (remote.captured_at > asked["at"])).groupBy(asked.account, "at", "wanted").agg(F.count(F.lit(1)).alias("same"))
-    rank = later.join(same, ["account", "at", "wanted"], "left").withColumn("rank", F.col("later") + F.coalesce("same", F.lit(0)))
+    when = (-F.unix_micros("at")).alias("_t")
+    asked = probes.select("account", "at", "wanted").distinct().select("*", when, F.lit(0).alias("_row"))
+    rows = photos.filter("source = 'icloud' and captured_at is not null").select("account", F.col("captured_at").alias("at"), F.lit(None).cast(probes.schema["wanted"].dataType).alias("wanted"))
+    both = asked.unionByName(rows.select("*", when, F.lit(1).alias("_row")))
+    places = rank_within(both, ["account"], ["_t", "_row", "wanted"], "_place").filter("_row = 0")
+    rank = rank_within(places, ["account"], ["_t", "wanted"], "_before").withColumn("rank", F.col("_place") - F.col("_before"))
     return rank.select("account", "at", "rank", F.greatest(F.lit(0), F.col("rank") - 25).alias("offset"), F.least(F.lit(400), 4 * F.col("wanted") + 120).cast("long").alias("limit"))

@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from photolake.functions.paths import export_name, media_type_of, name_of, parent_of, provenance_of, status_of, stem_of, suffix_of
+from photolake.operators.ranks import rank_within
 from photolake.session import stash, use_package
 
 
@@ -48,20 +49,6 @@ def _number_in(path: Column, like: Column) -> Column:
     return F.when(path == like, F.lit(0).cast("long")).when(path.startswith(base) & path.endswith(ext) & (n != ""), n.cast("long"))
 
 
-def rank_within(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds each row's rank in its group, from 0.
-
-    Rows are sorted over range partitions, so that a large group is spread over
-    several: a rank is that within the partition plus the group's rows before it.
-    """
-    placed = stash(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "placed")
-    own = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)).cast("long") - 1
-    sizes = placed.groupBy("_part", *group).count()
-    before = (F.sum("count").over(Window.partitionBy(*group).orderBy("_part")) - F.col("count")).alias("_before")
-    before = sizes.select("_part", *group, before).filter("_before > 0")  # groups that go on from one partition to the next
-    return placed.withColumn(name, own).join(before, ["_part", *group], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
-
-
 def _walk(columns: list[str]):
     """For mapInArrow over rows sorted by family, existing files first, then claimants in order: gives the claimants with final_path."""
 

@@ -109,10 +109,10 @@ def distinct_provenances(s, d):
     return timeline.distinct_provenances(views.photos(s, d))
 
 
-@register(PHOTOS_SQL, "select account, epoch_us(r.cap) as at_us, r.rank, greatest(0, r.rank - 25) as \"offset\", cast(360 as bigint) as \"limit\" from (select a.account, a.captured_at as cap, (select count(*) from photos b where b.source = 'icloud' and b.account = a.account and b.captured_at > a.captured_at) as rank from photos a where a.source = 'icloud' and a.id % 26 = 0) r")
+@register(PHOTOS_SQL, "select account, epoch_us(cap) as at_us, rank, greatest(0, rank - 25) as \"offset\", cast(360 as bigint) as \"limit\" from (select distinct account, captured_at as cap, rank() over (partition by account order by captured_at desc) - 1 as rank from photos where source = 'icloud')")
 def date_rank(s, d):
     p = views.photos(s, d)
-    probes = p.filter("source = 'icloud' and id % 26 = 0").select("account", F.col("captured_at").alias("at"), F.lit(60).alias("wanted"))
+    probes = p.filter("source = 'icloud'").select("account", F.col("captured_at").alias("at"), F.lit(60).alias("wanted"))
     out = timeline.date_rank(p, probes)
     return out.select("account", us("at").alias("at_us"), F.col("rank").cast("long").alias("rank"), F.col("offset").cast("long").alias("offset"), "limit")
 
@@ -310,15 +310,14 @@ def capture_dates(s, d):
     return dates.capture_date(views.files(s, d)).select("doc_id", us("captured_at").alias("us"), F.col("captured_at_source").alias("source"))
 
 
-@register(FILES_SQL, "select doc_id, sha256(text) as sha256, sha1(case when octet_length(encode(text)) <= 65536 then encode(text) || encode(cast(file_size as varchar)) end) as content_key from files where octet_length(encode(text)) <= 65536")
+@register(FILES_SQL, "select doc_id, sha256(text) as sha256, sha1(encode(text)[1:65536] || encode(cast(file_size as varchar))) as content_key from files")
 def content_hashes(s, d):
-    f = views.files(s, d).filter(F.octet_length("content") <= 65536)
-    return f.select("doc_id", F.sha2("content", 256).alias("sha256"), hashing.content_key(F.col("content"), F.col("file_size")).alias("content_key"))
+    return views.files(s, d).select("doc_id", F.sha2("content", 256).alias("sha256"), hashing.content_key(F.col("content"), F.col("file_size")).alias("content_key"))
 
 
 @register(FILES_SQL, "select doc_id, sha256(text) as sha256, sha1(encode(text)[1:65536] || encode(cast(file_size as varchar))) as content_key from files")
 def content_hashes_whole(s, d):
-    """Every document, also those longer than the 64 KB that content_hashes stops at."""
+    """The same in the shape that callers know it by."""
     return views.files(s, d).select("doc_id", F.sha2("content", 256).alias("sha256"), hashing.content_key(F.col("content"), F.col("file_size")).alias("content_key"))
 
 
@@ -371,21 +370,21 @@ def mark_missing(s, d):
     return scan.mark_missing(p, scan.diff_listing(p, _listing(p)).filter("kind = 'vanished'")).select("id", "missing")
 
 
-_MOVED = "v as (select *, row_number() over (partition by file_size, sha256 order by captured_at, id) as n from photos where id % 4 = 0), w as (select *, 'to/' || relative_path as path, row_number() over (partition by file_size, sha256 order by 'to/' || relative_path) as n from photos where id % 4 = 1),"
+_MOVED = "v as (select *, row_number() over (partition by file_size, sha256 order by captured_at, id) as n from photos where id % 2 = 0), w as (select *, 'to/' || relative_path as path, row_number() over (partition by file_size, sha256 order by 'to/' || relative_path) as n from photos where id % 2 = 1),"
 
 
 @register(PHOTOS_SQL + _MOVED, "select v.id, w.path as new_path from v join w using (file_size, sha256, n)")
 def reconcile_hashed(s, d):
     p = views.photos(s, d).withColumn("file_mtime", F.lit(0.0)).withColumn("root_id", F.lit(None).cast("long"))
-    return scan.reconcile_moves(p.filter("id % 4 = 0"), p.filter("id % 4 = 1").withColumn("relative_path", F.concat(F.lit("to/"), "relative_path")))
+    return scan.reconcile_moves(p.filter("id % 2 = 0"), p.filter("id % 2 = 1").withColumn("relative_path", F.concat(F.lit("to/"), "relative_path")))
 
 
 @register()
 def reconcile_mixed(s, d):
     """Some vanished rows have no hash, so their groups are walked in order."""
     p = views.photos(s, d).withColumn("file_mtime", F.lit(0.0)).withColumn("root_id", F.lit(None).cast("long"))
-    gone = p.filter("id % 4 = 0").withColumn("sha256", F.when(F.col("id") % 12 > 0, F.col("sha256")))
-    return scan.reconcile_moves(gone, p.filter("id % 4 = 1").withColumn("relative_path", F.concat(F.lit("to/"), "relative_path")))
+    gone = p.filter("id % 2 = 0").withColumn("sha256", F.when(F.col("id") % 12 > 0, F.col("sha256")))
+    return scan.reconcile_moves(gone, p.filter("id % 2 = 1").withColumn("relative_path", F.concat(F.lit("to/"), "relative_path")))
 
 
 _SRC = "own as (select * from photos where source_ref is not null), listed as (select source_ref, relative_path, file_size, file_mtime, case when id % 3 = 0 then 'selected' else 'optional' end as st from own where id % 7 <> 0 and source_ref < 3),"
