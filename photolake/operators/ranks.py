@@ -19,4 +19,7 @@ def rank_within(rows: DataFrame, group: list[str], order: list[str], name: str)
     sizes = placed.groupBy("_rank_part", *group).count()
     before = (F.sum("count").over(Window.partitionBy(*group).orderBy("_rank_part")) - F.col("count")).alias("_rank_before")
     before = sizes.select("_rank_part", *group, before).filter("_rank_before > 0")  # groups that go on from one partition to the next
-    return placed.withColumn(name, own).join(before, ["_rank_part", *group], "left").withColumn(name, F.col(name) + F.coalesce("_rank_before", F.lit(0))).drop("_rank_part", "_rank_before")
+    named = before.select("_rank_before", *(F.col(c).alias(f"_rank_{i}") for i, c in enumerate(["_rank_part", *group])))
+    same = [F.col(c).eqNullSafe(F.col(f"_rank_{i}")) for i, c in enumerate(["_rank_part", *group])]
+    joined = placed.withColumn(name, own).join(named, same, "left")
+    return joined.select(*rows.columns, (F.col(name) + F.coalesce("_rank_before", F.lit(0))).alias(name))

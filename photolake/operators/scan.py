@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photolake.functions.paths import media_type_of, provenance_of, sentinel, status_of
-from photolake.session import use_package
+from photolake.operators.ranks import rank_within
+from photolake.session import stash
 
 TOLERANCE = 1e-6
 
@@ -17,8 +17,6 @@ def upsert_catalog(photos: DataFrame, changes: DataFrame, key: str, update_cols:
 
     New ids follow the order of the key, counted per range partition, so no task sorts all of them.
     """
-    from photolake.session import stash
-
     fresh = changes.join(photos.select(key), key, "left_anti")
     placed = stash(fresh.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "fresh")
     top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -66,56 +64,43 @@ def mark_missing(photos: DataFrame, gone: DataFrame) -> DataFrame:
     return photos.join(hit, "id", "left").select(*((F.col("missing") | F.coalesce("_gone", F.lit(False))).alias("missing") if c == "missing" else c for c in photos.columns))
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """One group of equal root, size and time: vanished rows take candidates in order, each once."""
-    gone = group[group.vanished].sort_values(["captured_at", "id"])
-    free = group[~group.vanished].sort_values("relative_path")
-    left = dict(zip(free.relative_path, free.sha256, strict=True))
-    by_hash: dict[str, list[str]] = {}
-    for p, h in reversed(left.items()):
-        by_hash.setdefault(h, []).append(p)
-    out = []
-    for g in gone.itertuples():
-        to = None
-        if isinstance(g.sha256, str) and g.sha256:
-            own = by_hash.get(g.sha256, [])
-            while own and to is None:
-                p = own.pop()
-                to = p if p in left else None
-        else:
-            to = next(iter(left)) if len(left) == 1 else None
-        if to is not None:
-            del left[to]
-            out.append((g.id, to))
-    return pd.DataFrame(out, columns=["id", "new_path"])
-
-
 def reconcile_moves(vanished: DataFrame, new: DataFrame) -> DataFrame:
     """J4. id and new_path of vanished rows that turn up elsewhere with exactly equal size and time.
 
     vanished: root_id, id, captured_at, file_size, file_mtime, sha256.
-    new: root_id, relative_path, file_size, file_mtime, sha256. A hashed row takes
-    the first free path of its hash, an unhashed one the only path left; others
-    are ambiguous. Groups in which all vanished rows are hashed are matched by
-    rank, so bulk copies of any size stay joins; only groups with an unhashed row
-    are walked one by one.
+    new: root_id, relative_path, file_size, file_mtime, sha256. In the order of
+    (captured_at, id, no date last), a hashed row takes the first free path of its
+    hash, an unhashed one the path that is left if it is the only one; others are
+    ambiguous.
+
+    Hashed rows meet paths by their ranks. An unhashed row can only act once all
+    paths of its group but one are taken: the first one after that takes the last
+    path, and a hashed row that would have come to it later goes without.
     """
-    use_package(vanished.sparkSession)
-    key = ["root_id", "file_size", "file_mtime"]
-    blank = F.coalesce("sha256", F.lit("")) == ""
-    both = vanished.join(new.select(*key).distinct(), [vanished[k].eqNullSafe(new[k]) for k in key], "left_semi")
-    mixed = both.filter(blank).select(*key).distinct()
-    cond = lambda d: [d[k].eqNullSafe(mixed[k]) for k in key]
-    plain_v, plain_n = both.join(mixed, cond(both), "left_anti"), new.join(mixed, cond(new), "left_anti").filter(~blank)
-    n = lambda *o: F.row_number().over(Window.partitionBy(*key, "sha256").orderBy(*o))
-    v = plain_v.select("id", "root_id", "file_size", "file_mtime", "sha256", n("captured_at", "id").alias("n")).alias("v")
-    w = plain_n.select("relative_path", "root_id", "file_size", "file_mtime", "sha256", n("relative_path").alias("n")).alias("w")
-    on = [F.col(f"v.{k}").eqNullSafe(F.col(f"w.{k}")) for k in (*key, "sha256", "n")]
-    ranked = v.join(w, on).select(F.col("v.id").alias("id"), F.col("w.relative_path").alias("new_path"))
-    rows_v = both.join(mixed, cond(both), "left_semi").select(*key, "id", F.lit(None).cast("string").alias("relative_path"), "sha256", F.col("captured_at").cast("timestamp").alias("captured_at"), F.lit(True).alias("vanished"))
-    rows_n = new.join(mixed, cond(new), "left_semi").select(*key, F.lit(0).cast("long").alias("id"), "relative_path", "sha256", F.lit(None).cast("timestamp").alias("captured_at"), F.lit(False).alias("vanished"))
-    walked = rows_v.unionByName(rows_n).groupBy(*key).applyInPandas(lambda g: _greedy(g).astype({"id": "int64"}), "id long, new_path string")
-    return ranked.unionByName(walked)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    group = F.concat_ws("|", text("root_id"), text("file_size"), text("file_mtime")).alias("_k")
+    hashed = F.coalesce("sha256", F.lit("")) != ""
+    gone = vanished.select(group, "id", "sha256", F.struct(F.col("captured_at").isNull().alias("none"), F.col("captured_at").alias("at"), "id").alias("_o"))
+    paths = new.select(group, "relative_path", "sha256").distinct()
+    gone = stash(gone.join(paths.select("_k").distinct(), "_k", "left_semi"), "gone")
+    paths = stash(paths.join(gone.select("_k").distinct(), "_k", "left_semi"), "paths")
+    v = rank_within(gone.filter(hashed), ["_k", "sha256"], ["_o"], "_n")
+    w = rank_within(paths.filter(hashed), ["_k", "sha256"], ["relative_path"], "_n")
+    met = stash(v.join(w, ["_k", "sha256", "_n"]).select("_k", "id", "_o", F.col("relative_path").alias("new_path")), "met")
+
+    blank = gone.filter(~hashed).select("_k", "_o")
+    sizes = paths.join(blank.select("_k").distinct(), "_k", "left_semi").groupBy("_k").agg(F.count(F.lit(1)).alias("_paths"))
+    taken = rank_within(met.join(sizes, "_k"), ["_k"], ["_o"], "_s")
+    last_but_one = taken.filter("_s = _paths - 2").select("_k", F.col("_o").alias("_since"))
+    open_ = sizes.join(last_but_one, "_k", "left").filter("_paths = 1 or _since is not null")
+    heir = blank.join(open_, "_k").filter("_since is null or _o > _since").groupBy("_k").agg(F.min("_o").alias("_heir"))
+    beaten = taken.filter("_s = _paths - 1").join(heir, "_k").filter("_heir > _o").select("_k")
+    heir = heir.join(beaten, "_k", "left_anti")
+    before = taken.filter("_s < _paths - 1").select("_k", F.col("new_path").alias("relative_path"))
+    left = paths.join(heir.select("_k"), "_k", "left_semi").join(before, ["_k", "relative_path"], "left_anti")
+    inherited = stash(left.join(heir, "_k").select(F.col("_heir.id").alias("id"), F.col("relative_path").alias("new_path"), "_k"), "inherited")
+    lost = inherited.select("_k", "new_path")
+    return met.join(lost, ["_k", "new_path"], "left_anti").select("id", "new_path").unionByName(inherited.select("id", "new_path"))
 
 
 def relink(photos: DataFrame, moves: DataFrame) -> DataFrame:

@@ -379,9 +379,19 @@ def reconcile_hashed(s, d):
     return scan.reconcile_moves(p.filter("id % 2 = 0"), p.filter("id % 2 = 1").withColumn("relative_path", F.concat(F.lit("to/"), "relative_path")))
 
 
-@register()
+_MIXED = """gone as (select id, file_size as g, captured_at as t, case when id % 12 > 0 then sha256 end as h from photos where id % 2 = 0),
+ free as (select 'to/' || relative_path as path, file_size as g, sha256 as h from photos where id % 2 = 1 and file_size in (select g from gone)),
+ m as (select v.*, w.path, row_number() over (partition by v.g order by v.t, v.id) as s, (select count(*) from free f where f.g = v.g) as n
+  from (select *, row_number() over (partition by g, h order by t, id) as r from gone where h is not null) v join (select *, row_number() over (partition by g, h order by path) as r from free) w using (g, h, r)),
+ f as (select g, count(*) as n from free group by g),
+ heir as (select b.g, min({'t': b.t, 'i': b.id}) as k from gone b join f using (g) left join m on m.g = b.g and m.s = f.n - 1 where b.h is null and (f.n = 1 or {'t': b.t, 'i': b.id} > {'t': m.t, 'i': m.id}) group by b.g),
+ ruled as (select h.* from heir h join f using (g) where not exists (select 1 from m where m.g = h.g and m.s = f.n and {'t': m.t, 'i': m.id} < h.k)),
+ last_free as (select r.g, r.k, e.path from ruled r join f using (g) join free e using (g) where not exists (select 1 from m where m.g = r.g and m.s < f.n and m.path = e.path)),"""
+
+
+@register(PHOTOS_SQL + _MIXED, "select id, path as new_path from m where (g, path) not in (select (g, path) from last_free) union all select k.i, path from last_free")
 def reconcile_mixed(s, d):
-    """Some vanished rows have no hash, so their groups are walked in order."""
+    """Some vanished rows have no hash."""
     p = views.photos(s, d).withColumn("file_mtime", F.lit(0.0)).withColumn("root_id", F.lit(None).cast("long"))
     gone = p.filter("id % 2 = 0").withColumn("sha256", F.when(F.col("id") % 12 > 0, F.col("sha256")))
     return scan.reconcile_moves(gone, p.filter("id % 2 = 1").withColumn("relative_path", F.concat(F.lit("to/"), "relative_path")))

@@ -299,15 +299,39 @@ def test_hashes_of_long_documents(spark, tmp_path):
     assert {a: (b, c) for a, b, c in con.execute(f"select doc_id, sha256, content_key from ({e.oracle_sql()['content_hashes_whole']})").fetchall()} == got
 
 
-def test_large_mixed_group_is_walked_in_linear_time():
-    import time
-
-    import pandas as pd
-
-    n = 60_000
-    gone = pd.DataFrame({"id": range(n), "relative_path": None, "sha256": [None if i == n - 1 else f"h{n - i}" for i in range(n)], "captured_at": range(n), "vanished": True})
-    free = pd.DataFrame({"id": 0, "relative_path": [f"p{i:06}" for i in range(n)], "sha256": [f"h{i + 1}" for i in range(n)], "captured_at": 0, "vanished": False})
-    start = time.process_time()
-    got = scan._greedy(pd.concat([gone, free], ignore_index=True)).set_index("id").new_path
-    assert time.process_time() - start < 20
-    assert len(got) == n and all(got[i] == f"p{n - i - 1:06}" for i in range(n))
+def _greedy(gone, free):
+    """The rule told row by row: (id, hash) in order, {path: hash}."""
+    left, out = dict(sorted(free.items())), {}
+    for i, h in gone:
+        own = [p for p, q in left.items() if q == h] if h else list(left) if len(left) == 1 else []
+        if own:
+            out[i] = own[0]
+            del left[own[0]]
+    return out
+
+
+def test_reconcile_equals_the_rule_row_by_row(spark):
+    import random
+
+    r = random.Random(11)
+    gone, new, want = [], [], {}
+    for g in range(150):
+        own = [(g * 100 + k, r.choice(["h", "k", "q", None, ""])) for k in range(r.randrange(0, 7))]
+        free = {f"p{k}": r.choice(["h", "k", None]) for k in range(r.randrange(0, 6))}
+        root = None if g % 2 else g
+        gone += [(root, i, T0 + timedelta(seconds=i // 2), g, 1.0, h) for i, h in own]
+        new += [(root, p, g, 1.0, h) for p, h in free.items()]
+        want |= _greedy(own, free)
+    v = spark.createDataFrame(gone, "root_id long, id long, captured_at timestamp, file_size long, file_mtime double, sha256 string")
+    n = spark.createDataFrame(new, "root_id long, relative_path string, file_size long, file_mtime double, sha256 string")
+    got = scan.reconcile_moves(v, n).collect()
+    assert len(got) == len(want) and {x.id: x.new_path for x in got} == want
+
+
+def test_ranks_of_a_group_over_many_partitions(spark):
+    from photolake.operators.ranks import rank_within
+
+    rows = spark.range(5000).select((F.col("id") % 7 / 6).cast("int").alias("g"), ((F.col("id") * 37) % 5003).alias("v"))
+    got = {(x.g, x.v): x.n for x in rank_within(rows, ["g"], ["v"], "n").collect()}
+    for g in (0, 1):
+        assert [got[g, v] for v in sorted(v for h, v in got if h == g)] == list(range(sum(h == g for h, _ in got)))
