@@ -29,8 +29,8 @@ NEIGHBOURS = 20
 PIVOTS, PIVOT_SAMPLE = 1024, 4096
 #: Pivots under which a row is posted, and lists that a query walks.
 LISTED, WALKED = 64, 48
-#: Share of a visited part's rows that is reranked for a query, beside the neighbours wanted.
-RERANKED = 0.16
+#: A query reranks this share of a visited part's rows and this multiple of the neighbours wanted.
+RERANKED, SPARE = 0.16, 8
 #: Share of the sample's neighbours that the visited cells must hold.
 REACHED = 0.995
 ROW_BLOCK, QUERY_BLOCK = 8192, 16384
@@ -151,7 +151,7 @@ def search_part(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, quer
     """
     files = InvertedFiles(permutations(rows, f.pivots, listed), len(f.pivots))
     size = _lengths(rows)
-    take = min(len(rows), int(np.ceil(reranked * len(rows))) + k + 1)
+    take = min(len(rows), int(np.ceil(reranked * len(rows))) + SPARE * k)
     asked = permutations(queries, f.pivots, walked).tolist()
     out_q, out_r, out_s = [], [], []
     for q, order in enumerate(asked):
