@@ -450,6 +450,44 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == seen["suffix_array_dedup"]
 
 
+def test_pipeline_on_odd_tables(spark, docs, empty):
+    import corpus_pipeline
+
+    extra = docs.withColumn("_key", F.lit(1)).withColumn("_spans", F.lit("s")).union(docs.limit(1).select(F.lit(None).cast("long"), F.lit(None).cast("string"), *docs.columns[2:], F.lit(1), F.lit("s")))
+    for start in (extra, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, start, SF)
+            if name != "best_fit_packing":
+                assert out.columns == start.columns
+            rows = out.collect()
+            if start is empty:
+                assert not rows
+            else:
+                assert rows or name.startswith("quality")
+
+
+def test_kept_follows_the_votes(spark, docs):
+    rows = rules.weak_supervision(docs).collect()
+
+    def vote(good, bad):
+        return 1 if good else 0 if bad else -1
+
+    def votes(r):
+        n, c, lines = max(r.n_words, 1), max(r.word_chars, 1), max(r.n_lines, 1)
+        return (
+            vote(r.n_symbols * 50 < n, r.n_symbols * 10 > n), vote(r.n_repeat_words * 10 < n, r.n_repeat_words * 10 > 3 * n), vote(r.n_dup_lines == 0, r.n_dup_lines * 10 > 3 * lines),
+            vote(r.n_letters * 100 > 88 * c, r.n_letters * 100 < 75 * c), vote(r.n_upper * 100 < 15 * c, r.n_upper * 100 > 40 * c), vote(r.n_exclaims * 100 < 5 * n, r.n_exclaims * 100 > 30 * n),
+            vote(3 <= r.word_chars / n <= 10, r.word_chars / n < 2 or r.word_chars / n > 14), vote(r.n_distinct * 100 > 35 * n, r.n_distinct * 100 < 15 * n), vote(n >= 100, n < 50),
+        )
+
+    counts = collections.Counter(votes(r) for r in rows if not r.base_failed)
+    patterns = sorted(counts)
+    share, learned = rules.fit_votes(np.array(patterns), np.array([counts[p] for p in patterns], float))
+    for r in rows:
+        p = rules.posterior(np.array([votes(r)]), share, learned)[0]
+        assert abs(p - r.posterior) < 1e-6 and r.kept == (not r.base_failed and p >= 0.5)
+
+
 def test_all_are_registered():
     import __spark_entry__ as e
 
