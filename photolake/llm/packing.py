@@ -217,10 +217,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (length at most capacity), packed by best-fit decreasing over all of them.
 
     An empty table gives an empty result. Pieces that are equal in every column
-    may change places with each other.
+    may change places with each other. pieces must give its rows in the same
+    order whenever it is read, as a written table does: a piece that fills a
+    sequence alone gets a negative number from its place there, without a rank.
     """
     spark = pieces.sparkSession
     use_package(spark)
+    alone = pieces.filter(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = pieces.filter(F.col("length") != capacity)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
     # At most capacity * SALTS rows, whatever the input.
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
@@ -254,7 +258,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("_rank", F.row_number().over(order).cast("long"))
     kinds = ", ".join(f"{n} {t}" for n, t in pieces.dtypes)
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return alone.unionByName(ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
