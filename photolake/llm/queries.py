@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from photolake.llm import ann, bpe, chat, ngram_join, packing, quality, repair, rules, spelling, suffixes, toxicity, wrappers
+from photolake.llm import ann, bpe, chat, lbl, ngram_join, packing, quality, repair, rules, spelling, suffixes, toxicity, wrappers
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ann.op8_permutation_index,
         rules.op9_quality_rules,
         packing.op10_best_fit_packing,
+        lbl.op11_lm_scoring,
         spelling.op12_spelling_variants,
         repair.op13_conversation_repair,
         pipeline,
