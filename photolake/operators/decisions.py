@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photolake.schemas import STATUSES
@@ -21,9 +21,10 @@ def validate_actions(actions: DataFrame, photos: DataFrame) -> tuple[DataFrame,
     return marked.filter("error is null").select(*actions.columns), marked.filter("error is not null").select(*actions.columns, "error")
 
 
-def _key(prefix: str = ""):
-    sha = F.col(f"{prefix}sha256")
-    return F.when(F.coalesce(sha, F.lit("")) != "", sha).otherwise(F.concat(F.lit("id:"), F.col(f"{prefix}id").cast("string")))
+def group_key() -> Column:
+    """What photos decided together share: their hash, else the id alone."""
+    sha = F.col("sha256")
+    return F.when(F.coalesce(sha, F.lit("")) != "", sha).otherwise(F.concat(F.lit("id:"), F.col("id").cast("string")))
 
 
 def fold_actions(photos: DataFrame, actions: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def fold_actions(photos: DataFrame, actions: DataFrame) -> DataFrame:
     its move plan.
     """
     ok, _ = validate_actions(actions, photos)
-    keyed = photos.withColumn("_k", _key())
+    keyed = photos.withColumn("_k", group_key())
     acts = ok.join(keyed.select(F.col("id").alias("photo_id"), "_k", F.col("status").alias("_was")), "photo_id")
     order = F.struct("ts", "action_id")
     last = acts.groupBy("_k").agg(F.max_by(F.struct("photo_id", "status"), order).alias("_last"))

@@ -12,14 +12,14 @@ from photolake.session import stash
 TOLERANCE = 1e-6
 
 
-def upsert_catalog(photos: DataFrame, changes: DataFrame, key: str, update_cols: list[str]) -> DataFrame:
-    """S7. Changed rows get the listed columns, new keys are added with ids after the largest, the rest stays.
+def upsert_catalog(photos: DataFrame, changes: DataFrame, key: str, update_cols: list[str], top: int | None = None) -> DataFrame:
+    """S7. Changed rows get the listed columns, new keys are added with ids after the largest (top, where photos are a part of the catalog), the rest stays.
 
     New ids follow the order of the key, counted per range partition, so no task sorts all of them.
     """
     fresh = changes.join(photos.select(key), key, "left_anti")
     placed = stash(fresh.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "fresh")
-    top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = photos.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
     sizes = placed.groupBy("_part").count().select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     numbered = placed.join(F.broadcast(sizes), "_part").withColumn("_id", F.lit(top) + F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(key)))
     new = numbered.select(*(F.col("_id").alias("id") if c == "id" else (F.col(c) if c in changes.columns else F.lit(None).cast(photos.schema[c].dataType).alias(c)) for c in photos.columns))
@@ -40,7 +40,7 @@ def diff_listing(photos: DataFrame, listing: DataFrame) -> DataFrame:
     return joined.withColumn("kind", kind)
 
 
-def apply_listing(photos: DataFrame, listing: DataFrame, keep_stale_hashes: bool = True) -> DataFrame:
+def apply_listing(photos: DataFrame, listing: DataFrame, keep_stale_hashes: bool = True, top: int | None = None) -> DataFrame:
     """J2. The catalog with new and changed rows read anew. listing also has captured_at, captured_at_source.
 
     Other columns of a changed row stay; with keep_stale_hashes even its old hashes.
@@ -55,7 +55,7 @@ def apply_listing(photos: DataFrame, listing: DataFrame, keep_stale_hashes: bool
     if not keep_stale_hashes:
         rows = rows.withColumn("sha256", F.lit(None).cast("string")).withColumn("phash", F.lit(None).cast("string"))
         cols += ["sha256", "phash"]
-    return upsert_catalog(photos, rows, "relative_path", cols)
+    return upsert_catalog(photos, rows, "relative_path", cols, top)
 
 
 def mark_missing(photos: DataFrame, gone: DataFrame) -> DataFrame:
@@ -120,6 +120,22 @@ def relink(photos: DataFrame, moves: DataFrame) -> DataFrame:
     return rest.select(*(new[c].alias(c) if c in new else c for c in photos.columns))
 
 
+def scan_library(photos: DataFrame, listing: DataFrame, top: int | None = None) -> DataFrame:
+    """J1 to J5. The catalog after a scan that listed all files of the library.
+
+    listing: relative_path, file_size, file_mtime, captured_at,
+    captured_at_source, sha256 (of new files, where moved ones are to be told by
+    hash). Rows that had vanished before can turn up elsewhere too.
+    """
+    diff = stash(diff_listing(photos, listing).select("relative_path", "id", "kind"), "diff")
+    root = F.lit(0).alias("root_id")
+    vanished = photos.join(diff.filter("kind = 'vanished'").select("id"), "id", "left_semi")
+    new = listing.join(diff.filter("kind = 'new'").select("relative_path"), "relative_path", "left_semi")
+    moves = stash(reconcile_moves(vanished.select("*", root), new.select("*", root)), "moves")
+    gone = vanished.select("id").join(moves.select("id"), "id", "left_anti")
+    return relink(mark_missing(apply_listing(photos, listing, top=top), gone), moves)
+
+
 def scan_sources(photos: DataFrame, listing: DataFrame, sources: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J6. (diff, errors) over all registered local sources, each on its own.
 

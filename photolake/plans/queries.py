@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from photolake.functions import dates, hashing, paths
 from photolake.operators import audit, decisions, dedup, live, neardup, scan, timeline
 from photolake.plans import moves, views
 from photolake.plans.views import ACTIONS_SQL, FILES_SQL, PAIRS_SQL, PHOTOS_SQL, REMOTE_SQL
-from photolake.session import table
+from photolake.session import table, work_dir
 from photolake.sources import remote, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -592,13 +591,11 @@ def account_documents(s, d):
 @register(None, "select cast(ts as date) as day, count(*) as n from events group by 1")
 def streamed_daily_counts(s, d):
     """W5 run over the event table as a stream until it has seen all of it."""
-    from photolake.session import shared_dir
     from photolake.streaming.jobs import stream_daily_counts
 
     s.conf.set("spark.sql.session.timeZone", "UTC")
-    kind = table(s, d, "events").schema
-    rows = s.readStream.schema(kind).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("captured_at"))
-    base = f"{shared_dir(s)}/daily-{uuid.uuid4().hex}"
+    base = work_dir(s, "daily")
+    rows = _as_stream(s, table(s, d, "events"), base, "event_id").select(F.col("ts").cast("timestamp").alias("captured_at"))
     counted = stream_daily_counts(rows, "3650 days")
     # Update mode: a day's row comes again whenever it grows, and the newest counts.
     write = lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/rows/batch={n}")
@@ -606,80 +603,123 @@ def streamed_daily_counts(s, d):
     return s.read.option("basePath", f"{base}/rows").parquet(f"{base}/rows").groupBy(F.to_date("day").alias("day")).agg(F.max_by("n", "batch").alias("n"))
 
 
-def _streamed(s, d, name, start, view, key, run):
-    """The keyed table after a streaming job has seen all of a given table as files."""
-    from photolake.session import shared_dir
-    from photolake.streaming.jobs import KeyedTable
+#: Files, and so batches, that registered streams deal their table into, and partitions of their tables.
+FILES, PARTS = 3, 8
 
-    base = f"{shared_dir(s)}/{run.__name__}-{uuid.uuid4().hex}"
-    rows = s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parquet*")
-    state_ = KeyedTable(s, f"{base}/table", key).start(start)
-    run(view(rows), state_, base).awaitTermination()
-    return state_.read()
+
+def _as_stream(s, rows, base, key):
+    """The rows as a stream of FILES files, one a batch, dealt by the key's hash and so in no order of time."""
+    rows.repartition(FILES, key).write.parquet(f"{base}/in")
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
 
 @register(REMOTE_SQL, f"select '@icloud/' || account || '/' || remote_id as relative_path, case when (account, remote_id) in (select (account, remote_id) from decisions) then 'rejected' else 'optional' end as status, {_SLUG} as provenance, size as file_size, epoch_us(captured_at) as captured_us from items")
 def streamed_pull(s, d):
     """W1."""
-    from photolake.streaming.jobs import stream_pull
+    from photolake.streaming import jobs
 
     named, got = views.remote_state(s, d)
-    photos = views.photos(s, d)
-
-    def pulled(rows, catalog, base):
-        return stream_pull(rows, catalog, got, named, f"{base}/check")
-
-    view = lambda o: remote.read_remote_listing(views.listing_of_orders(o))
-    out = _streamed(s, d, "orders", photos, view, ["id"], pulled)
+    photos, base = views.photos(s, d), work_dir(s, "pull")
+    jobs.start_catalog(photos, base, PARTS)
+    jobs.start_remote_state(got, named, base, PARTS)
+    # An item listed twice comes in one file, as one pull has it: of repeats the first listed counts.
+    rows = _as_stream(s, remote.read_remote_listing(views.remote_listing(s, d)), base, "remote_id")
+    jobs.stream_pull(rows, base, photos, got, named, f"{base}/check", PARTS).awaitTermination()
+    out = jobs.read_catalog(s, base, photos)
     return out.filter("relative_path like '@icloud/%'").select("relative_path", "status", "provenance", "file_size", us("captured_at").alias("captured_us"))
 
 
 @register(_FOLD, """select id, case when id = l.who then l.st when l.who is not null and not missing then 'rejected' else status end as status from photos left join last l using (sha256)""")
 def streamed_decisions(s, d):
     """W2."""
-    from photolake.schemas import ACTIONS
-    from photolake.streaming.jobs import KeyedTable, stream_decisions
-
-    def decided(rows, catalog, base):
-        log = KeyedTable(s, f"{base}/log", ["photo_id"]).start(s.createDataFrame([], ACTIONS))
-        return stream_decisions(rows, catalog, log, f"{base}/check")
+    from photolake.streaming import jobs
 
-    return _streamed(s, d, "orders", views.photos(s, d), views.actions_of_orders, ["id"], decided).select("id", "status")
+    photos, base = views.photos(s, d), work_dir(s, "decisions")
+    jobs.start_groups(photos, base, PARTS)
+    jobs.key_actions(_as_stream(s, views.actions(s, d), base, "action_id"), base, f"{base}/keyed", f"{base}/check-1", PARTS).awaitTermination()
+    keyed = s.readStream.schema(jobs.KEYED).option("maxFilesPerTrigger", 4).parquet(f"{base}/keyed/*")
+    jobs.stream_decisions(keyed, base, photos, f"{base}/check-2", PARTS).awaitTermination()
+    return jobs.read_catalog(s, base, photos).select("id", "status")
 
 
 @register(_USABLE, _NEAR)
 def streamed_near_duplicates(s, d):
     """W3."""
-    from photolake.streaming.jobs import KeyedTable, stream_near_duplicates
+    from photolake.streaming.jobs import stream_near_duplicates
+
+    base = work_dir(s, "near")
+    stream_near_duplicates(_as_stream(s, views.photos(s, d), base, "id"), base, f"{base}/check").awaitTermination()
+    return s.read.parquet(f"{base}/pairs").select("photo_a", "photo_b", "hamming_distance")
+
+
+@register(_USABLE, _NEAR)
+def streamed_near_duplicates_bounded(s, d):
+    """W3 with a watermark, wide enough for rows in no order of time."""
+    from photolake.streaming.jobs import stream_near_duplicates_bounded
+
+    base = work_dir(s, "bounded")
+    found = stream_near_duplicates_bounded(_as_stream(s, views.photos(s, d), base, "id"), "3650 days")
+    found.writeStream.format("parquet").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(found.schema).parquet(f"{base}/pairs")
+
 
-    pairs = s.createDataFrame([], "photo_a long, photo_b long, hamming_distance short, resolved boolean")
+_ARRIVING = "relative_path string, file_size long, file_mtime double, captured_at timestamp, captured_at_source string, sha256 string, snapshot string, total long"
 
-    def paired(rows, found, base):
-        seen = KeyedTable(s, f"{base}/seen", ["id"]).start(views.photos(s, d).limit(0))
-        return stream_near_duplicates(rows, seen, found, f"{base}/check")
 
-    return _streamed(s, d, "events", pairs, views.photos_of_events, ["photo_a", "photo_b"], paired).select("photo_a", "photo_b", "hamming_distance")
+def _arriving(rows, snapshot=None):
+    cols = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("relative_path", "file_size", "file_mtime", "captured_at", "captured_at_source", "sha256")]
+    return rows.select(*cols, F.lit(snapshot).cast("string").alias("snapshot"), F.lit(None).cast("long").alias("total"))
 
 
 @register(PHOTOS_SQL + _LISTED, "select relative_path, case when l.file_mtime is null then o.file_mtime else l.file_mtime end as file_mtime, case when l.file_mtime is null then o.missing else false end as missing from photos o full join listed l using (relative_path)")
 def streamed_listing(s, d):
-    """W4."""
-    from photolake.streaming.jobs import stream_listing
+    """W4, new and changed files."""
+    from photolake.streaming import jobs
 
-    def listed(rows, catalog, base):
-        return stream_listing(rows, catalog, f"{base}/check")
+    photos, base = views.photos(s, d), work_dir(s, "listing")
+    jobs.start_catalog(photos, base, PARTS)
+    jobs.stream_listing(_as_stream(s, _arriving(_listing(photos)), base, "relative_path"), base, photos, f"{base}/check", PARTS).awaitTermination()
+    return jobs.read_catalog(s, base, photos).select("relative_path", "file_mtime", "missing")
 
-    return _streamed(s, d, "events", views.photos(s, d), lambda e: _listing(views.photos_of_events(e)), ["relative_path"], listed).select("relative_path", "file_mtime", "missing")
+
+_SNAPSHOTS = """own as (select *, 1700000000.0::double + id as m, 'selected/moved/' || id || '.jpg' as away from photos where source = 'local' and source_ref is null),
+states as (select *, id % 5 <> 0 as known, id % 5 <> 0 or id % 7 <> 0 as kept, id % 7 <> 1 as there, id % 6 = 0 as moves, id % 9 = 0 as changes from own),"""
+
+
+@register(
+    PHOTOS_SQL + _SNAPSHOTS,
+    """select case when there and moves and not changes then away else relative_path end as relative_path, case when known then id end as old_id, not there or (moves and changes) as missing, m + case when there and not moves and changes then 100 else 0 end as file_mtime
+ from states where kept or (there and not (moves and changes)) union all select away, null, false, m + 100 from states where there and moves and changes""",
+)
+def streamed_snapshots(s, d):
+    """W4. Two whole listings, dealt over several files, with rows of the second before the first one's marker: changed, new, vanished and moved files."""
+    from photolake.streaming import jobs
+
+    i = F.col("id")
+    p = views.photos(s, d)
+    own = p.filter("source = 'local' and source_ref is null").withColumn("file_mtime", F.lit(1.7e9) + i)
+    start, base = own.filter("id % 5 <> 0"), work_dir(s, "snapshots")
+    jobs.start_catalog(start, base, PARTS)
+    first = own.filter("id % 7 <> 0")
+    away = F.concat(F.lit("selected/moved/"), i.cast("string"), F.lit(".jpg"))
+    second = own.filter("id % 7 <> 1").withColumn("relative_path", F.when(i % 6 == 0, away).otherwise(F.col("relative_path"))).withColumn("file_mtime", F.col("file_mtime") + F.when(i % 9 == 0, 100).otherwise(0))
+    marker = lambda rows, name: s.createDataFrame([(None, None, None, None, None, None, name, rows.count())], _ARRIVING)
+    odd = F.col("file_size") % 2 == 1
+    arrivals = [_arriving(first.filter(odd), "1"), _arriving(second.filter(odd), "2"), _arriving(first.filter(~odd), "1").unionByName(marker(first, "1")), marker(second, "2"), _arriving(second.filter(~odd), "2")]
+    for k, rows in enumerate(arrivals):
+        rows.coalesce(1).write.parquet(f"{base}/in/{k}")
+    stream = s.readStream.schema(_ARRIVING).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    jobs.stream_listing(stream, base, p, f"{base}/check", PARTS).awaitTermination()
+    top = start.agg(F.max("id")).first()[0]
+    return jobs.read_catalog(s, base, p).select("relative_path", F.when(i <= top, i).alias("old_id"), "missing", "file_mtime")
 
 
 @register(PHOTOS_SQL, "select account, count(*) filter (id % 2 = 0 and status <> 'optional') as n_decisions, count(*) filter (id % 2 = 1) as n_downloaded, max(epoch_us(captured_at)) as cursor_us from photos where source = 'icloud' group by account")
 def account_states_read_back(s, d):
     """S3, S6. What was written for each account, read again."""
-    from photolake.session import shared_dir
-
     p = views.photos(s, d).filter("source = 'icloud'")
     docs = state.account_documents(p.groupBy("account").agg(F.max("captured_at").alias("cursor")), p.filter("id % 2 = 0").select("account", "remote_id", "status"), p.filter("id % 2 = 1").select("account", "remote_id", "relative_path"))
-    states, named, got, _ = state.read_account_states(s, state.write_account_states(docs, f"{shared_dir(s)}/states"))
+    states, named, got, _ = state.read_account_states(s, state.write_account_states(docs, work_dir(s, "states")))
     counted = lambda df, n: df.groupBy("account").agg(F.count(F.lit(1)).alias(n))
     out = states.join(counted(named, "n_decisions"), "account", "left").join(counted(got, "n_downloaded"), "account", "left")
     return out.select("account", F.coalesce("n_decisions", F.lit(0)).alias("n_decisions"), F.coalesce("n_downloaded", F.lit(0)).alias("n_downloaded"), us("cursor").alias("cursor_us"))
@@ -688,12 +728,10 @@ def account_states_read_back(s, d):
 @register(PHOTOS_SQL, "select source_ref as source_id, relative_path, status from photos where source_ref is not null and status <> 'optional'")
 def source_states_read_back(s, d):
     """S5, S6."""
-    from photolake.session import shared_dir
-
     p = views.photos(s, d).filter("source_ref is not null")
     sources = p.select(F.col("source_ref").alias("id"), F.concat(F.lit("disk-"), F.col("source_ref").cast("string")).alias("name")).distinct()
     docs = state.source_documents(sources, p.select(F.col("source_ref").alias("source_id"), "relative_path", "status"))
-    return state.read_source_states(s, state.write_states(docs, f"{shared_dir(s)}/sources"), sources)[0].select("source_id", "relative_path", "status")
+    return state.read_source_states(s, state.write_states(docs, work_dir(s, "sources")), sources)[0].select("source_id", "relative_path", "status")
 
 
 @register(PHOTOS_SQL, """select id, case when id % 4 = 0 then 'selected/moved/' || id || '.jpg' else relative_path end as relative_path, case when id % 4 = 0 then false else missing end as missing,

@@ -96,6 +96,13 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     return out
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder of the shared store that goes when Python ends, for what a lazily returned frame still reads."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stashed(spark).add(path)
+    return path
+
+
 def drop_stash(*stashed: DataFrame) -> None:
     """Remove the files of stash() results that nothing will read any more, neither directly nor through a frame not written yet."""
     for df in stashed:

@@ -37,11 +37,11 @@ def remote_rows(items: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def pull(photos: DataFrame, listing: DataFrame, downloaded: DataFrame, decisions: DataFrame) -> DataFrame:
-    """R1, R2. The catalog with the new items appended; known rows aren't refreshed."""
+def pull(photos: DataFrame, listing: DataFrame, downloaded: DataFrame, decisions: DataFrame, top: int | None = None) -> DataFrame:
+    """R1, R2. The catalog with the new items appended; known rows aren't refreshed. top: as for upsert_catalog()."""
     from photolake.operators.scan import upsert_catalog
 
-    return upsert_catalog(photos, remote_rows(new_items(photos, listing, downloaded), decisions), "relative_path", [])
+    return upsert_catalog(photos, remote_rows(new_items(photos, listing, downloaded), decisions), "relative_path", [], top)
 
 
 def download_queue(photos: DataFrame, downloaded: DataFrame, live_accounts: DataFrame) -> tuple[DataFrame, DataFrame]:

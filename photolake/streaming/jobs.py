@@ -1,95 +1,197 @@
 """Streaming forms of the catalog jobs.
 
-State lives in keyed tables: a folder of Parquet partitions, one for each batch,
-of which a key's newest row counts. Each batch reads what came before it,
-applies the batch operator and writes the rows it touched. A batch that is run
-again therefore gives the same rows and loses nothing, however late its input is.
+Tables are plain Parquet in partitions (see parts.py), of which a batch reads
+and replaces those that its own rows touch. A batch that is run again gives the
+same rows and loses nothing, however late its input is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from photolake.operators.decisions import fold_actions
-from photolake.operators.neardup import WINDOW_S, merge_pairs, near_duplicates
-from photolake.operators.scan import apply_listing
+from photolake.functions.paths import remote_sentinel
+from photolake.operators.decisions import group_key, validate_actions
+from photolake.operators.neardup import WINDOW_S, near_duplicates
+from photolake.operators.scan import apply_listing, scan_library
+from photolake.session import scratch, use_package
 from photolake.sources.remote import pull
+from photolake.streaming.parts import BUCKETS, bucket_of, exists, partition_names, read_parts, replace_parts, values, write_parts
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MICROS = 1_000_000
 
-class KeyedTable:
-    """Parquet partitions batch=n under one folder; -1 is the start. The row of a key's largest batch is its row."""
 
-    def __init__(self, spark: SparkSession, base: str, key: list[str]):
-        self.spark, self.base, self.key = spark, base, key
+def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    def in_scratch(rows: DataFrame, n: int) -> None:
+        with scratch(rows.sparkSession):
+            step(rows, n)
 
-    def start(self, df: DataFrame) -> KeyedTable:
-        df.write.parquet(f"{self.base}/batch=-1")
-        return self
+    return stream.writeStream.foreachBatch(in_scratch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The table as it is, or as it was before a batch."""
-        schema = self.spark.read.parquet(f"{self.base}/batch=-1").schema
-        rows = self.spark.read.schema(schema).option("basePath", self.base).parquet(self.base)
-        rows = rows if before is None else rows.filter(F.col("batch") < before)
-        newest = rows.groupBy(*self.key).agg(F.max_by(F.struct(*(c for c in schema.names if c not in self.key)), "batch").alias("_row"))
-        return newest.select(*(F.col(c) if c in self.key else F.col(f"_row.{c}").alias(c) for c in schema.names))
 
-    def write(self, touched: DataFrame, n: int) -> None:
-        touched.write.mode("overwrite").parquet(f"{self.base}/batch={n}")
+def _seen_ids(spark: SparkSession, base: str, n: int) -> int:
+    """The largest id given before a batch: one small row a batch."""
+    return spark.read.parquet(f"{base}/top").filter(F.col("batch") < n).agg(F.max("top")).first()[0]
 
-    def compacted(self, base: str) -> KeyedTable:
-        """A table of the same rows in another folder, to go on from with fewer partitions."""
-        return KeyedTable(self.spark, base, self.key).start(self.read())
 
+def _most(top: int, written: DataFrame) -> int:
+    return max(top, written.agg(F.max("id")).first()[0] or 0)
 
-def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def _note_ids(spark: SparkSession, base: str, n: int, top: int) -> None:
+    spark.createDataFrame([(top,)], "top long").write.mode("overwrite").parquet(f"{base}/top/batch={n}")
+
+
+def start_catalog(photos: DataFrame, base: str, buckets: int = BUCKETS) -> None:
+    """The catalog by path for stream_pull() and stream_listing(), with the largest id noted beside it."""
+    keyed = photos.select("*", bucket_of("relative_path", buckets=buckets).alias("bucket"))
+    write_parts(keyed, f"{base}/photos", "bucket")
+    photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).write.parquet(f"{base}/top/batch=-1")
 
 
-def stream_pull(listing: DataFrame, catalog: KeyedTable, downloaded: DataFrame, decisions: DataFrame, checkpoint: str) -> StreamingQuery:
-    """W1. Listing pages as they arrive; items of any age come in, each once. No watermark: it would lose late ones. catalog's key: id."""
+def start_remote_state(downloaded: DataFrame, decisions: DataFrame, base: str, buckets: int = BUCKETS) -> None:
+    """An accounts' state in the same partitions as their catalog rows."""
+    for name, rows in (("downloaded", downloaded), ("decisions", decisions)):
+        write_parts(rows.select("*", bucket_of(remote_sentinel(F.col("account"), F.col("remote_id")), buckets=buckets).alias("bucket")), f"{base}/{name}", "bucket")
+
+
+def stream_pull(listing: DataFrame, base: str, photos: DataFrame, downloaded: DataFrame, decisions: DataFrame, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """W1. Listing pages as they arrive; items of any age come in, each once. No watermark: it would lose late ones.
+
+    base: what start_catalog() and start_remote_state() wrote; the other
+    tables only tell its columns. A batch reads the partitions of its items.
+    """
+    spark, key = listing.sparkSession, bucket_of("relative_path", buckets=buckets).alias("bucket")
+    shaped = {"photos": photos.select("*", key), "downloaded": downloaded.withColumn("bucket", F.lit(0)), "decisions": decisions.withColumn("bucket", F.lit(0))}
 
     def step(rows: DataFrame, n: int) -> None:
-        before = catalog.read(n)
-        catalog.write(pull(before, rows, downloaded, decisions).join(before.select("id"), "id", "left_anti").select(*before.columns), n)
+        wanted = values(rows, bucket_of(remote_sentinel(F.col("account"), F.col("remote_id")), buckets=buckets))
+        part = lambda name: read_parts(spark, f"{base}/{name}", shaped[name], "bucket", wanted).drop("bucket")
+        top = _seen_ids(spark, base, n)
+        done = replace_parts(spark, f"{base}/photos", n, lambda: pull(part("photos"), rows, part("downloaded"), part("decisions"), top).select("*", key), "bucket")
+        _note_ids(spark, base, n, _most(top, done))
 
     return _run(listing, checkpoint, step)
 
 
-def stream_decisions(actions: DataFrame, catalog: KeyedTable, log: KeyedTable, checkpoint: str) -> StreamingQuery:
-    """W2. Actions as they arrive, in any order. log (key: photo_id) keeps the last action for each photo, so a late older action changes nothing that a newer one has set. catalog's key: id."""
+def read_catalog(spark: SparkSession, base: str, photos: DataFrame) -> DataFrame:
+    return spark.read.schema(photos.schema).parquet(f"{base}/photos")
+
+
+class LastAction(StatefulProcessor):
+    """A group's last action in the state store: (ts, action_id), photo and status. Gives a row whenever an action is later than the one known."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "us long, action_id long, photo_id long, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.last.get() if self.last.exists() else None
+        best = known
+        for part in rows:
+            for one in zip(part.us, part.action_id, part.photo_id, part.status, strict=True):
+                best = max(best, one) if best else one
+        if best != known:
+            best = (int(best[0]), int(best[1]), int(best[2]), str(best[3]))
+            self.last.update(best)
+            yield pd.DataFrame([(key[0], *best)], columns=["group", "us", "action_id", "photo_id", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+def start_groups(photos: DataFrame, base: str, buckets: int = BUCKETS) -> None:
+    """The catalog by group for stream_decisions(), and beside it each photo's group by id."""
+    write_parts(photos.select("*", bucket_of(group_key(), buckets=buckets).alias("bucket")), f"{base}/photos", "bucket")
+    index = photos.select("id", "missing", "relative_path", group_key().alias("group"), bucket_of("id", buckets=buckets).alias("bucket"))
+    write_parts(index, f"{base}/index", "bucket")
+
+
+def key_actions(actions: DataFrame, base: str, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """W2, first half. Actions that can be applied, with their photo's group, as files under `out`; a batch reads the index of its own photos."""
+    spark = actions.sparkSession
 
     def step(rows: DataFrame, n: int) -> None:
-        acts = rows.select("action_id", "ts", "photo_id", "status")
-        known = log.read(n).join(acts.select("photo_id").distinct(), "photo_id", "left_semi")
-        last = known.unionByName(acts).groupBy("photo_id").agg(F.max_by(F.struct("action_id", "ts", "status"), F.struct("ts", "action_id")).alias("x"))
-        log.write(last.select("x.action_id", "x.ts", "photo_id", "x.status"), n)
-        before = catalog.read(n)
-        own = before.join(acts.select(F.col("photo_id").alias("id")).distinct(), "id", "left_semi")
-        groups = own.select("sha256").filter("coalesce(sha256, '') <> ''").distinct()
-        near = before.join(groups, "sha256", "left_semi").select(*before.columns).union(own.filter("coalesce(sha256, '') = ''"))
-        now = log.read(n + 1).join(near.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
-        catalog.write(fold_actions(near, now).drop("changed").select(*before.columns), n)
+        wanted = values(rows, bucket_of("photo_id", buckets=buckets))
+        index = spark.read.parquet(f"{base}/index").filter(F.col("bucket").isin(wanted) if wanted else F.lit(False))
+        ok, _ = validate_actions(rows, index)
+        keyed = ok.join(index.select(F.col("id").alias("photo_id"), "group"), "photo_id")
+        us = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))
+        keyed.select("group", us.alias("us"), "action_id", "photo_id", "status").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return _run(actions, checkpoint, step)
 
 
-def stream_near_duplicates(photos: DataFrame, seen: KeyedTable, pairs: KeyedTable, checkpoint: str) -> StreamingQuery:
-    """W3. New photos against each other and against known ones of the buckets they touch; exact for any lateness, a rerun adds nothing. Keys: id of seen, photo_a and photo_b of pairs."""
+KEYED = "group string, us long, action_id long, photo_id long, status string"
+
+
+def last_actions(keyed: DataFrame) -> DataFrame:
+    """W2. A stream of the groups whose last action has changed. Late older actions change nothing."""
+    use_package(keyed.sparkSession)
+    keyed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return keyed.groupBy("group").transformWithStateInPandas(LastAction(), KEYED, "Update", "None")
+
+
+def stream_decisions(keyed: DataFrame, base: str, photos: DataFrame, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """W2, second half. The catalog after the actions that key_actions() has written; a batch reads and replaces the partitions of the groups it changes.
+
+    Only a group's last action counts, as in fold_actions(), so the order of arrival doesn't matter.
+    """
+    spark = keyed.sparkSession
+    shaped = photos.withColumn("bucket", F.lit(0))
 
     def step(rows: DataFrame, n: int) -> None:
-        known = seen.read(n)
-        fresh = rows.join(known.select("id"), "id", "left_anti")
-        bucket = F.floor(F.unix_micros("captured_at") / (WINDOW_S * 1_000_000))
-        touched = fresh.select(F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b")).distinct()
-        near = known.withColumn("_b", bucket).join(touched, "_b", "left_semi").drop("_b")
-        found = merge_pairs(pairs.read(n), near_duplicates(near.unionByName(fresh)))
-        pairs.write(found.join(pairs.read(n).select("photo_a", "photo_b"), ["photo_a", "photo_b"], "left_anti"), n)
-        seen.write(fresh, n)
+        rows = rows.groupBy("group").agg(F.max_by(F.struct("photo_id", "status"), F.struct("us", "action_id")).alias("_last"))
+        wanted = values(rows, bucket_of("group", buckets=buckets))
+
+        def folded() -> DataFrame:
+            own = read_parts(spark, f"{base}/photos", shaped, "bucket", wanted).withColumn("group", group_key())
+            joined = own.join(rows, "group", "left")
+            actor = F.col("id") == F.col("_last.photo_id")
+            follows = F.col("_last").isNotNull() & ~actor & ~F.col("missing") & ~F.col("relative_path").startswith("@src/")
+            status = F.when(actor, F.col("_last.status")).when(follows, "rejected").otherwise(F.col("status"))
+            departs = (F.col("status") == "optional") & (status != "optional") & (F.coalesce("original_path", F.lit("")) == "") & (F.col("source") == "local")
+            new = {"status": status, "original_path": F.when(departs, F.col("relative_path")).otherwise(F.col("original_path"))}
+            return joined.select(*(new[c].alias(c) if c in new else c for c in (*photos.columns, "bucket")))
+
+        replace_parts(spark, f"{base}/photos", n, folded, "bucket")
+
+    return _run(last_actions(keyed), checkpoint, step)
+
+
+def _day(c: str | Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd")
+
+
+def stream_near_duplicates(photos: DataFrame, base: str, checkpoint: str, window_s: int = WINDOW_S) -> StreamingQuery:
+    """W3. New photos against each other and against known ones shot within the window; exact for any lateness, a rerun adds nothing.
+
+    base/seen holds photos by day and batch, of which the days that a batch
+    reaches are read; base/pairs gets a partition a batch, and no pair twice, as
+    one photo of each is new.
+    """
+    spark = photos.sparkSession
+    shaped = spark.createDataFrame([], photos.schema).select("*", F.lit("").alias("day"), F.lit(0).alias("batch"))
+    width = F.expr(f"interval {window_s} seconds")
+
+    def step(rows: DataFrame, n: int) -> None:
+        days = values(rows.filter("captured_at is not null").select(F.explode(F.array("captured_at", F.col("captured_at") - width, F.col("captured_at") + width)).alias("t")), _day("t"))
+        have = partition_names(spark, f"{base}/seen")
+        near = [x for x in days if f"day={x}" in have]
+        known = read_parts(spark, f"{base}/seen", shaped, "day", near).filter(F.col("batch") < n) if near else shaped
+        known = known.drop("day", "batch")
+        fresh = rows.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti").select(*photos.columns)
+        found = near_duplicates(known.unionByName(fresh), window_s)
+        for side in ("photo_a", "photo_b"):
+            found = found.join(fresh.select(F.col("id").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
+        found = found.filter("_photo_a or _photo_b").select("photo_a", "photo_b", "hamming_distance")
+        found.withColumn("resolved", F.lit(False)).write.mode("overwrite").parquet(f"{base}/pairs/batch={n}")
+        placed = fresh.filter("captured_at is not null").select("*", _day("captured_at").alias("day"), F.lit(n).alias("batch"))
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{base}/seen")
 
     return _run(photos, checkpoint, step)
 
@@ -99,7 +201,7 @@ def stream_near_duplicates_bounded(photos: DataFrame, lateness: str = "1 minute"
     from photolake.functions.hashing import phash_bits
 
     rows = photos.filter("not missing and source = 'local'").withColumn("bits", phash_bits(F.col("phash"))).filter("bits is not null").withWatermark("captured_at", lateness)
-    bucket = F.floor(F.unix_micros("captured_at") / (window_s * 1_000_000))
+    bucket = F.floor(F.unix_micros("captured_at") / (window_s * MICROS))
     a = rows.select(F.explode(F.array(bucket, bucket + 1)).alias("bucket"), F.col("id").alias("a"), F.col("captured_at").alias("a_ts"), F.col("sha256").alias("a_sha"), F.col("bits").alias("a_bits"))
     b = rows.select(bucket.alias("bucket2"), F.col("id").alias("b"), F.col("captured_at").alias("b_ts"), F.col("sha256").alias("b_sha"), F.col("bits").alias("b_bits"))
     near = F.expr(f"bucket = bucket2 and b_ts >= a_ts and b_ts <= a_ts + interval {window_s} seconds and (b_ts > a_ts or b > a)")
@@ -108,13 +210,56 @@ def stream_near_duplicates_bounded(photos: DataFrame, lateness: str = "1 minute"
     return a.join(b, near).filter(~same & (distance <= max_hamming)).select(F.least("a", "b").alias("photo_a"), F.greatest("a", "b").alias("photo_b"), distance.cast("short").alias("hamming_distance"))
 
 
-def stream_listing(listing: DataFrame, catalog: KeyedTable, checkpoint: str) -> StreamingQuery:
-    """W4. New and changed files as they are listed. Vanished files need a whole snapshot, which diff_listing() takes. catalog's key: relative_path."""
+LISTED = ["relative_path", "file_size", "file_mtime", "captured_at", "captured_at_source", "sha256"]
 
-    def step(rows: DataFrame, n: int) -> None:
-        after = apply_listing(catalog.read(n), rows)
-        catalog.write(after.join(rows.select("relative_path").distinct(), "relative_path", "left_semi").select(*after.columns), n)
 
+def stream_listing(listing: DataFrame, base: str, photos: DataFrame, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """W4. Files of one root as they are listed. base: what start_catalog() wrote.
+
+    Rows without a snapshot are new and changed files: a batch reads and
+    replaces the partitions of their paths. Rows of a snapshot (a name, in the
+    order of their making) wait under base/listed until the snapshot's marker, a
+    row without a path but with their number in `total`, has come and all of
+    them are there. The catalog then takes the snapshot as a scan: changes,
+    moved and vanished files. That reads all rows, as the snapshot lists them all.
+    """
+    spark, key = listing.sparkSession, bucket_of("relative_path", buckets=buckets).alias("bucket")
+    shaped = photos.select("*", key)
+
+    def complete(n: int) -> list[str]:
+        marks = spark.read.schema("snapshot string, total long, batch int").option("basePath", f"{base}/marks").parquet(f"{base}/marks").filter(F.col("batch") <= n)
+        done = spark.read.schema("snapshot string, batch int").option("basePath", f"{base}/done").parquet(f"{base}/done").filter(F.col("batch") < n)
+        waiting = marks.groupBy("snapshot").agg(F.max("total").alias("total")).join(done, "snapshot", "left_anti").collect()  # a row a snapshot
+        return sorted(r.snapshot for r in waiting if r.total == listed(r.snapshot, n).count())
+
+    def listed(snapshot: str, n: int) -> DataFrame:
+        rows = spark.read.schema(listing.select(*LISTED, "snapshot").withColumn("batch", F.lit(0)).schema).option("basePath", f"{base}/listed").parquet(f"{base}/listed")
+        return rows.filter((F.col("snapshot") == snapshot) & (F.col("batch") <= n)).select(*LISTED)
+
+    def step(rows: DataFrame, n: int) -> None:
+        top = _seen_ids(spark, base, n)
+        loose = rows.filter("snapshot is null and relative_path is not null").select(*LISTED)
+        wanted = values(loose, key)
+        if wanted:
+            part = read_parts(spark, f"{base}/photos", shaped, "bucket", wanted).drop("bucket")
+            done = replace_parts(spark, f"{base}/photos", n, lambda: apply_listing(part, loose, top=top).select("*", key), "bucket")
+            top = _most(top, done)
+        held = rows.filter("snapshot is not null and relative_path is not null").select(*LISTED, "snapshot", F.lit(n).alias("batch"))
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot", "batch").parquet(f"{base}/listed")
+        rows.filter("snapshot is not null and relative_path is null").select("snapshot", "total").write.mode("overwrite").parquet(f"{base}/marks/batch={n}")
+        names = complete(n)
+        for turn, name in enumerate(names, 1):
+            every = spark.read.schema(shaped.schema).parquet(f"{base}/photos").drop("bucket")
+            done = replace_parts(spark, f"{base}/photos", n, lambda every=every, name=name, top=top: scan_library(every, listed(name, n), top).select("*", key), "bucket", turn=turn, whole=True)
+            top = _most(top, done)
+        spark.createDataFrame([(x,) for x in names], "snapshot string").write.mode("overwrite").parquet(f"{base}/done/batch={n}")
+        _note_ids(spark, base, n, top)
+
+    for name, kind in (("listed", listing.select(*LISTED, "snapshot").withColumn("batch", F.lit(0)).schema), ("marks", "snapshot string, total long, batch int"), ("done", "snapshot string, batch int")):
+        if not exists(spark, f"{base}/{name}"):  # a first partition, so that there is something to read
+            by = ("snapshot", "batch") if name == "listed" else ("batch",)
+            first = spark.createDataFrame([], kind)
+            first.write.partitionBy(*by).parquet(f"{base}/{name}")
     return _run(listing, checkpoint, step)
 
 

@@ -13,7 +13,6 @@ from photolake.functions import dates, hashing, paths
 from photolake.operators import audit, decisions, dedup, live, neardup, scan, timeline
 from photolake.plans import moves
 from photolake.sources import listing, remote, state
-from photolake.streaming import jobs
 
 T0 = datetime(2025, 6, 14, 18, 30, 12)
 
@@ -248,31 +247,6 @@ def test_phash(spark):
     assert len(a) == 16 and bin(int(a, 16) ^ int(b, 16)).count("1") <= 2 and c is None
 
 
-def test_stream_of_pairs_and_listing(spark, tmp_path):
-    at = lambda s: T0 + timedelta(seconds=s)
-    base = str(tmp_path)
-    photos(spark, photo(1, phash="0" * 16)).write.parquet(f"{base}/in/1")
-    seen = jobs.KeyedTable(spark, f"{base}/seen", ["id"]).start(photos(spark))
-    pairs = jobs.KeyedTable(spark, f"{base}/pairs", ["photo_a", "photo_b"]).start(spark.createDataFrame([], schemas.PAIRS))
-    for n, rows in enumerate(([], [photo(2, phash="0" * 16, captured_at=at(3))], [photo(2, phash="0" * 16, captured_at=at(3))])):
-        if rows:
-            photos(spark, *rows).write.parquet(f"{base}/in/{n + 1}")
-        stream = spark.readStream.schema(spark.read.parquet(f"{base}/in/1").schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-        jobs.stream_near_duplicates(stream, seen, pairs, f"{base}/ck").awaitTermination()
-    assert [(r.photo_a, r.photo_b) for r in pairs.read().collect()] == [(1, 2)]
-
-
-def test_stream_of_decisions_takes_the_latest(spark, tmp_path):
-    base = str(tmp_path)
-    catalog = jobs.KeyedTable(spark, f"{base}/cat", ["id"]).start(photos(spark, photo(1, sha256="a"), photo(2, sha256="a")))
-    log = jobs.KeyedTable(spark, f"{base}/log", ["photo_id"]).start(spark.createDataFrame([], schemas.ACTIONS))
-    for n, row in enumerate([(5, T0 + timedelta(seconds=9), 1, "selected"), (4, T0, 2, "selected")]):
-        spark.createDataFrame([row], schemas.ACTIONS).write.parquet(f"{base}/in/{n}")
-        stream = spark.readStream.schema(schemas.ACTIONS).option("recursiveFileLookup", "true").parquet(f"{base}/in")
-        jobs.stream_decisions(stream, catalog, log, f"{base}/ck").awaitTermination()
-    assert {r.id: r.status for r in catalog.read().collect()} == {1: "selected", 2: "rejected"}
-
-
 def test_audit_and_empty_tables(spark):
     p = photos(spark)
     assert {r.status: r.n for r in audit.counts_by_status(p).collect()} == {"optional": 0, "selected": 0, "rejected": 0}
