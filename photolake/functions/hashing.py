@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photolake.session import use_package
+from photolake.operators.ranks import running_sum
+from photolake.session import stash, use_package
 
 HEAD_BYTES = 65536
 SIDE, LOW = 32, 8
@@ -37,9 +39,49 @@ def hash_pending(photos: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     return done, joined.filter("sha256 is null").select("id", "relative_path", F.lit("file not found").alias("error"))
 
 
-def hash_large_files(paths: DataFrame, chunk: int = 1 << 22) -> DataFrame:
-    """H1 for files that don't fit a row: abs_path -> sha256 or error, read in chunks by the tasks. Needs paths that executors can open."""
-    use_package(paths.sparkSession)
+def share_out(paths: DataFrame, tasks: int) -> DataFrame:
+    """Files (abs_path, file_size) with a `task` each, of which all get about as many bytes.
+
+    Files of more than half a task's share are at most 2 * tasks: the driver
+    deals them out, largest first, to the task with least. The others fill the
+    tasks up by their running sum, so no task gets more than half a share above
+    its own, unless one file is larger than that.
+    """
+    sized = paths.select("abs_path", F.greatest(F.coalesce("file_size", F.lit(0)), F.lit(1)).cast("long").alias("file_size"))
+    total = sized.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
+    half = total / tasks / 2
+    large = sorted(((r.file_size, r.abs_path) for r in sized.filter(F.col("file_size") > half).collect()), reverse=True)
+    loads, dealt = [(0, t) for t in range(tasks)], []
+    for size, path in large:
+        load, t = heapq.heappop(loads)
+        dealt.append((path, size, t))
+        heapq.heappush(loads, (load + size, t))
+    filled = np.array([load for load, _ in sorted(loads, key=lambda x: x[1])], float)
+    low, high = 0.0, float(total) + 1
+    rest = total - filled.sum()
+    for _ in range(100):  # the level up to which the small files fill all tasks
+        level = (low + high) / 2
+        low, high = (level, high) if np.maximum(level - filled, 0).sum() < rest else (low, level)
+    ends = np.cumsum(np.maximum(high - filled, 0))
+    at = np.searchsorted
+
+    @F.pandas_udf("int")
+    def task_of(begin: pd.Series) -> pd.Series:
+        return pd.Series(np.minimum(at(ends, begin.to_numpy(float), side="right"), tasks - 1).astype(np.int32))
+
+    small = running_sum(sized.filter(F.col("file_size") <= half), ["abs_path"], "file_size", "_begin")
+    out = small.select("abs_path", "file_size", task_of("_begin").alias("task"))
+    return out.unionByName(paths.sparkSession.createDataFrame(dealt, "abs_path string, file_size long, task int"))
+
+
+def hash_by_size(paths: DataFrame, tasks: int | None = None, chunk: int = 1 << 22) -> DataFrame:
+    """H1 for files (abs_path, file_size): abs_path, sha256 or error, read in chunks, so that files of any size do.
+
+    Each task reads about as many bytes. Executors must be able to open the paths.
+    """
+    spark = paths.sparkSession
+    use_package(spark)
+    tasks = tasks or spark.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -55,7 +97,13 @@ def hash_large_files(paths: DataFrame, chunk: int = 1 << 22) -> DataFrame:
                     out.append((p, None, type(e).__name__))
             yield pd.DataFrame(out, columns=["abs_path", "sha256", "error"])
 
-    return paths.select("abs_path").mapInPandas(run, "abs_path string, sha256 string, error string")
+    shared = stash(share_out(paths, tasks), "shared")
+    return shared.repartitionById(tasks, "task").select("abs_path").mapInPandas(run, "abs_path string, sha256 string, error string")
+
+
+def hash_large_files(paths: DataFrame, chunk: int = 1 << 22) -> DataFrame:
+    """H1 for files whose sizes aren't known: abs_path, sha256 or error."""
+    return hash_by_size(paths.select("abs_path", F.lit(1).alias("file_size")), chunk=chunk)
 
 
 def dct_basis(n: int = SIDE) -> np.ndarray:

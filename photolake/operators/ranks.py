@@ -23,3 +23,12 @@ def rank_within(rows: DataFrame, group: list[str], order: list[str], name: str)
     same = [F.col(c).eqNullSafe(F.col(f"_rank_{i}")) for i, c in enumerate(["_rank_part", *group])]
     joined = placed.withColumn(name, own).join(named, same, "left")
     return joined.select(*rows.columns, (F.col(name) + F.coalesce("_rank_before", F.lit(0))).alias(name))
+
+
+def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over all rows before each, in an order; summed within range partitions, plus the sums of those before."""
+    placed = stash(rows.repartitionByRange(*order).withColumn("_sum_part", F.spark_partition_id()), "placed")
+    own = F.sum(value).over(Window.partitionBy("_sum_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    sizes = placed.groupBy("_sum_part").agg(F.sum(value).alias("_sum"))  # a row for each partition
+    before = sizes.select("_sum_part", (F.sum("_sum").over(Window.orderBy("_sum_part")) - F.col("_sum")).alias("_sum_before"))
+    return placed.withColumn(name, own).join(F.broadcast(before), "_sum_part").select(*rows.columns, (F.col(name) + F.col("_sum_before")).alias(name))

@@ -320,6 +320,32 @@ def content_hashes_whole(s, d):
     return views.files(s, d).select("doc_id", F.sha2("content", 256).alias("sha256"), hashing.content_key(F.col("content"), F.col("file_size")).alias("content_key"))
 
 
+_TREE = FILES_SQL + r"""listed as (select 'd' || doc_id % 20 || '/' || doc_id || '/' || relative_path as relative_path, coalesce(text, '') as content from files where not regexp_matches(relative_path, '(^|/)\.') and regexp_matches(lower(relative_path), '\.(jpg|heic|mov)$')),"""
+
+
+def _tree(s, d):
+    from photolake.sources.tree import register_tree
+
+    register_tree(s)
+    root = views.tree(s, d)
+    return root, s.read.format("media_tree").option("depth", 1).load(root)
+
+
+@register(_TREE, "select relative_path, cast(octet_length(encode(content)) as bigint) as file_size from listed")
+def listed_tree(s, d):
+    """S1. Documents written as a tree of files, listed by the data source."""
+    return _tree(s, d)[1].select("relative_path", "file_size")
+
+
+@register(_TREE, "select relative_path, sha256(content) as sha256 from listed")
+def hashed_tree(s, d):
+    """H1. The tree's files hashed where they lie, dealt out by size."""
+    root, listed = _tree(s, d)
+    root = root.removeprefix("file://").removeprefix("file:")
+    done = hashing.hash_by_size(listed.select(F.concat(F.lit(f"{root}/"), "relative_path").alias("abs_path"), "file_size"))
+    return done.select(F.substring("abs_path", len(root) + 2, 1 << 20).alias("relative_path"), "sha256")
+
+
 @register(FILES_SQL, "select doc_id as id, sha256(text) as sha256 from files where doc_id % 3 = 0 and doc_id % 7 <> 0")
 def hash_pending(s, d):
     f = views.files(s, d)
@@ -580,12 +606,23 @@ def advanced_cursors(s, d):
     return remote.advance_cursor(states, p, full).select("account", us("cursor").alias("cursor_us"))
 
 
-@register(PHOTOS_SQL, "select account, count(*) filter (id % 2 = 0 and status <> 'optional') as n_decisions, count(*) filter (id % 2 = 1) as n_downloaded from photos where source = 'icloud' group by account")
-def account_documents(s, d):
+_ENTRIES = "select account, 'decision' as kind, remote_id as key, status as value from photos where source = 'icloud' and id % 2 = 0 and status <> 'optional' union all select account, 'download', remote_id, relative_path from photos where source = 'icloud' and id % 2 = 1"
+
+
+def _account_documents(s, d):
+    """Documents of at most 100 entries, so that accounts have several."""
     p = views.photos(s, d).filter("source = 'icloud'")
     states = p.groupBy("account").agg(F.max("captured_at").alias("cursor"))
-    docs = state.account_documents(states, p.filter("id % 2 = 0").select("account", "remote_id", "status"), p.filter("id % 2 = 1").select("account", "remote_id", "relative_path"))
-    return docs.select("account", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("decisions", "downloaded")))
+    return state.account_documents(states, p.filter("id % 2 = 0").select("account", "remote_id", "status"), p.filter("id % 2 = 1").select("account", "remote_id", "relative_path"), 100)
+
+
+@register(PHOTOS_SQL, f"{_ENTRIES} union all select account, 'large documents', null, '0' from photos where source = 'icloud' group by account")
+def account_documents(s, d):
+    """S6. What the documents hold, and how many are too large."""
+    docs = _account_documents(s, d)
+    each = lambda kind, c: docs.select("account", F.lit(kind).alias("kind"), F.explode(c).alias("key", "value"))
+    large = docs.groupBy("account").agg(F.count_if((F.size("decisions") > 100) | (F.size("downloaded") > 100)).cast("string").alias("value"))
+    return each("decision", "decisions").unionByName(each("download", "downloaded")).unionByName(large.select("account", F.lit("large documents").alias("kind"), F.lit(None).cast("string").alias("key"), "value"))
 
 
 @register(None, "select cast(ts as date) as day, count(*) as n from events group by 1")
@@ -714,15 +751,16 @@ def streamed_snapshots(s, d):
     return jobs.read_catalog(s, base, p).select("relative_path", F.when(i <= top, i).alias("old_id"), "missing", "file_mtime")
 
 
-@register(PHOTOS_SQL, "select account, count(*) filter (id % 2 = 0 and status <> 'optional') as n_decisions, count(*) filter (id % 2 = 1) as n_downloaded, max(epoch_us(captured_at)) as cursor_us from photos where source = 'icloud' group by account")
+@register(PHOTOS_SQL, f"{_ENTRIES} union all select account, 'cursor', null, cast(max(epoch_us(captured_at)) as varchar) from photos where source = 'icloud' group by account")
 def account_states_read_back(s, d):
-    """S3, S6. What was written for each account, read again."""
-    p = views.photos(s, d).filter("source = 'icloud'")
-    docs = state.account_documents(p.groupBy("account").agg(F.max("captured_at").alias("cursor")), p.filter("id % 2 = 0").select("account", "remote_id", "status"), p.filter("id % 2 = 1").select("account", "remote_id", "relative_path"))
-    states, named, got, _ = state.read_account_states(s, state.write_account_states(docs, work_dir(s, "states")))
-    counted = lambda df, n: df.groupBy("account").agg(F.count(F.lit(1)).alias(n))
-    out = states.join(counted(named, "n_decisions"), "account", "left").join(counted(got, "n_downloaded"), "account", "left")
-    return out.select("account", F.coalesce("n_decisions", F.lit(0)).alias("n_decisions"), F.coalesce("n_downloaded", F.lit(0)).alias("n_downloaded"), us("cursor").alias("cursor_us"))
+    """S3, S6. What was written for each account, read again: the second version, as the first doesn't count any more."""
+    base = work_dir(s, "states")
+    docs = _account_documents(s, d)
+    state.write_account_states(docs.limit(1), base)
+    states, named, got, _ = state.read_account_states(s, state.write_account_states(docs, base))
+    one = lambda df, kind, key, value: df.select("account", F.lit(kind).alias("kind"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    out = one(named, "decision", F.col("remote_id"), F.col("status")).unionByName(one(got, "download", F.col("remote_id"), F.col("relative_path")))
+    return out.unionByName(one(states, "cursor", F.lit(None), us("cursor")))
 
 
 @register(PHOTOS_SQL, "select source_ref as source_id, relative_path, status from photos where source_ref is not null and status <> 'optional'")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake.schemas import PAIRS
-from photolake.session import table, use_package
+from photolake.session import table, use_package, work_dir
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,3 +165,23 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS_SQL = "pairs as (select id as photo_a, id + 1 as photo_b, cast(id % 9 as smallint) as hamming_distance, id % 3 = 0 as resolved from photos where id % 2 = 0),"
+
+
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """Writes each document as a file, named as in files() under a folder of its own number, and returns the root."""
+    root = work_dir(spark, "tree")
+    local = root.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        for b in batches:
+            for i, path, content in zip(b.doc_id, b.relative_path, b.content, strict=True):
+                at = f"{local}/d{i % 20}/{i}/{path}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "wb") as f:
+                    f.write(content or b"")
+            yield b[["doc_id"]]
+
+    files(spark, sf_dir).select("doc_id", "relative_path", "content").mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    return root

@@ -1,6 +1,7 @@
 """Catalog operators on hand-made rows."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -214,10 +215,11 @@ def test_states_read_back_whole(spark, tmp_path):
     states = spark.createDataFrame(accounts, "account string, cursor timestamp")
     named = spark.createDataFrame([(f"a{i}@x.org", f"r{k}", "optional" if k == 0 else "rejected") for i in range(4) for k in range(3)], "account string, remote_id string, status string")
     got = spark.createDataFrame([("a0@x.org", "r9", 'selected/}\n{".jpg')], "account string, remote_id string, relative_path string")
-    out = state.write_account_states(state.account_documents(states, named, got).coalesce(1), str(tmp_path / "out"))
-    (tmp_path / "out" / "broken.json").write_text("{broken")
-    (tmp_path / "out" / "list.json").write_text("[1, 2]")
-    (tmp_path / "out" / "nested.json").write_text('{"account": "n@x.org",\n "decisions": {\n "r1": "rejected", "n": 5\n }\n}')
+    state.write_account_states(state.account_documents(states, named, got).coalesce(1), str(tmp_path / "out"))
+    out = Path(state.current(spark, str(tmp_path / "out")))
+    (out / "broken.json").write_text("{broken")
+    (out / "list.json").write_text("[1, 2]")
+    (out / "nested.json").write_text('{"account": "n@x.org",\n "decisions": {\n "r1": "rejected", "n": 5\n }\n}')
     a, b, c, bad = state.read_account_states(spark, str(tmp_path / "out"))
     assert {r.account: r.cursor for r in a.collect()} == dict(accounts) | {"n@x.org": None}
     assert {tuple(r) for r in b.collect()} == {tuple(r) for r in named.filter("status <> 'optional'").collect()} | {("n@x.org", "r1", "rejected"), ("n@x.org", "n", "5")}
@@ -225,8 +227,8 @@ def test_states_read_back_whole(spark, tmp_path):
     assert state.read_account_states(spark, str(tmp_path / "none"))[0].count() == 0
     sources = spark.createDataFrame([(1, "disk"), (2, "card")], "id long, name string")
     marks = spark.createDataFrame([(1, "a.jpg", "rejected"), (1, "b.jpg", "optional"), (2, "c.jpg", "selected")], "source_id long, relative_path string, status string")
-    out = state.write_states(state.source_documents(sources, marks), str(tmp_path / "src"))
-    (tmp_path / "src" / "disk.json").write_text('{"decisions": {"d.jpg": "rejected"}}')
+    state.write_states(state.source_documents(sources, marks), str(tmp_path / "src"))
+    (Path(state.current(spark, str(tmp_path / "src"))) / "disk.json").write_text('{"decisions": {"d.jpg": "rejected"}}')
     back, bad = state.read_source_states(spark, str(tmp_path / "src"), sources)
     assert {tuple(r) for r in back.collect()} == {(1, "a.jpg", "rejected"), (2, "c.jpg", "selected"), (1, "d.jpg", "rejected")} and bad.count() == 0
 
