@@ -91,10 +91,11 @@ def page(rows: DataFrame, number: object = 1, size: int = PAGE, descending: bool
         if (total := top.count()) <= (wanted - 1) * size:  # these are all rows there are
             wanted = max(1, -(-total // size))
         return top.orderBy(*keys).offset((wanted - 1) * size).limit(size)
-    found = ranked(rows, rows.columns, descending)
+    found = ranked(rows, ["captured_at", "id"], descending)  # keys alone; the page's rows are joined back
     last = max(1, -(-found.count() // size))
     wanted = wanted if 1 <= wanted <= last else last
-    return found.filter(F.col("pos").between((wanted - 1) * size, wanted * size - 1)).drop("pos").orderBy(*keys)
+    own = found.filter(F.col("pos").between((wanted - 1) * size, wanted * size - 1)).select("id")
+    return rows.join(own, "id", "left_semi").select(*rows.columns).orderBy(*keys)
 
 
 def page_after(rows: DataFrame, captured_at, photo_id: int, size: int = PAGE) -> DataFrame:

@@ -41,12 +41,32 @@ def _rows(df: DataFrame) -> DataFrame:
 
 @register(PHOTOS_SQL, f"select {ROW}, coalesce(r.n, 0) as dupe_count, coalesce(live_photo_video_path, '') <> '' as is_live, source = 'icloud' and status = 'selected' as download_pending from shown left join (select sha256, n from reps where n > 1) r using (sha256) order by captured_at, id limit 200")
 def timeline_first_page(s, d):
-    photos = views.photos(s, d)
-    first = timeline.page(timeline.timeline(photos), 1)
-    out = timeline.with_badges(first, photos)
+    """T4, T9 from the stored order, which is written first where this session hasn't yet."""
+    out = views.stored(s, d).page(1)
     return out.select("id", us("captured_at").alias("captured_us"), "status", "provenance", "dupe_count", "is_live", "download_pending")
 
 
+@register(PHOTOS_SQL, "select cast(captured_at as date) as day, count(*) as n, cast(sum(count(*)) over (order by cast(captured_at as date)) - count(*) as bigint) as before from shown group by 1")
+def timeline_stored(s, d):
+    """The stored order written anew: its days with their running sums."""
+    return s.read.parquet(f"{views.stored(s, d, fresh=True).base}/days").select(F.to_date("day").alias("day"), "n", "before")
+
+
+@register(PHOTOS_SQL, "select s.id, s.pos - 30 as away from (select id, row_number() over (order by captured_at, id) - 1 as pos from shown) s where s.pos between 20 and 40")
+def timeline_around(s, d):
+    """T6, T7 of the photo at place 30."""
+    stored = views.stored(s, d)
+    own = stored.between(30, 31).first()
+    return stored.around(own.id, own.captured_at).select("id", (F.col("pos") - 30).alias("away"))
+
+
+@register(PHOTOS_SQL, "select account, (select count(*) from photos q where q.source = 'icloud' and q.account = a.account and q.captured_at > timestamp '2024-01-10 12:00:00') as rank from (select distinct account from photos where source = 'icloud') a")
+def date_rank_stored(s, d):
+    """T12 of one time in each account."""
+    probes = views.photos(s, d).filter("source = 'icloud'").select("account", F.lit("2024-01-10 12:00:00").cast("timestamp").alias("at")).distinct()
+    return views.stored(s, d).date_rank(probes).select("account", "rank")
+
+
 @register(PHOTOS_SQL, f"select {ROW} from shown where status = 'optional' and provenance = 'acct-1' and captured_at >= timestamp '2024-01-03' and captured_at < timestamp '2024-01-21' and captured_at_source <> 'exif'")
 def timeline_filtered(s, d):
     return _rows(timeline.timeline(views.photos(s, d), "optional", "acct-1", "2024-01-03", "2024-01-20", low_confidence_only=True))
@@ -69,6 +89,12 @@ def timeline_third_page(s, d):
 
 @register(PHOTOS_SQL, f"select {ROW} from (select *, row_number() over (order by captured_at, id) - 1 as pos, (select count(*) from shown) as total from shown) where pos >= (total - 1) // 200 * 200")
 def timeline_last_page(s, d):
+    return _rows(views.stored(s, d).page(10**9))
+
+
+@register(PHOTOS_SQL, f"select {ROW} from (select *, row_number() over (order by captured_at, id) - 1 as pos, (select count(*) from shown) as total from shown) where pos >= (total - 1) // 200 * 200")
+def timeline_last_page_ranked(s, d):
+    """T4 without a stored order."""
     return _rows(timeline.page(timeline.timeline(views.photos(s, d)), 10**9))
 
 

@@ -71,6 +71,20 @@ shown as (select * from photos where not missing and id not in (select id from r
 """
 
 
+def stored(spark: SparkSession, sf_dir: str, fresh: bool = False):
+    """The timeline's stored order for these tables, written once a session as long as the event table stays as it is, or anew."""
+    from photolake.operators.stored import Stored, store_timeline
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    key = (sf_dir, at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime())
+    sc = spark.sparkContext
+    have = getattr(sc, "_photolake_stored", None)
+    if fresh or not have or have[0] != key:
+        sc._photolake_stored = have = (key, store_timeline(photos(spark, sf_dir), work_dir(spark, "timeline")))
+    return Stored(spark, have[1])
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a document; names carry dates of several shapes, good and bad."""
     use_package(spark)
