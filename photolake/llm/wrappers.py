@@ -10,21 +10,26 @@ steps for each host, until one is left.
 
 The finished wrapper says where the host's article is: in the element, from the
 root down, that holds most of the text that varies from page to page and isn't
-links; names of classes only lessen a region's weight. Slots that are alike on
-different pages are template text. Where a page marks its text by main or
-article elements, those say where it is, and it is kept whole.
+links. Main and article elements add to a region's weight, names of classes and
+forms lessen it. Slots that are alike on different pages are template text,
+unless they lie in a main or article element. Only a page that has nothing where
+its host's article is, is looked through on its own.
 """
 
 from __future__ import annotations
 
 import html as markup
 import json
-import math
+import pickle
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,19 +56,32 @@ MARKED = re.compile(
     re.I,
 )
 #: Words that mark one outside main and article only, and only as a whole name: inside they may well name a part of the text.
-MARKED_OUTSIDE = frozenset("notice notices alert reply replies respond search side rail footer tags skip legal disclaimer hidden".split())
+MARKED_OUTSIDE = frozenset("notice notices alert alerts reply replies respond search side rail footer tags skip legal disclaimer hidden".split())
+#: Words of a name that mark a region inside the article, if all its other words say nothing (PLAIN): "share-buttons", but not "market-share".
+MARKED_INSIDE = re.compile(
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|gdpr|dialog|modal|popup|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|sidebar|widget|promo\w*|sponsor\w*|menu|nav|navbar|navigation|toolbar|topbar|masthead|pagination|pager|complementary|contentinfo|notices?|alerts?|repl(?:y|ies)",
+    re.I,
+)
+PLAIN = frozenset(
+    "0 area article articles bar block body bottom box button buttons by card cards component container content count entry footer form group header heading holder icon icons inline inner item items left link links list message module more news outer page panel post posts right row section site slot stories story text thread title to tools top unit us wrap wrapper".split()
+)
+#: Stands in a node for an element that isn't shown.
+HIDDEN = "!hidden"
+UNSEEN = re.compile(r"\bstyle\s*=[^>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+IS_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
 #: What closes an open element of the same kind by beginning.
 CLOSES = {t: frozenset((t,)) for t in ("p", "li", "tr", "option")} | {t: frozenset(("td", "th")) for t in ("td", "th")} | {t: frozenset(("dt", "dd")) for t in ("dt", "dd")}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Longest repeated group, in tokens, that folding looks for.
-PERIOD = 8
 SLOT = "#"
 #: Elements nested deeper than this count as part of the one that deep.
 DEPTH = 200
-#: Longest name of an element with its class, id and role.
+#: A longer name of an element with its class, id and role is kept as its words that are looked at, and a digest.
 NAME = 200
-#: A page whose folded stream is longer says nothing to the wrapper; it is read by it all the same.
-MOST_ITEMS = 4000
+#: Streams whose lengths multiply to more are cut at items that both hold once before they are aligned.
+AT_ONCE = 4_000_000
+#: Times that a main or article element counts.
+EVIDENCE = 4.0
 
 
 def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
@@ -119,8 +137,18 @@ def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
 
 
 def _open_name(name: str, attributes: str) -> str:
+    if not attributes:
+        return name
     found = " ".join(v for _, *vs in ATTRIBUTE.findall(attributes) for v in vs if v) if "=" in attributes else ""
-    return f"{name} {re.sub(r'\d+', '0', found).replace('/', ' ').strip()}".strip()[:NAME]
+    marks = re.sub(r"\d+", "0", found).replace("/", " ").strip()
+    low = attributes.lower()
+    if ("hidden" in low and IS_HIDDEN.search(VALUE.sub("=", attributes))) or ("style" in low and UNSEEN.search(attributes)):
+        marks = f"{marks} {HIDDEN}".strip()
+    node = f"{name} {marks}" if marks else name
+    if len(node) > NAME:
+        looked_at = [x for x in dict.fromkeys(marks.split()) if x in ("main", HIDDEN) or _marked(x, False) or _marked(x, True)]
+        node = " ".join((name, *looked_at, f"_{_digest(marks):x}"))
+    return node
 
 
 def read(page: str) -> tuple[list[str], list[tuple[str, str]]]:
@@ -129,12 +157,13 @@ def read(page: str) -> tuple[list[str], list[tuple[str, str]]]:
 
 
 def _scan(page: str) -> tuple[list[str], list[tuple[str, str]], list[int], list[int]]:
-    """What read() gives, and for each slot the number of the outermost main or article element that it lies in (0: none), and how many of its characters are links."""
+    """What read() gives, and for each slot the number of the innermost article element that it lies in (0: none), and how many of its characters are links."""
     tokens: list[str] = []
     slots: list[tuple[str, str]] = []
     regions: list[int] = []
     links: list[int] = []
-    outer, count = 0, 0  # depth of the stack inside the outermost main or article element (0: none), and its number
+    outer, count = 0, 0  # depth of the stack inside the outermost main or article element (0: none), and number of articles so far
+    articles: list[tuple[int, int]] = []  # depth and number of the open ones
     stack: list[tuple[str, str]] = []  # (tag, node)
     paths = [""]
     open_tags: dict[str, int] = {}
@@ -150,7 +179,7 @@ def _scan(page: str) -> tuple[list[str], list[tuple[str, str]], list[int], list[
             if said:
                 tokens.append(SLOT)
                 slots.append((paths[min(len(stack), DEPTH)], said))
-                regions.append(count if outer else 0)
+                regions.append(articles[-1][1] if articles else 0)
                 links.append(min(linked, len(said)))
             linked = 0
 
@@ -158,6 +187,8 @@ def _scan(page: str) -> tuple[list[str], list[tuple[str, str]], list[int], list[
         nonlocal outer
         if at < outer:
             outer = 0
+        while articles and at < articles[-1][0]:
+            articles.pop()
         while len(stack) > at:
             within.pop()
             tag, node = stack.pop()
@@ -222,15 +253,33 @@ def _scan(page: str) -> tuple[list[str], list[tuple[str, str]], list[int], list[
                 paths.append(f"{paths[-1]}/{node}" if len(stack) > 1 else node)
             within.append(0)
             if not outer and _is_main(node):
-                outer, count = len(stack), count + 1
+                outer = len(stack)
+            if name == "article":
+                count += 1
+                articles.append((len(stack), count))
             tokens.append(node)
     flush()
     close(0)
     return tokens, slots, regions, links
 
 
+@lru_cache(1 << 14)
 def _marked(marks: str, inside: bool) -> bool:
-    return bool(marks) and (bool(MARKED.search(marks)) or (not inside and not MARKED_OUTSIDE.isdisjoint(marks.lower().split())))
+    """Whether a class, id or role says that a region isn't part of an article, or it isn't shown."""
+    if not marks:
+        return False
+    names = marks.lower().split()
+    if HIDDEN in names:
+        return True
+    if not inside:
+        return bool(MARKED.search(marks)) or not MARKED_OUTSIDE.isdisjoint(names)
+    return any(_names_other(x) for x in names)
+
+
+def _names_other(name: str) -> bool:
+    words = [x for x in re.split(r"[\W_]+", name) if x]
+    marked = [bool(MARKED_INSIDE.fullmatch(x.rstrip("0"))) for x in words]
+    return any(marked) and all(m or x in PLAIN for x, m in zip(words, marked, strict=True))
 
 
 # A wrapper's item: [tokens of its body, repeated, optional, texts of its slots, path of each slot, keys of pages that hold it, sizes of each slot].
@@ -277,9 +326,25 @@ def _keys(a: list[int], b: list[int]) -> list[int]:
     return a if a == b else sorted({*a, *b})[:KEYS]
 
 
+def _periods(keys: list[tuple[str, ...]], above: int) -> int | None:
+    """The least period above one of which some stretch of the keys is a repeat."""
+    code: dict[tuple[str, ...], int] = {}
+    at = np.array([code.setdefault(k, len(code)) for k in keys])
+    order = np.argsort(at, kind="stable")
+    gaps = np.diff(order)[at[order[1:]] == at[order[:-1]]] if len(at) > 1 else np.zeros(0, int)
+    # Of a repeat of period p some item has its next like one at p, or it is made of shorter repeats.
+    for p in np.unique(gaps[gaps > above]).tolist():
+        same = np.concatenate([[0], at[p:] == at[:-p], [0]])
+        edges = np.flatnonzero(np.diff(same))
+        if len(edges) and (edges[1::2] - edges[::2]).max() >= p:
+            return p
+    return None
+
+
 def fold(items: list[list]) -> list[list]:
     """Tandem repeats become one repeated group each, short ones first, so that groups nest."""
-    for period in range(1, PERIOD + 1):
+    period = 0
+    while (period := _periods([_body(x) for x in items], period)) is not None:
         out: list[list] = []
         i = 0
         keys = [_body(x) for x in items]
@@ -325,12 +390,62 @@ def _gather(items: list[list], bodies: set[tuple[str, ...]]) -> list[list]:
     return out
 
 
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of what both hold once, as far as it stands in one order."""
+    once = lambda x: {k: i for i, k in enumerate(x) if n[k] == 1} if (n := Counter(x)) else {}
+    in_a, in_b = once(a), once(b)
+    pairs = sorted((i, in_b[k]) for k, i in in_a.items() if k in in_b)
+    tails: list[int] = []  # longest increasing run of places in b
+    links: list[tuple[int, int]] = []
+    ends: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tails, j)
+        links.append((n, ends[k - 1] if k else -1))
+        if k == len(tails):
+            tails.append(j)
+            ends.append(n)
+        else:
+            tails[k], ends[k] = j, n
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = links[n][1]
+    return out[::-1]
+
+
+def _opcodes(a: list, b: list) -> Iterator[tuple[str, int, int, int, int]]:
+    """How a becomes b, as SequenceMatcher says it; long ones are cut at their anchors, and what is long without any counts as replaced."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    if head:
+        yield "equal", 0, head, 0, head
+    ends = (len(a) - tail, len(b) - tail)
+    cuts = [ends] if (ends[0] - head) * (ends[1] - head) <= AT_ONCE else [*((i + head, j + head) for i, j in _anchors(a[head : ends[0]], b[head : ends[1]])), ends]
+    at = (head, head)
+    for cut in cuts:
+        (i, j), (k, m) = at, cut
+        if (k - i) * (m - j) <= AT_ONCE:
+            for kind, i1, i2, j1, j2 in SequenceMatcher(None, a[i:k], b[j:m], autojunk=False).get_opcodes():
+                yield kind, i + i1, i + i2, j + j1, j + j2
+        else:
+            yield "replace", i, k, j, m
+        if cut != ends:
+            yield "equal", k, k + 1, m, m + 1
+        at = (k + 1, m + 1)
+    if tail:
+        yield "equal", ends[0], len(a), ends[1], len(b)
+
+
 def align(a: list[list], b: list[list]) -> list[list]:
     """One wrapper for whatever either wrapper stands for."""
     groups_a, groups_b = {_body(x) for x in a if x[1]}, {_body(x) for x in b if x[1]}
     a, b = _gather(a, groups_b), _gather(b, groups_a)
     out = []
-    for kind, i, j, k, m in SequenceMatcher(None, [_body(x) for x in a], [_body(x) for x in b], autojunk=False).get_opcodes():
+    for kind, i, j, k, m in _opcodes([_body(x) for x in a], [_body(x) for x in b]):
         if kind == "equal":
             out += [[x[0], x[1] or y[1], x[2] or y[2], _join_texts(x[3], y[3]), x[4], _keys(x[5], y[5]), _join_sizes(x[6], y[6])] for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
@@ -357,12 +472,13 @@ def _is_main(node: str) -> bool:
 def _content(path: str, frame: list[str], marked: bool = True) -> bool:
     """Whether the regions that a slot lies in can hold the article.
 
-    frame: nodes from the root on that enclose the page's main region; no
-    marked word rejects those, nor html, body, main and an article that isn't
-    inside another one, and no form does that is among them. Without `marked`
-    only tags count.
+    frame: nodes from the root down to the article's element; no marked word
+    rejects those, nor html, body, main and an article that isn't inside another
+    one, and no form does that is among them. Within the frame only names that
+    say nothing else reject. Without `marked` only tags count.
     """
     framed, inside, article = True, False, False
+    last = len(frame) - 1 if frame and frame[-1].partition(" ")[0] not in ("html", "body") else -1
     for i, node in enumerate(path.split("/") if path else []):
         name, _, marks = node.partition(" ")
         framed = framed and i < len(frame) and node == frame[i]
@@ -371,7 +487,7 @@ def _content(path: str, frame: list[str], marked: bool = True) -> bool:
         free = framed or name in ("html", "body", "main") or "main" in marks.split() or (name == "article" and not article)
         if marked and not free and _marked(marks, inside):
             return False
-        inside |= _is_main(node)
+        inside |= _is_main(node) or (framed and i == last)
         article |= name == "article"
     return True
 
@@ -380,23 +496,12 @@ def _in_main(path: str) -> bool:
     return any(map(_is_main, path.split("/")))
 
 
-def _frame(slots: list[tuple[str, str]], regions: list[int]) -> list[str]:
-    """Nodes that enclose the main region: the outermost main or article element with the most text."""
-    sizes: dict[tuple[int, tuple[str, ...]], int] = {}
-    for (path, said), region in zip(slots, regions, strict=True):
-        nodes = path.split("/")
-        if region and any(map(_is_main, nodes)):
-            before = nodes[: next(i for i, x in enumerate(nodes) if _is_main(x))]
-            if all(x.partition(" ")[0] == "form" or x.partition(" ")[0] not in OUTSIDE for x in before):
-                sizes[region, tuple(before)] = sizes.get((region, tuple(before)), 0) + len(said)
-    return list(max(sizes, key=lambda k: (sizes[k], -k[0]))[1]) if sizes else []
-
-
 def article_root(weights: dict[str, float]) -> list[str]:
     """The nodes down to the element that holds the article, from the weight of the text at each path.
 
     Goes down as long as one region holds most of the text and no region beside
-    it holds a quarter. A region's name or a form around it only lessens its weight.
+    it holds a quarter, to the outermost main or article element at most. Such an
+    element adds to a region's weight; its name or a form around it lessens it.
     """
     root: list[str] = []
     inside = {tuple(p.split("/")) if p else (): w for p, w in weights.items()}
@@ -408,7 +513,7 @@ def article_root(weights: dict[str, float]) -> list[str]:
             name, _, marks = node.partition(" ")
             if name in OUTSIDE and name != "form":
                 continue
-            w *= (0.1 if name == "form" else 1.0) * (0.1 if _marked(marks, False) and name not in ("html", "body") else 1.0)
+            w *= (0.1 if name == "form" else 1.0) * (EVIDENCE if _is_main(node) else 0.1 if _marked(marks, False) and name not in ("html", "body") else 1.0)
             total += w
             if name in HOLDS:
                 regions[node] = regions.get(node, 0.0) + w
@@ -416,35 +521,50 @@ def article_root(weights: dict[str, float]) -> list[str]:
         if best is None or 2 * regions[best] <= total or any(4 * w >= total for node, w in regions.items() if node != best):
             return root
         root.append(best)
+        if _is_main(best):
+            return root
         inside = {nodes[1:]: w for nodes, w in inside.items() if nodes and nodes[0] == best}
 
 
 def _of_root(path: str, root: list[str]) -> bool:
-    """Whether a slot lies in the article's element, or in a heading or other block right beside it or beside what encloses it."""
+    """Whether a slot lies in the article's element, or, unless that is a main or article element, in a heading or other block right beside it or beside what encloses it."""
     nodes = path.split("/") if path else []
     same = next((i for i, (x, y) in enumerate(zip(nodes, root, strict=False)) if x != y), min(len(nodes), len(root)))
-    return same == len(root) or same == len(nodes) or nodes[same].partition(" ")[0] not in HOLDS | OUTSIDE
+    if same == len(root) or any(map(_is_main, root)):
+        return same == len(root)
+    return same == len(nodes) or nodes[same].partition(" ")[0] not in HOLDS | OUTSIDE
 
 
-def _article(slots: list[tuple[str, str]], regions: list[int], links: list[int], root: list[str] | None) -> tuple[set[str], bool]:
-    """Paths of a page's slots that can hold its article, and whether main or article elements say so.
+def _article(slots: list[tuple[str, str]], links: list[int], root: list[str] | None) -> tuple[set[str], bool]:
+    """Paths of a page's slots that can hold its article, and whether the host's root found them.
 
-    Without such elements it is the host's article element; a page that has
-    nothing there is looked through on its own.
+    A page that has nothing there has a root of its own. If main or article
+    elements below the root hold half of the text there, the rest goes.
     """
-    paths = {p for p, _ in slots}
-    frame = _frame(slots, regions)
-    main = {p for p in paths if _in_main(p) and _content(p, frame)}
-    if main:
-        return main, True
-    if root is None or not any(_of_root(p, root) and len(p.split("/")) > len(root) for p in paths):
-        weights: dict[str, float] = {}
-        for (p, said), linked in zip(slots, links, strict=True):
-            weights[p] = weights.get(p, 0.0) + len(said) - linked
+    weights: dict[str, float] = {}
+    for (p, said), linked in zip(slots, links, strict=True):
+        weights[p] = weights.get(p, 0.0) + len(said) - linked
+    hosts = root is not None and any(_of_root(p, root) and len(p.split("/")) > len(root) for p in weights)
+    if not hosts:
         root = article_root(weights)
-    near = {p for p in paths if _of_root(p, root)}
+    near = {p for p in weights if _of_root(p, root)}
+    main = {p for p in near if _in_main(p)}
+    if main and not any(map(_is_main, root)) and 2 * sum(weights[p] for p in main) >= sum(weights[p] for p in near):
+        near = main
     good = {p for p in near if _content(p, root)}
-    return good or {p for p in near if _content(p, root, False)} or {p for p in paths if _content(p, [], False)}, False
+    return good or {p for p in near if _content(p, root, False)} or {p for p in weights if _content(p, [], False)}, hosts
+
+
+def _teasers(own: list[int], slots: list[tuple[str, str]], articles: list[int], links: list[int]) -> set[int]:
+    """Articles that begin with a link, where the longest one doesn't: they lead to other pages."""
+    sizes: dict[int, int] = {}
+    linked: dict[int, bool] = {}
+    for i in own:
+        k = articles[i]
+        sizes[k] = sizes.get(k, 0) + len(slots[i][1]) - links[i]
+        linked.setdefault(k, 5 * links[i] >= 4 * len(slots[i][1]))
+    longest = max(sizes, key=lambda k: (sizes[k], -k), default=0)
+    return {k for k, x in linked.items() if k and x and k != longest} if not linked.get(longest, True) else set()
 
 
 def decide(wrapper: list[list]) -> dict:
@@ -481,11 +601,9 @@ def template_slots(tokens: list[str], slots: list[tuple[str, str]], wrapper: lis
     for i, x in enumerate(x for x in items if x[3]):
         x[3][0] = [(x[3][0][0], i)]
     items = fold(items)
-    if len(items) > MOST_ITEMS:
-        return set()
     a, b = _gather(wrapper, {_body(x) for x in items if x[1]}), _gather(items, {_body(x) for x in wrapper if x[1]})
     out = set()
-    for kind, i, j, k, m in SequenceMatcher(None, [_body(x) for x in a], [_body(x) for x in b], autojunk=False).get_opcodes():
+    for kind, i, j, k, m in _opcodes([_body(x) for x in a], [_body(x) for x in b]):
         if kind == "equal":
             for x, y in zip(a[i:j], b[k:m], strict=True):
                 for t, own in zip(x[3], y[3], strict=True):
@@ -494,15 +612,21 @@ def template_slots(tokens: list[str], slots: list[tuple[str, str]], wrapper: lis
     return out
 
 
-def extract(page: str, rules: dict | None) -> str:
-    """The article of a page by what its host's wrapper says (decide()): the slots of the article's element, less the template texts that align with the wrapper's."""
-    tokens, slots, regions, links = _scan(page)
-    good, sure = _article(slots, regions, links, rules["root"] if rules else None)
+def extract_by(page: str, rules: dict | None) -> tuple[str, bool]:
+    """The article of a page by what its host's wrapper says (decide()): the slots of the article's element, less the template texts that align with the wrapper's. And whether the wrapper told where it is."""
+    tokens, slots, articles, links = _scan(page)
+    good, by_wrapper = _article(slots, links, rules["root"] if rules else None)
     own = [i for i, (p, _) in enumerate(slots) if p in good]
-    if rules and rules["items"] and not sure:
+    if len(set(articles)) > 1 and (others := _teasers(own, slots, articles, links)):
+        own = [i for i in own if articles[i] not in others]
+    if rules and rules["items"] and any(not _in_main(slots[i][0]) for i in own):
         template = template_slots(tokens, slots, rules["items"])
         own = [i for i in own if i not in template] or own
-    return " ".join(slots[i][1] for i in own)
+    return " ".join(slots[i][1] for i in own), by_wrapper
+
+
+def extract(page: str, rules: dict | None) -> str:
+    return extract_by(page, rules)[0]
 
 
 def host_of(url: str | None) -> str:
@@ -514,52 +638,54 @@ def _pack(wrapper: list[list] | dict) -> str:
     return json.dumps(wrapper, ensure_ascii=False, separators=(",", ":"))
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON of items) from all pages with any html."""
-    use_package(pages.sparkSession)
+#: Wrappers that are aligned in one group.
+FAN = 256
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[str, tuple[list[list], set[int]]] = {}
 
-        def flush() -> pa.RecordBatch:
-            cols = [pa.array(list(have), pa.string()), pa.array([_pack(w) for w, _ in have.values()], pa.string())]
-            have.clear()
-            return pa.RecordBatch.from_arrays(cols, ["host", "wrapper"])
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """host and wrapper (pickled items) from all pages with any html.
 
+    Different pages of a host are taken in the order of their digests, FAN at a
+    time, and what comes of these likewise until a host has one wrapper: however
+    pages are dealt over files, the wrapper is the same.
+    """
+    use_package(pages.sparkSession)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "html"):
+                hosts, keys, made = [], [], []
                 for url, page in zip(part.column("url").to_pylist(), text_array(part.column("html")).to_pylist(), strict=True):
                     tokens, slots, _, links = _scan(page)
-                    if not slots:
-                        continue
-                    host = host_of(url)
-                    wrapper, seen = have.get(host, (None, set()))
-                    if (key := _digest("\n".join((*tokens, *(said for _, said in slots))))) in seen:
-                        continue  # a copy says nothing new
-                    seen.add(key)
-                    items = fold(_items(tokens, slots, key, links))
-                    if len(items) > MOST_ITEMS:
-                        continue
-                    have[host] = (align(wrapper, items) if wrapper else items, seen)
-                    if len(seen) > 20_000:
-                        seen.clear()
-                if len(have) > 2000:
-                    yield flush()
-        yield flush()
+                    if slots:
+                        key = _digest("\n".join((*tokens, *(said for _, said in slots))))
+                        hosts.append(host_of(url))
+                        keys.append(key)
+                        made.append(pickle.dumps(fold(_items(tokens, slots, key, links)), 5))
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(made, pa.binary())], ["host", "key", "wrapper"])
 
     def merge(found: pa.Table) -> pa.Table:
-        wrapper = None
-        for x in sorted(found.column("wrapper").to_pylist()):
-            w = json.loads(x)
-            wrapper = align(wrapper, w) if wrapper else w
-        return pa.table({"host": found.column("host")[:1], "wrapper": pa.array([_pack(wrapper)], pa.string())})
-
-    kind = "host string, wrapper string"
-    partial = pages.select("url", "html").mapInArrow(local, kind)
-    # A host has about one partial wrapper for each task; they meet in two steps of about as many each.
-    salts = math.isqrt(pages.rdd.getNumPartitions()) + 1
-    salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    return salted.groupBy("host", "salt").applyInArrow(merge, kind).groupBy("host").applyInArrow(merge, kind)
+        found = found.sort_by("key")
+        made = found.column("wrapper").to_pylist()
+        wrapper = pickle.loads(made[0])
+        for x in made[1:]:
+            wrapper = align(wrapper, pickle.loads(x))
+        return pa.table({"host": found.column("host")[:1], "key": found.column("up")[:1], "width": found.column("less")[:1], "wrapper": pa.array([pickle.dumps(wrapper, 5) if len(made) > 1 else made[0]], pa.binary())})
+
+    each = pages.select("url", "html").mapInArrow(folded, "host string, key long, wrapper binary")
+    each = stash(each.groupBy("host", "key").agg(F.first("wrapper").alias("wrapper")), "folded")  # copies say nothing new
+    # A digest has 56 bits: its high ones, `width` of them, deal a host's pages into groups of about FAN or fewer.
+    width = F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / FAN)), F.lit(0)).cast("int")
+    counts = stash(each.groupBy("host").agg(width.alias("less")), "counts")
+    level = each.join(counts, "host").withColumn("up", F.expr("shiftright(key, 56 - less)"))
+    left = counts.agg(F.coalesce(F.max("less"), F.lit(0))).first()[0]
+    kind, bits = "host string, key long, width int, wrapper binary", FAN.bit_length() - 1
+    while True:
+        level = level.groupBy("host", "less", "up").applyInArrow(merge, kind)
+        if left <= 0:
+            return level.select("host", "wrapper")
+        level = level.withColumn("less", F.greatest(F.col("width") - bits, F.lit(0))).withColumn("up", F.expr(f"shiftright(key, {bits})"))
+        left -= bits
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -576,7 +702,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def rules_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [_pack(decide(json.loads(w))) for w in b.column("wrapper").to_pylist()]
+            made = [_pack(decide(pickle.loads(w))) for w in b.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(made, pa.string())], ["host", "rules"])
 
     rules = stash(wrappers.mapInArrow(rules_of, "host string, rules string"), "rules")
