@@ -8,9 +8,10 @@ met there; the rows of least distance are reranked by exact inner product.
 Rows live in the cell of their nearest pivot. Neighbouring cells make up a
 bundle of about ROW_BLOCK rows, a larger cell is dealt into parts of that size,
 and each part has its inverted files to itself. A query goes only to bundles
-that hold a cell near it; how many cells that takes, and what cosine a footrule
-distance stands for, is learnt on a bounded sample. Rows longer than nearly all
-of the sample can be near to any query, and have a bundle that every query visits.
+that hold a cell near it. How many cells that takes, what share of the rows
+there has to be reranked, and what cosine a footrule distance stands for, is
+learnt on a bounded sample. Rows longer than nearly all of the sample can be
+near to any query, and have a bundle that every query visits.
 """
 
 from __future__ import annotations
@@ -29,10 +30,8 @@ NEIGHBOURS = 20
 PIVOTS, PIVOT_SAMPLE = 1024, 4096
 #: Pivots under which a row is posted, and lists that a query walks.
 LISTED, WALKED = 64, 48
-#: A query reranks this share of a visited part's rows and this multiple of the neighbours wanted.
-RERANKED, SPARE = 0.16, 8
-#: Share of the sample's neighbours that the visited cells must hold.
-REACHED = 0.995
+#: Shares of the sample's neighbours that the visited cells must hold, and that must be reranked there.
+REACHED, FOUND = 0.995, 0.95
 ROW_BLOCK, QUERY_BLOCK = 8192, 16384
 
 
@@ -88,17 +87,22 @@ class InvertedFiles:
 
 @dataclass
 class Fit:
-    """What the sample tells: pivots, cosine a + b * agreement (a raised by three standard deviations), cells a query visits, and the length from which rows are kept apart."""
+    """What the sample tells: pivots, cosine a + b * agreement (a raised by three standard deviations), cells a query visits, the length from which rows are kept apart, and the share of a visited part's rows that a query reranks."""
 
     pivots: np.ndarray
     a: float
     b: float
     probes: int
     long: float
+    share: float
 
 
-def fit(x: np.ndarray, pivots: int = PIVOTS, listed: int = LISTED, walked: int = WALKED, rounds: int = 5) -> Fit:
-    """Pivots by spherical k-means, at most one for four vectors of the sample."""
+def fit(x: np.ndarray, pivots: int = PIVOTS, listed: int = LISTED, walked: int = WALKED, rounds: int = 5, k: int = NEIGHBOURS) -> Fit:
+    """Pivots by spherical k-means, at most one for four vectors of the sample.
+
+    The neighbours that a query has in the sample are farther than those it has
+    in the whole table, so what suffices to find them suffices there.
+    """
     size = _lengths(x)
     unit = x / size[:, None]
     centre = unit[: max(1, min(pivots, len(unit) // 4))].copy()
@@ -122,7 +126,17 @@ def fit(x: np.ndarray, pivots: int = PIVOTS, listed: int = LISTED, walked: int =
     cell = (unit @ centre.T).argmax(axis=1)
     place = np.argsort(order, axis=1)
     reach = np.take_along_axis(place, cell[nearest], axis=1)
-    return Fit(centre, float(a + 3 * spread), float(max(b, 1e-12)), int(np.quantile(reach, REACHED, method="higher")) + 1, float(np.quantile(size, 0.99)) * 1.000001)
+    a, b = float(a + 3 * spread), float(max(b, 1e-12))
+    probes = int(np.quantile(reach, REACHED, method="higher")) + 1
+    # How far down the order of a query's visited rows its k nearest come, as a share of these.
+    long = float(np.quantile(size, 0.99)) * 1.000001
+    worth = np.where(other & (place[:, cell] < probes) & (size <= long), size * (a + b * agree), -np.inf)
+    best = np.argsort(-score, axis=1, kind="stable")[:, : min(k, max(len(x) - 1, 1))]
+    mine = np.take_along_axis(worth, best, axis=1)
+    ahead = np.stack([(w[None, :] > m[:, None]).sum(axis=1) for w, m in zip(worth, mine, strict=True)])
+    shares = (ahead / np.maximum(np.isfinite(worth).sum(axis=1, keepdims=True), 1))[np.isfinite(mine)]
+    share = float(np.quantile(shares, FOUND, method="higher")) if len(shares) else 1.0
+    return Fit(centre, a, b, probes, long, share)
 
 
 def bundle_cells(pivots: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
@@ -143,15 +157,16 @@ def bundle_cells(pivots: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def search_part(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, f: Fit, k: int, listed: int = LISTED, walked: int = WALKED, reranked: float = RERANKED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_part(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, f: Fit, k: int, listed: int = LISTED, walked: int = WALKED, share: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best k rows of a part for each query: (query index, row index, score). Rows must be in order of their ids, so that ties fall alike in every run.
 
     Rows rank by the cosine that their footrule distance may stand for, times
     their length: by the footrule distance alone where all are equally long.
+    share: of the rows that are reranked, the learnt one unless given.
     """
     files = InvertedFiles(permutations(rows, f.pivots, listed), len(f.pivots))
     size = _lengths(rows)
-    take = min(len(rows), int(np.ceil(reranked * len(rows))) + SPARE * k)
+    take = min(len(rows), int(np.ceil((f.share if share is None else share) * len(rows))) + k)
     asked = permutations(queries, f.pivots, walked).tolist()
     out_q, out_r, out_s = [], [], []
     for q, order in enumerate(asked):
@@ -169,24 +184,55 @@ def search_part(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, quer
     return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE, reranked: float = RERANKED, row_block: int = ROW_BLOCK) -> DataFrame:
+FOUND_ROWS = "query_id long, rank int, vec_id long, score double"
+
+
+def _exact(rows: DataFrame, queries: DataFrame, sizes: DataFrame, k: int, row_block: int) -> DataFrame:
+    """query_id, vec_id, score of the k best rows of each block of rows, for queries of as many components."""
+    parts = sizes.select("d", F.ceil(F.col("n") / row_block).cast("int").alias("parts"))
+    left = rows.withColumn("d", F.size("embedding")).join(parts, "d").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    right = queries.withColumn("d", F.size("embedding")).join(parts, "d").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def search(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not own.num_rows or not wanted.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        own = own.sort_by("vec_id")
+        row_ids, query_ids = own.column("vec_id").to_numpy(), wanted.column("vec_id").to_numpy()
+        x, y = _matrix(own.column("embedding")), _matrix(wanted.column("embedding"))
+        out = []
+        for q, me in zip(y, query_ids.tolist(), strict=True):
+            score = np.where(row_ids == me, -np.inf, np.einsum("ij,j->i", x, q))
+            best = np.lexsort((row_ids, -score))[:k]
+            best = best[row_ids[best] != me]
+            out.append((np.full(len(best), me), row_ids[best], score[best]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    key = ["d", "part"]
+    both = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "vec_id", "embedding").groupBy(*key))
+    return both.applyInArrow(search, "query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE, row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product found for each query.
 
     Vectors that are null, zero or hold null or non-finite components take no
-    part, nor do those whose length isn't that of most, with which no inner
-    product is defined; rows that repeat a vec_id count once. Ties go to the
-    smaller vec_id. Other columns are left out. The index is fitted on `sample`
-    rows and holds every row.
+    part; rows that repeat a vec_id count once. An inner product is defined
+    between vectors of equally many components only: a query is answered among
+    those, by the index if they have the length of most and by exact products in
+    blocks if not. Ties go to the smaller vec_id. Other columns are left out. The
+    index is fitted on `sample` rows and holds every row.
     """
     spark = vectors.sparkSession
     use_package(spark)
-    good = usable(vectors)
-    facts = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    every = stash(usable(vectors), "usable")
+    sizes = every.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    facts = sizes.orderBy(F.desc("n"), "d").first()
     if facts is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.filter(F.size("embedding") == facts.d)
-    asked = usable(queries).filter(F.size("embedding") == facts.d)
-    f = fit(_matrix(good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column("embedding")), pivots)
+        return spark.createDataFrame([], FOUND_ROWS)
+    good = every.filter(F.size("embedding") == facts.d)
+    wanted = usable(queries)
+    asked = wanted.filter(F.size("embedding") == facts.d)
+    f = fit(_matrix(good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column("embedding")), pivots, k=k)
     apart = len(f.pivots)  # the cell of long rows
     shared = spark.sparkContext.broadcast(f)
 
@@ -228,19 +274,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, pivots:
     # Both small tables have at most a row for each pivot.
     left = placed.join(F.broadcast(cells), "cell").withColumn("part", dealt(F.col("parts"), 1)).withColumn("turn", all_of("turns"))
     right = routed.withColumn("bundle", F.explode("to")).join(F.broadcast(facts_of), "bundle").withColumn("turn", dealt(F.col("turns"), 2)).withColumn("part", all_of("parts"))
-    key = ["bundle", "part", "turn"]
+    key, long_rows = ["bundle", "part", "turn"], int(bundle[apart])
 
     def search(own: pa.Table, wanted: pa.Table) -> pa.Table:
         if not own.num_rows or not wanted.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         own = own.sort_by("vec_id")
         row_ids, query_ids = own.column("vec_id").to_numpy(), wanted.column("vec_id").to_numpy()
-        q, r, s = search_part(_matrix(own.column("embedding")), row_ids, _matrix(wanted.column("embedding")), query_ids, shared.value, k, reranked=reranked)
+        share = 1.0 if own.column("bundle")[0].as_py() == long_rows else None  # of few rows that may be near to any query
+        q, r, s = search_part(_matrix(own.column("embedding")), row_ids, _matrix(wanted.column("embedding")), query_ids, shared.value, k, share=share)
         return pa.table({"query_id": query_ids[q], "vec_id": row_ids[r], "score": s})
 
     cogrouped = left.select(*key, "vec_id", "embedding").groupBy(*key).cogroup(right.select(*key, "vec_id", "embedding").groupBy(*key))
     found = stash(cogrouped.applyInArrow(search, "query_id long, vec_id long, score double"), "nearest")
     drop_stash(placed, routed)
+    if facts.n < every.count():
+        found = found.unionByName(_exact(every.filter(F.size("embedding") != facts.d), wanted, sizes, k, row_block))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 import re
@@ -272,13 +273,15 @@ def test_a_higher_label_counts_and_kinds_part_toxic_rows(spark):
     assert (k[:, 0] + k[:, 1] == y).all() and len({tuple(x) for x in k[:60:2].tolist()}) == len({tuple(x) for x in k[1:60:2].tolist()}) == 1 and k[0].tolist() != k[1].tolist()
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
+    plain = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **b: dataclasses.replace(plain(*a, **b), share=1.0, probes=1 << 20))  # everything is reranked
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] + [1.0] * 7), (303, [None] + [1.0] * 7), (5, rng.normal(size=8).tolist())]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
     x = {r.vec_id: np.array(r.embedding, float) for r in ann.usable(v).collect()}
     assert set(x) == set(range(300))
-    got = ann.nearest(v, v.filter("vec_id % 20 = 0"), reranked=1.0).toPandas()
+    got = ann.nearest(v, v.filter("vec_id % 20 = 0")).toPandas()
     for q in range(0, 300, 20):
         want = sorted((-float(np.einsum("j,j->", x[i], x[q])), i) for i in x if i != q)[:20]
         own = got[got.query_id == q].sort_values("rank")
