@@ -11,7 +11,9 @@ then look up the place of each piece by its rank among those of its length.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,15 +21,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photolake.llm.textnum import chunks, text_array
+from photolake.operators.ranks import rank_within
 from photolake.session import stash, table, use_package
 
 CAPACITY = 2048
-#: Parts into which the pieces of one length are dealt for ranking.
-SALTS = 64
 #: Encoded words that a worker remembers; then it starts anew. Longer ones than LONG characters are not remembered.
 REMEMBERED, LONG = 500_000, 64
 #: Characters of new words that are encoded as one text; a longer word is a text of its own.
@@ -110,14 +111,46 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(plan, np.int64).reshape(-1, 6)
 
 
+#: Fixed value: the pattern of tokenizers that part words, single digits and runs of other characters.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _steps(of: dict | None, key: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer, sequences laid out."""
+    if not of:
+        return []
+    return [x for own in of[key] for x in _steps(own, key)] if of["type"] == "Sequence" else [of]
+
+
+def shortcuts(config: dict) -> tuple[bool, bool, bool]:
+    """What a tokenizer's description proves: that parts between white space can be encoded alone, that Latin-1 capitals count as small letters, and that letters and TRAILING characters behind them are parted.
+
+    Only known steps prove anything: white space is dropped by the first
+    pre-tokenizer, no step before it looks at neighbours beyond combining marks,
+    and no added token holds white space, takes some along or asks for word
+    ends, or is letters with TRAILING characters behind.
+    """
+    normal, split = _steps(config["normalizer"], "normalizers"), _steps(config["pre_tokenizer"], "pretokenizers")
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    known = all(x["type"] in ("NFC", "Lowercase") or x == spaces for x in normal)
+    words = bool(split) and split[0]["type"] == "Split" and split[0]["pattern"] == {"Regex": WORD_SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+    drops = words or (bool(split) and split[0]["type"] in ("BertPreTokenizer", "WhitespaceSplit"))
+    added = config["added_tokens"] or []
+    plain = not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]) for x in added)
+    straddles = any(re.fullmatch(rf"[^\W\d_]+[{re.escape(TRAILING)}]+", x["content"]) for x in added)
+    by_part = known and drops and plain
+    parted = words or (bool(split) and split[0]["type"] == "BertPreTokenizer")
+    return by_part, by_part and any(x["type"] == "Lowercase" for x in normal), by_part and parted and not straddles
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian 32-bit integers; words seen before come from memory.
 
     A tokenizer that drops white space and never merges across it gives the same
     ids for space-separated parts as for the whole text. New parts are encoded
     many to a text with MARK between them, a control character that becomes one
-    token of its own, at which the ids are cut. Other tokenizers, and parts that
-    hold MARK, get whole texts.
+    token of its own, at which the ids are cut. Tokenizers whose description
+    doesn't prove that (shortcuts()), and parts that hold MARK, get whole texts.
     """
 
     MARK = "\x01"
@@ -132,16 +165,19 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         a, mark, b = self._whole(["Ab.", self.MARK, "7c"])
         self.mark = int.from_bytes(mark, "little")
-        self.by_part = len(mark) == 4 and self._whole([f" Ab. {self.MARK}\n7c  ", f"Ab.\n\n 7c {self.MARK}\t", " \n"]) == [a + mark + b, a + b + mark, b""]
+        proven, self.lowers, self.parts = shortcuts(json.loads(self.tokenizer.to_str()))
+        self.by_part = proven and len(mark) == 4 and self._whole([f" Ab. {self.MARK}\n7c  ", f"Ab.\n\n 7c {self.MARK}\t", " \n"]) == [a + mark + b, a + b + mark, b""]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        """New parts; of a Latin-1 word with punctuation behind it or with capitals, the bare word and the punctuation are encoded instead."""
+        """New parts; of a Latin-1 word with punctuation behind it or with capitals, the bare word and the punctuation are encoded instead, where the tokenizer takes them so."""
         whole, pieces = [], []
         for p in parts:
-            bare = (p if p.isascii() or max(p) < "\u0100" else "").lower().rstrip(TRAILING)
+            bare = p if p.isascii() or (p and max(p) < "\u0100") else ""
+            bare = bare.lower() if self.lowers else bare
+            bare = bare.rstrip(TRAILING) if self.parts else bare
             if bare != p and bare.isalpha():
                 pieces.append((p, bare, p[len(bare) :]))
             else:
@@ -225,38 +261,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     use_package(spark)
     alone = pieces.filter(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     pieces = pieces.filter(F.col("length") != capacity)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    # At most capacity * SALTS rows, whatever the input.
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    histogram: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(counts.collect()):
-        before[r.length, r._salt] = histogram.get(r.length, 0)
-        histogram[r.length] = histogram.get(r.length, 0) + r._n
+    # At most a row for each length, whatever the input.
+    histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = best_fit_plan(histogram, capacity)
-    base = np.zeros((capacity + 1, SALTS), np.int64)
-    for (length, salt), n in before.items():
-        base[length, salt] = n
     # The plan is sorted by length and rank for the look-up.
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    shared = spark.sparkContext.broadcast((plan, base))
+    shared = spark.sparkContext.broadcast(plan)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, base = shared.value
+        plan = shared.value
         # Ranks of different lengths don't overlap once each length has a range of its own.
         step = int(plan[:, 1].max()) + 1 if len(plan) else 1
         for b in batches:
             length = b.column("length").to_numpy()
-            rank = base[length, b.column("_salt").to_numpy()] + b.column("_rank").to_numpy() - 1
+            rank = b.column("_rank").to_numpy()
             row = np.searchsorted(plan[:, 0] * step + plan[:, 1], length * step + np.minimum(rank, step - 1), side="right") - 1
             _, lo, each, first, _, offset = plan[row].T
             nth = rank - lo
-            cols = [b.column(i) for i, n in enumerate(b.schema.names) if n not in ("_salt", "_rank")]
-            names = [n for n in b.schema.names if n not in ("_salt", "_rank")]
+            cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_rank"]
+            names = [n for n in b.schema.names if n != "_rank"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(first + nth // each), pa.array(offset + nth % each * length)], [*names, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(order).cast("long"))
+    ranked = rank_within(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_rank")  # over range partitions: a frequent length is spread
     kinds = ", ".join(f"{n} {t}" for n, t in pieces.dtypes)
     return alone.unionByName(ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long"))
 
