@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from photolake.schemas import STATUSES
 
@@ -54,6 +55,55 @@ def with_errors(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     return marked.filter("error is null").drop("error"), marked.filter("error is not null")
 
 
+def observed(rows: DataFrame, error: Column, name: str) -> tuple[DataFrame, Observation]:
+    """A11. The rows with their error (null: fine), and what the job that writes them will count on its way, without a second pass."""
+    seen = Observation(name)
+    marked = rows.withColumn("error", error)
+    return marked.observe(seen, F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count(F.lit(1)).alias("total")), seen
+
+
+def observed_report(spark: SparkSession, steps: dict[str, Observation]) -> DataFrame:
+    """A11. step, done, errors, total of jobs that have run."""
+    return spark.createDataFrame([(name, *(int(seen.get[k]) for k in ("done", "errors", "total"))) for name, seen in steps.items()], REPORT)
+
+
+REPORT = "step string, done long, errors long, total long"
+
+
+class StreamReport(StreamingQueryListener):
+    """A11 for streams: sums of done, errors and total over the batches of observed queries. Register it by spark.streams.addListener()."""
+
+    def __init__(self) -> None:
+        self.steps: dict[str, dict[str, int]] = {}
+        self.batches: dict[str, set[int]] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        for name, row in event.progress.observedMetrics.items():
+            if event.progress.batchId not in self.batches.setdefault(name, set()):  # a batch may be told twice
+                self.batches[name].add(event.progress.batchId)
+                own = self.steps.setdefault(name, dict.fromkeys(("done", "errors", "total"), 0))
+                for k in own:
+                    own[k] += int(row[k] or 0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(name, *x.values()) for name, x in self.steps.items()], REPORT)
+
+
+def observed_stream(rows: DataFrame, error: Column, name: str) -> DataFrame:
+    """A11. The stream's rows with their error, counted for a StreamReport."""
+    marked = rows.withColumn("error", error)
+    return marked.observe(name, F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count(F.lit(1)).alias("total"))
+
+
 def run_report(steps: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """A11. step, done, errors, total."""
     out = None

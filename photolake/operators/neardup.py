@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions.hashing import phash_bits
@@ -54,6 +54,61 @@ def near_duplicates_banded(photos: DataFrame, window_s: int = WINDOW_S, max_hamm
     return _verified(earlier, rows, ["bucket", "band", "value"], width, max_hamming).distinct()
 
 
+#: Distinct (time, hash) in a bucket from which it is searched by parts of the hash.
+HOT = 2000
+#: Parts of the hash: of so many, one at least differs in a single bit at most when MAX_HAMMING bits do.
+PARTS = 5
+
+
+def _part(bits: Column, k: int) -> Column:
+    low, high = 64 * k // PARTS, 64 * (k + 1) // PARTS
+    return F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+
+
+def near_duplicate_classes(photos: DataFrame, window_s: int = WINDOW_S, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """J9 for crowds: (members, links). Photos of one time and hash are a class (us, bits).
+
+    members: us, bits, id, sha256. links: a_us, a_bits, b_us, b_bits,
+    hamming_distance of classes near each other, a class with itself included if
+    it has several members. Exact for MAX_HAMMING: buckets of many classes, as
+    of a wrong date that a third of all photos may bear, aren't compared pair by
+    pair but meet in one of PARTS parts of the hash, whose neighbours within one
+    bit are asked for; a pair counts in the first part in which it meets.
+    """
+    width = window_s * 1_000_000
+    members = _candidates(photos)
+    classes = members.groupBy("us", "bits").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.col("us") / width))
+    crowds = classes.groupBy("bucket").count().filter(F.col("count") > hot).select("bucket", F.lit(True).alias("crowd"))
+    lengths = [64 * (k + 1) // PARTS - 64 * k // PARTS for k in range(PARTS)]
+    key = lambda k, v: F.struct(F.lit(k).alias("part"), v.alias("value"))
+    own = F.array(*(key(k, _part(F.col("bits"), k)) for k in range(PARTS)))
+    asked = F.array(*(key(k, _part(F.col("bits"), k).bitwiseXOR(F.lit(flip).cast("long"))) for k in range(PARTS) for flip in (0, *(1 << i for i in range(lengths[k])))))
+    plain = F.array(key(-1, F.lit(0).cast("long")))
+    left = classes.filter("bits is not null").withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1))).join(crowds, "bucket", "left")
+    left = left.select("bucket", F.col("us").alias("a_us"), F.col("bits").alias("a_bits"), F.explode(F.when(F.col("crowd"), asked).otherwise(plain)).alias("k"))
+    right = classes.join(crowds, "bucket", "left")
+    right = right.select("bucket", F.col("us").alias("b_us"), F.col("bits").alias("b_bits"), F.explode(F.when(F.col("crowd"), own).otherwise(plain)).alias("k"))
+    apart, differ = F.col("b_us") - F.col("a_us"), F.col("a_bits").bitwiseXOR(F.col("b_bits"))
+    later = (apart > 0) | ((apart == 0) & (F.col("b_bits") > F.col("a_bits")))
+    first = F.lit(True)
+    for k in range(PARTS - 1):
+        first = first & ((F.col("k.part") <= k) | (F.bit_count(_part(differ, k)) > 1))
+    met = left.join(right, ["bucket", "k"]).filter(later & (apart <= width) & (F.bit_count(differ) <= MAX_HAMMING) & first)
+    between = met.select("a_us", "a_bits", "b_us", "b_bits", F.bit_count(differ).cast("short").alias("hamming_distance"))
+    within = classes.filter("n > 1").select(F.col("us").alias("a_us"), F.col("bits").alias("a_bits"), F.col("us").alias("b_us"), F.col("bits").alias("b_bits"), F.lit(0).cast("short").alias("hamming_distance"))
+    return members.select("us", "bits", "id", "sha256"), between.unionByName(within)
+
+
+def pairs_of_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """photo_a < photo_b, hamming_distance of all pairs that the links stand for; photos of one content aren't near duplicates."""
+    side = lambda x: members.select(*(F.col(c).alias(f"{x}_{c}") for c in ("us", "bits", "id", "sha256")))
+    met = links.join(side("a"), ["a_us", "a_bits"]).join(side("b"), ["b_us", "b_bits"])
+    itself = (F.col("a_us") == F.col("b_us")) & (F.col("a_bits") == F.col("b_bits"))
+    same = F.coalesce((F.col("a_sha256") == F.col("b_sha256")) & (F.col("a_sha256") != ""), F.lit(False))
+    pairs = met.filter(~same & (~itself | (F.col("a_id") < F.col("b_id"))))
+    return pairs.select(F.least("a_id", "b_id").alias("photo_a"), F.greatest("a_id", "b_id").alias("photo_b"), "hamming_distance")
+
+
 def merge_pairs(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """J11. Known pairs as they are, and the unseen ones unresolved."""
     new = found.join(pairs.select("photo_a", "photo_b"), ["photo_a", "photo_b"], "left_anti")

@@ -220,6 +220,33 @@ def run_report(s, d):
     return audit.run_report({"sizes": audit.with_errors(p, F.when(F.col("file_size") <= 1000, "too small"))})
 
 
+@register(PHOTOS_SQL, "select 'sizes' as step, count(*) filter (file_size > 1000) as done, count(*) filter (file_size <= 1000) as errors, count(*) as total from photos")
+def run_report_observed(s, d):
+    """A11. Counted by the job itself while it writes its rows."""
+    rows, seen = audit.observed(views.photos(s, d), F.when(F.col("file_size") <= 1000, "too small"), "sizes")
+    rows.write.parquet(work_dir(s, "observed"))
+    return audit.observed_report(s, {"sizes": seen})
+
+
+@register(PHOTOS_SQL, "select 'sizes' as step, count(*) filter (file_size > 1000) as done, count(*) filter (file_size <= 1000) as errors, count(*) as total from photos")
+def streamed_run_report(s, d):
+    """A11 of a stream of several batches, told by its listener."""
+    import time
+
+    base, report = work_dir(s, "watched"), audit.StreamReport()
+    s.streams.addListener(report)
+    try:
+        rows = audit.observed_stream(_as_stream(s, views.photos(s, d), base, "id"), F.when(F.col("file_size") <= 1000, "too small"), "sizes")
+        query = rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = time.time() + 30
+        while len(report.batches.get("sizes", ())) < FILES and time.time() < until:  # events come a little later than the end
+            time.sleep(0.1)
+    finally:
+        s.streams.removeListener(report)
+    return report.report(s)
+
+
 _NEAR = """select least(a.id, b.id) as photo_a, greatest(a.id, b.id) as photo_b, cast(bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint)) as smallint) as hamming_distance
  from usable a join usable b on (b.captured_at > a.captured_at or (b.captured_at = a.captured_at and b.id > a.id)) and b.captured_at <= a.captured_at + interval 8 second
  where a.sha256 <> b.sha256 and bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint)) <= 8"""
@@ -236,6 +263,19 @@ def near_duplicates_banded(s, d):
     return neardup.near_duplicates_banded(views.photos(s, d))
 
 
+_CROWD = PHOTOS_SQL + "usable as (select * replace (case when id % 3 = 0 then timestamp '1970-01-01' else captured_at end as captured_at, substr(phash, 1, 8) || lpad(lower(to_hex(id * 2654435761 % 4294967296)), 8, '0') as phash) from photos where not missing and source = 'local'),"
+
+
+@register(_CROWD, _NEAR)
+def near_duplicates_crowded(s, d):
+    """J9 where a third of all photos bear one wrong date, with hashes at any distance."""
+    i = F.col("id")
+    wrong = F.when(i % 3 == 0, F.lit("1970-01-01").cast("timestamp")).otherwise(F.col("captured_at"))
+    spread = F.concat(F.substring("phash", 1, 8), F.lpad(F.lower(F.hex(i * 2654435761 % 4294967296)), 8, "0"))
+    p = views.photos(s, d).withColumn("captured_at", wrong).withColumn("phash", spread)
+    return neardup.pairs_of_classes(*neardup.near_duplicate_classes(p, hot=200))
+
+
 @register(_USABLE + PAIRS_SQL + f"near as ({_NEAR}),", "select * from pairs union all select photo_a, photo_b, hamming_distance, false from near where (photo_a, photo_b) not in (select (photo_a, photo_b) from pairs)")
 def merge_pairs(s, d):
     return neardup.merge_pairs(views.pairs(s, d), neardup.near_duplicates(views.photos(s, d)))
@@ -380,12 +420,22 @@ def hash_pending(s, d):
     return hashing.hash_pending(p, f.filter("doc_id % 7 <> 0").select(key, "content"))[0]
 
 
-@register()
+_PHASH = """base as (select k, x, 2 * cos(pi() * k * (2 * x + 1) / 64) as c from range(8) a(k), range(32) b(x)),
+v as (select vec_id, embedding as e from embeddings where len(embedding) = 64),
+u as (select vec_id, k, sum(c * e[x + 1]::double) as u from v, base group by 1, 2), w as (select vec_id, k as l, sum(c * e[33 + x]::double) as w from v, base group by 1, 2),
+low as (select vec_id, k, l, u * w as t from u join w using (vec_id)), cut as (select vec_id, median(t) as m from low group by 1),
+bits as (select vec_id, k, sum(case when t > m then 1 << cast(7 - l as integer) else 0 end) as byte from low join cut using (vec_id) group by 1, 2),"""
+
+
+@register(_PHASH, "select vec_id, p.phash from embeddings left join (select vec_id, string_agg(lpad(lower(to_hex(cast(byte as bigint))), 2, '0'), '' order by k) as phash from bits group by 1) p using (vec_id)")
 def phash_of_vectors(s, d):
-    """Each vector repeated to a 32 x 32 image."""
-    v = table(s, d, "embeddings").filter("size(embedding) = 64")
-    image = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 16))
-    return v.select("vec_id", hashing.phash64(image).alias("phash"))
+    """H3 of every vector, as a 32 x 32 image: the products of its first and its second half; none for vectors of another length."""
+    v = table(s, d, "embeddings")
+    e = F.col("embedding").cast("array<double>")
+    image = F.flatten(F.transform(F.slice(e, 1, 32), lambda a: F.transform(F.slice(e, 33, 32), lambda b: a * b)))
+    # The filter keeps the image a column of its own: a Python function can't be handed lambdas.
+    images = v.select("vec_id", F.when(F.size(e) == 64, image).alias("image"), F.monotonically_increasing_id().alias("row")).filter("row >= 0")
+    return images.select("vec_id", hashing.phash64(F.col("image")).alias("phash"))
 
 
 @register(PHOTOS_SQL, "select id from photos where source = 'local' and not missing and media_type = 'image' and id % 4 = 0 and captured_at < timestamp '2024-01-16'")
@@ -461,6 +511,16 @@ def scan_sources(s, d):
     return scan.scan_sources(p, listed.drop("id"), roots, named)[0].select("id", "kind")
 
 
+@register(PHOTOS_SQL + _SRC, "select distinct source_ref as root_id, 's' || source_ref as name, 'unreachable' as error from own where source_ref not in (select source_ref from listed)")
+def scan_source_errors(s, d):
+    """J6. Sources of which nothing is listed."""
+    p = views.photos(s, d).filter("source_ref is not null")
+    listed = p.filter("id % 7 <> 0 and source_ref < 3").select(F.col("source_ref").alias("root_id"), "relative_path", "file_size", "file_mtime")
+    roots = p.select(F.col("source_ref").alias("id")).distinct().select("id", F.lit("local").alias("kind"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("name"))
+    none = listed.select(F.col("root_id").alias("source_id"), "relative_path", F.lit("selected").alias("status")).limit(0)
+    return scan.scan_sources(p, listed, roots, none)[1]
+
+
 _FOLD = ACTIONS_SQL + PHOTOS_SQL + """ok as (select a.*, p.sha256 from actions a join photos p on p.id = a.photo_id where not p.missing),
 last as (select sha256, max_by(photo_id, {'t': ts, 'a': action_id}) as who, max_by(status, {'t': ts, 'a': action_id}) as st from ok group by sha256),
 gone as (select distinct photo_id from ok where status <> 'optional'),"""
@@ -477,6 +537,14 @@ def action_errors(s, d):
     return decisions.validate_actions(views.actions(s, d), views.photos(s, d))[1].select("action_id", "error")
 
 
+@register(ACTIONS_SQL + PHOTOS_SQL, "select action_id, case when p.id is null then 'unknown photo' else 'conflict' end as error from actions a left join photos p on p.id = a.photo_id where p.id is null or p.missing or p.source_ref is not null")
+def action_conflicts(s, d):
+    """C1 with files of registered sources."""
+    p = views.photos(s, d)
+    own = F.when(F.col("source_ref").isNotNull(), paths.sentinel(F.col("source_ref"), F.col("relative_path"))).otherwise(F.col("relative_path"))
+    return decisions.validate_actions(views.actions(s, d), p.withColumn("relative_path", own))[1].select("action_id", "error")
+
+
 _RFOLD = ACTIONS_SQL + PHOTOS_SQL + "acts as (select a.*, p.account, p.remote_id from actions a join photos p on p.id = a.photo_id and p.source = 'icloud'), w as (select account, remote_id, max_by(status, {'t': ts, 'a': action_id}) as status from acts where status <> 'selected' group by 1, 2), old as (select account, remote_id, 'rejected' as status from photos where source = 'icloud' and id % 26 = 0),"
 
 
@@ -539,6 +607,54 @@ def move_plan(s, d):
     return moves.plan_moves(p, p.filter("status = 'optional'").select("id", F.lit("selected").alias("new_status")), there)
 
 
+@register(
+    PHOTOS_SQL + f"""moved as (select id, relative_path as from_path, live_photo_video_path as clip from photos where status = 'optional' and source = 'local' and not missing),
+      rws as (select id, 'image' as role, from_path, id * 2 as key from moved union all select id, 'companion', clip, id * 2 + 1 from moved where clip in (select relative_path from photos where not missing) and clip not in (select from_path from moved)),
+      ranked as (select *, 'selected/' || regexp_extract(from_path, '[^/]*$') as path from rws),
+      plan as (select from_path, {_NUMBERED} as to_path from (select *, row_number() over (partition by path order by key) - 1 as n from ranked)),""",
+    """select p.id, coalesce(m.to_path, p.relative_path) as relative_path, case when m.to_path is not null then 'selected' else p.status end as status, coalesce(c.to_path, p.live_photo_video_path) as clip,
+     case when m.to_path is not null and p.status = 'optional' and p.original_path = '' then p.relative_path else p.original_path end as original_path from photos p left join plan m on m.from_path = p.relative_path left join plan c on c.from_path = p.live_photo_video_path""",
+)
+def moves_applied(s, d):
+    """U3. The catalog after the plan's moves; clips that move as rows of their own aren't moved again as companions."""
+    p = views.photos(s, d)
+    there = p.filter("not missing").select(F.col("relative_path").alias("path"))
+    own = p.filter("status = 'optional'").select("id", F.lit("selected").alias("new_status"))
+    going = p.filter("status = 'optional' and source = 'local' and not missing").select(F.col("relative_path").alias("live_photo_video_path"), F.lit(True).alias("_goes"))
+    single = p.join(going, "live_photo_video_path", "left").withColumn("live_photo_video_path", F.when(F.col("_goes").isNull(), F.col("live_photo_video_path"))).select(*p.columns)
+    plan = moves.plan_moves(single, own, there)
+    return moves.apply_moves(p, plan).select("id", "relative_path", "status", F.col("live_photo_video_path").alias("clip"), "original_path")
+
+
+_FLAT = """deep as (select *, case when id % 2 = 0 then 'selected/' || relative_path else relative_path end as was from photos),
+ named as (select was, 'selected/IMG_' || (id // 2) // 7 || '.jpg' as path from deep where id % 2 = 0),
+ flat as (select was, case when n = 0 then path else left(path, length(path) - 4) || ' (' || n || ').jpg' end as went from (select was, path, row_number() over (partition by path order by was) - 1 as n from named)),"""
+
+
+def _flattened(s, d):
+    """Images lie under selected/, in folders, under names that many share."""
+    i = F.col("id")
+    shared = F.concat(F.lit("selected/"), paths.parent_of("relative_path"), F.lit("/"), i.cast("string"), F.lit("/IMG_"), F.floor(F.floor(i / 2) / 7).cast("string"), F.lit(".jpg"))
+    p = views.photos(s, d).withColumn("relative_path", F.when(i % 2 == 0, shared).otherwise(F.col("relative_path"))).withColumn("original_path", F.lit(""))
+    got = p.filter("id % 4 = 0").select("account", F.col("id").cast("string").alias("remote_id"), "relative_path")
+    return moves.plan_flatten(p, p.select("relative_path"), got)
+
+
+_WENT = _FLAT.replace("'selected/' || relative_path else", "'selected/' || regexp_extract(relative_path, '^(.*)/', 1) || '/' || id || '/IMG_' || (id // 2) // 7 || '.jpg' else")
+
+
+@register(PHOTOS_SQL + _WENT, "select p.id, coalesce(f.went, p.was) as relative_path, case when f.went is not null then substr(p.was, 10) else '' end as original_path from deep p left join flat f using (was)")
+def flattened_catalog(s, d):
+    """U4. The catalog after its moves, with names that clash."""
+    return _flattened(s, d)[1].select("id", "relative_path", "original_path")
+
+
+@register(PHOTOS_SQL + _WENT, "select cast(p.id as varchar) as remote_id, f.went as relative_path from deep p join flat f using (was) where p.id % 4 = 0")
+def flattened_downloads(s, d):
+    """U4. What accounts have landed, after the moves."""
+    return _flattened(s, d)[2].select("remote_id", "relative_path")
+
+
 @register(PHOTOS_SQL, "select 'selected/' || relative_path as from_path, 'selected/' || regexp_extract(relative_path, '[^/]*$') as to_path from photos")
 def flatten_plan(s, d):
     p = views.photos(s, d).withColumn("relative_path", F.concat(F.lit("selected/"), "relative_path"))
@@ -559,6 +675,14 @@ def _export(s, d, only=None):
     return moves.plan_export(f, f, there.unionByName(f.filter("id % 3 = 1").select(paths.name_of("relative_path").alias("name"), F.lit(-1).cast("long").alias("file_size"), "file_mtime")), only=only)
 
 
+@register(_RFOLD, "select * from old where (account, remote_id) not in (select (account, remote_id) from w) union all select * from w where status <> 'optional'")
+def decisions_written(s, d):
+    """C7. The accounts' decisions after local and remote actions together."""
+    p = views.photos(s, d)
+    old = p.filter("source = 'icloud' and id % 26 = 0").select("account", "remote_id", F.lit("rejected").alias("status"))
+    return decisions.apply_decisions(p, old, views.actions(s, d))[1]
+
+
 @register(PHOTOS_SQL + _EXPORT, "select path as relative_path, case when id % 3 = 0 then 'skip' else 'copy' end as action, case when id % 3 = 1 then regexp_replace(substr(path, 10), '(\\.[a-z]+)$', ' (1)\\1') else substr(path, 10) end as target from f")
 def export_plan(s, d):
     return _export(s, d)
@@ -619,6 +743,29 @@ def landed_downloads(s, d):
     return rows.select("id", "source", "relative_path", us("captured_at").alias("captured_us"))
 
 
+@register(PHOTOS_SQL + "got as (select * from photos where source = 'icloud' and id % 2 = 0),", """select p.relative_path as was, case when g.id is not null then 'local' else p.source end as source, case when g.id is not null then 'selected/' || p.remote_id || '.jpg' else p.relative_path end as relative_path,
+ case when g.id is not null and p.id % 4 = 0 then 'selected/' || p.remote_id || '.mov' else p.live_photo_video_path end as clip from photos p left join got g using (id)
+ union all select null, 'local', 'selected/' || remote_id || '.mov', null from got where id % 4 = 0""")
+def landed_clips(s, d):
+    """R4. Every second landed item brings a motion clip, which becomes a row of its own."""
+    p = views.photos(s, d)
+    clip = F.when(F.col("id") % 4 == 0, F.concat(F.lit("selected/"), "remote_id", F.lit(".mov")))
+    landed = p.filter("source = 'icloud' and id % 2 = 0").select("account", "remote_id", F.concat(F.lit("selected/"), "remote_id", F.lit(".jpg")).alias("relative_path"), F.lit(1).cast("long").alias("file_size"), F.lit(2.0).alias("file_mtime"), clip.alias("clip_path"), F.when(clip.isNotNull(), 3).cast("long").alias("clip_size"), F.when(clip.isNotNull(), 4.0).alias("clip_mtime"))
+    none = landed.select("account", "remote_id", "relative_path").limit(0)
+    rows = remote.land_downloads(p, landed, none, landed.select("account", "remote_id", F.lit("rejected").alias("status")))[0]
+    was = p.select("id", F.col("relative_path").alias("was"))
+    return rows.join(was, "id", "left").select("was", "source", "relative_path", F.col("live_photo_video_path").alias("clip"))
+
+
+@register(PHOTOS_SQL, "select 'acct-1' as account, count(*) filter (account = 'acct-1') as rows_removed, count(*) filter (account in ('acct-1', 'acct-2') and id % 3 <> 0 and account = 'acct-1') * 2 as previews_removed from photos where source = 'icloud'")
+def disconnect_report(s, d):
+    """R5. Rows and cached previews of two tiers that go with an account."""
+    p = views.photos(s, d)
+    names = F.array(*(F.concat(F.lit("icloud-"), paths.account_slug("account"), F.lit("-"), "remote_id", F.lit(f"-{tier}.jpg")) for tier in ("thumb", "medium")))
+    previews = p.filter("source = 'icloud' and account in ('acct-1', 'acct-2') and id % 3 <> 0").select(F.explode(names).alias("name"))
+    return remote.disconnect_plan(p, previews, "acct-1")[2]
+
+
 @register(PHOTOS_SQL, "select id from photos where not (source = 'icloud' and account = 'acct-1')")
 def disconnected(s, d):
     return remote.disconnect(views.photos(s, d), "acct-1")[0].select("id")

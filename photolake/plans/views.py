@@ -33,7 +33,7 @@ def photos_of_events(events: DataFrame) -> DataFrame:
         F.when(i % 17 == 0, path).otherwise("").alias("original_path"), prov.alias("provenance"),
         F.round(F.col("value") * 100).cast("long").alias("file_size"), F.unix_micros("ts").cast("double").alias("file_mtime"),
         F.sha2(F.concat_ws("-", F.col("k").cast("string"), F.round("value").cast("long").cast("string")), 256).alias("sha256"),
-        F.substring(F.md5((F.col("k") % 4).cast("string")), 1, 16).alias("phash"), F.col("ts").alias("captured_at"),
+        F.concat(F.substring(F.md5((F.col("k") % 4).cast("string")), 1, 13), F.lpad(F.lower(F.hex(i % 512)), 3, "0")).alias("phash"), F.col("ts").alias("captured_at"),
         F.when(i % 3 == 0, "exif").when(i % 3 == 1, "filename").otherwise("file_mtime").alias("captured_at_source"),
         F.when(video, "video").otherwise("image").alias("media_type"),
         F.when((i % 20 == 0) & ~video, F.concat(F.lit("d"), (F.floor(i / 2) % 10).cast("string"), F.lit("/"), stem, F.lit(".mov"))).alias("live_photo_video_path"),
@@ -52,7 +52,7 @@ photos as (select event_id as id,
   case when user_id % 7 = 0 then '' else 'acct-' || cast(user_id % 5 as varchar) end as provenance,
   cast(round(value * 100) as bigint) as file_size, cast(epoch_us(ts) as double) as file_mtime,
   sha256(regexp_extract(props, '"k": (\d+)', 1) || '-' || cast(cast(round(value) as bigint) as varchar)) as sha256,
-  substr(md5(cast(cast(regexp_extract(props, '"k": (\d+)', 1) as bigint) % 4 as varchar)), 1, 16) as phash,
+  substr(md5(cast(cast(regexp_extract(props, '"k": (\d+)', 1) as bigint) % 4 as varchar)), 1, 13) || lpad(lower(to_hex(event_id % 512)), 3, '0') as phash,
   ts as captured_at, case event_id % 3 when 0 then 'exif' when 1 then 'filename' else 'file_mtime' end as captured_at_source,
   case when event_id % 2 = 1 then 'video' else 'image' end as media_type,
   case when event_id % 20 = 0 then 'd' || cast((event_id // 2) % 10 as varchar) || '/IMG_' || cast(event_id // 2 as varchar) || '.mov' end as live_photo_video_path,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +87,25 @@ def disconnect(photos: DataFrame, account: str) -> tuple[DataFrame, DataFrame]:
     return photos.filter(~own), photos.agg(F.count_if(own).alias("removed"))
 
 
+def disconnect_plan(photos: DataFrame, previews: DataFrame, account: str, running: Collection[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """R5. (catalog, previews to delete, report) once an account is gone; its state and what it has landed stay.
+
+    previews: name (icloud-{slug}-{remote id}....jpg) and any other columns.
+    They go by the name's beginning, so those of an account whose slug goes on
+    behind this one's and a hyphen go as well, and are made again. An account
+    that is being pulled (running) is an error, an unknown one gives zeros.
+    report: account, rows_removed, previews_removed.
+    """
+    if account in running:
+        raise ValueError(f"{account} is being pulled; disconnect it when that has ended")
+    kept, rows = disconnect(photos, account)
+    own = F.col("name").startswith(F.concat(F.lit("icloud-"), account_slug(F.lit(account)), F.lit("-"))) & F.col("name").endswith(".jpg")
+    gone = previews.filter(own)
+    counted = rows.select(F.col("removed").alias("rows_removed"), F.lit(0).cast("long").alias("previews_removed")).unionAll(gone.agg(F.lit(0).cast("long"), F.count(F.lit(1))))
+    report = counted.agg(F.sum("rows_removed").alias("rows_removed"), F.sum("previews_removed").alias("previews_removed"))
+    return kept, gone, report.select(F.lit(account).alias("account"), "rows_removed", "previews_removed")
+
+
 def advance_cursor(states: DataFrame, processed: DataFrame, complete: DataFrame) -> DataFrame:
     """A12. Cursors after a pull: the latest processed capture time, only for accounts whose listing was complete."""
     top = processed.groupBy("account").agg(F.max("captured_at").alias("_top")).join(complete.select("account"), "account", "left_semi")
