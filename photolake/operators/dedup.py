@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photolake.operators.ranks import rank_within
+
 
 def _hashed(photos: DataFrame) -> DataFrame:
     return photos.filter("not missing and sha256 is not null and sha256 <> ''")
@@ -33,7 +35,7 @@ def redundant_copies(photos: DataFrame) -> DataFrame:
     return _hashed(photos).select("id", "sha256").join(best, "sha256").filter("id <> keep").select("id", "sha256")
 
 
-def redundant_copies_by_window(photos: DataFrame) -> DataFrame:
-    """A4 in one shuffle, for catalogs without hot hashes."""
-    order = Window.partitionBy("sha256").orderBy((F.col("status") == "rejected"), "id")
-    return _hashed(photos).withColumn("_n", F.row_number().over(order)).filter("_n > 1").select("id", "sha256")
+def redundant_copies_by_rank(photos: DataFrame) -> DataFrame:
+    """A4 by rank: all but the first of each hash, ranked over range partitions, so that a hot hash is spread over tasks."""
+    rows = _hashed(photos).select("id", "sha256", (F.col("status") == "rejected").alias("_rejected"))
+    return rank_within(rows, ["sha256"], ["_rejected", "id"], "_n").filter("_n > 0").select("id", "sha256")

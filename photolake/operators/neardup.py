@@ -126,7 +126,12 @@ def next_unresolved(pairs: DataFrame, photos: DataFrame, after: tuple[int, int]
 
 def remote_lookalikes(photos: DataFrame, window_s: int = 2) -> DataFrame:
     """J14. Remote rows of one file name and size, captured within a few seconds: photo_a < photo_b."""
+    width = window_s * 1_000_000
     rows = photos.filter("source = 'icloud' and not missing and remote_filename <> ''").select("id", "remote_filename", "file_size", F.unix_micros("captured_at").alias("us"))
-    b = rows.select(F.col("id").alias("b_id"), "remote_filename", "file_size", F.col("us").alias("b_us"))
-    near = rows.join(b, ["remote_filename", "file_size"]).filter((F.col("id") < F.col("b_id")) & (F.abs(F.col("us") - F.col("b_us")) <= window_s * 1_000_000))
-    return near.select(F.col("id").alias("photo_a"), F.col("b_id").alias("photo_b"))
+    rows = rows.filter("us is not null").withColumn("bucket", F.floor(F.col("us") / (width + 1)))
+    # The earlier of a pair looks into its own bucket and the next one, so that a common name and size isn't one key.
+    earlier = rows.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    b = rows.select(F.col("id").alias("b_id"), "remote_filename", "file_size", F.col("us").alias("b_us"), "bucket")
+    apart = F.col("b_us") - F.col("us")
+    near = earlier.join(b, ["remote_filename", "file_size", "bucket"]).filter((apart <= width) & ((apart > 0) | ((apart == 0) & (F.col("b_id") > F.col("id")))))
+    return near.select(F.least("id", "b_id").alias("photo_a"), F.greatest("id", "b_id").alias("photo_b"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from photolake.functions.paths import export_name, media_type_of, name_of, parent_of, provenance_of, status_of, stem_of, suffix_of
 from photolake.operators.ranks import rank_within
@@ -49,34 +47,77 @@ def _number_in(path: Column, like: Column) -> Column:
     return F.when(path == like, F.lit(0).cast("long")).when(path.startswith(base) & path.endswith(ext) & (n != ""), n.cast("long"))
 
 
-def _walk(columns: list[str]):
-    """For mapInArrow over rows sorted by family, existing files first, then claimants in order: gives the claimants with final_path."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family_now, taken, last = None, set(), {}
-        for b in batches:
-            keep, out = [], []
-            families = zip(*(b.column(c).to_pylist() for c in _FAMILY), strict=True)
-            for i, (fam, path, there) in enumerate(zip(families, b.column("path").to_pylist(), b.column("_existing").to_pylist(), strict=True)):
-                if fam != family_now:
-                    family_now, taken, last = fam, set(), {}
-                if there:
-                    taken.add(path)
-                    continue
-                name, n = path, last.get(path, 0)
-                if name in taken:
-                    base, dot = (re.fullmatch(r"(.*?[^./])(\.[^./]+)?", path, re.S) or re.fullmatch("(.*)()", path, re.S)).groups()
-                    while name in taken:
-                        n += 1
-                        name = f"{base} ({n}){dot or ''}"
-                    last[path] = n
-                taken.add(name)
-                keep.append(i)
-                out.append(name)
-            own = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "final_path"])
-
-    return run
+#: A numbered name: what it numbers, the number, the extension.
+_NUMBERED_NAME = r"(?s)^(.*[^./]) \(([1-9][0-9]{0,17})\)(\.[^./]+)?$"
+
+
+def _parent(path: Column) -> Column:
+    """The name that `path` is a numbered form of, else null."""
+    whole = F.concat(F.regexp_extract(path, _NUMBERED_NAME, 1), F.regexp_extract(path, _NUMBERED_NAME, 3))
+    return F.when(F.coalesce(_number_in(path, whole), F.lit(0)) > 0, whole)
+
+
+def _depth(path: Column) -> Column:
+    """Numbers at the end of a name's stem."""
+    return F.length(F.regexp_replace(F.regexp_extract(stem_of(path), r"((?: \([0-9]+\))*)$", 1), r"[^(]", ""))
+
+
+def _passed_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over the taken or asked numbers of names, sorted: which are passed over by the claimants that go on to numbers.
+
+    A number goes to a claimant instead if that comes to it before its own
+    first one: less, its place less one and the claimants that are earlier than
+    it, tells when.
+    """
+    now, passed = None, 0
+    for b in batches:
+        out = []
+        for base, less in zip(b.column("base").to_pylist(), b.column("less").to_pylist(), strict=True):
+            if base != now:
+                now, passed = base, 0
+            out.append(passed <= less)
+            passed += passed <= less
+        yield pa.RecordBatch.from_arrays([b.column("base"), b.column("path"), b.column("n"), pa.array(out, pa.bool_())], ["base", "path", "n", "passed"])
+
+
+def _assign_mixed(claims: DataFrame, there: DataFrame, columns: list[str]) -> DataFrame:
+    """final_path in families where different names clash, level by level of numbers in a name.
+
+    A name's first claimant gets it, unless it is there or a claimant of what it
+    numbers has come to it before. The others of a name go on to its numbers, of
+    which those are passed over that are there or whose own first claimant is
+    earlier. Claimants of one name then get the numbers left by rank. Rows are
+    sorted and counted over tasks; a task that goes through a name's numbers
+    remembers one count.
+    """
+    claims = claims.withColumn("_o", F.struct("ord", "key"))
+    names = stash(claims.groupBy("path").agg(F.min("_o").alias("_first")).withColumn("_there", F.lit(False)), "names")
+    known = there.select("path", F.lit(None).cast(names.schema["_first"].dataType).alias("_first"), F.lit(True).alias("_there"))
+    nodes = names.unionByName(known).groupBy("path").agg(F.max("_first").alias("_first"), F.max("_there").alias("_there"))
+    nodes = stash(nodes.withColumn("base", _parent(F.col("path"))).withColumn("n", _number_in(F.col("path"), F.col("base"))).withColumn("_level", _depth(F.col("path"))), "nodes")
+    stolen = nodes.select("path").filter("false")
+    done = None
+    for level in [r[0] for r in nodes.filter("_first is not null").select("_level").distinct().orderBy("_level").collect()]:
+        own = nodes.filter((F.col("_level") == level) & F.col("_first").isNotNull()).join(stolen.withColumn("_stolen", F.lit(True)), "path", "left")
+        own = stash(own.select("path", F.when(~F.col("_there") & F.col("_stolen").isNull(), F.col("_first")).alias("_winner")), "own")
+        here = claims.join(own, "path").withColumn("_wins", F.coalesce(F.col("_o") == F.col("_winner"), F.lit(False)))
+        more = stash(here.filter("not _wins").select(F.col("path").alias("base"), "_o", *columns), "more")
+        asked = nodes.filter("base is not null").join(more.select("base").distinct(), "base", "left_semi").select("base", "path", "n", F.when(~F.col("_there"), F.col("_first")).alias("_first"))
+        # How many of a name's claimants that go on are earlier than each number's own first one.
+        times = more.select("base", "_o", F.lit(0).alias("_kind")).unionByName(asked.filter("_first is not null").select("base", F.col("_first").alias("_o"), F.lit(1).alias("_kind"), "path"), allowMissingColumns=True)
+        place = rank_within(times, ["base"], ["_o", "_kind"], "_all").filter("_kind = 1")
+        early = rank_within(place, ["base"], ["_o", "_kind"], "_mine").select("path", (F.col("_all") - F.col("_mine")).alias("_early"))
+        gone = asked.join(early, "path", "left").select("base", "path", "n", (F.col("n") - 1 - F.coalesce("_early", F.lit(0))).alias("less"))
+        kind = "base string, path string, n long, passed boolean"
+        gone = stash(gone.repartition("base").sortWithinPartitions("base", "n").mapInArrow(_passed_over, kind), "gone")
+        stolen = stolen.union(gone.filter("not passed").select("path"))
+        taken = rank_within(gone.filter("passed").select("base", "n"), ["base"], ["n"], "_i").select("base", (F.col("n") - 1 - F.col("_i")).alias("_v"), F.lit(False).alias("_claims"))
+        ranks = rank_within(more, ["base"], ["_o"], "_v").withColumn("_claims", F.lit(True))
+        both = rank_within(taken.unionByName(ranks, allowMissingColumns=True), ["base"], ["_v", "_claims", "_o"], "_number").filter("_claims")
+        numbered = both.select(*columns, _numbered(F.col("base"), F.col("_number") + 1).alias("final_path"))
+        found = here.filter("_wins").select(*columns, F.col("path").alias("final_path")).unionByName(numbered)
+        done = found if done is None else done.unionByName(found)
+    return done
 
 
 _FAMILY = ["_dir", "_stem", "_ext"]
@@ -88,8 +129,8 @@ def assign_unique(plan: DataFrame, existing: DataFrame) -> DataFrame:
     plan: key, ord, path and any other columns; key is unique. existing: path.
     Names without a clash stay. Claimants of one name get the numbers that
     existing files leave free by their rank, in joins and sorts that spread a
-    much claimed name over tasks. Only families in which different names
-    clash, one of which ends in a number, are walked one by one.
+    much claimed name over tasks; names that clash with numbered forms of
+    others are taken level by level (_assign_mixed()).
     """
     use_package(plan.sparkSession)
     asked = stash(plan.select("*", *family(F.col("path"))), "asked")
@@ -103,18 +144,19 @@ def assign_unique(plan: DataFrame, existing: DataFrame) -> DataFrame:
     free = asked.join(facts, _FAMILY, "left_anti").select(*plan.columns, F.col("path").alias("final_path"))
 
     plain = facts.filter("_plain").select(*_FAMILY, "_lo")
-    claims = rank_within(asked.join(plain.select(*_FAMILY), _FAMILY, "left_semi"), _FAMILY, ["ord", "key"], "_v")
-    numbers = there.join(plain, _FAMILY).select(*_FAMILY, _number_in(F.col("path"), F.col("_lo")).alias("_n")).filter("_n is not null")
+    numbers = there.join(plain, _FAMILY).select(*_FAMILY, _number_in(F.col("path"), F.col("_lo")).alias("_n")).filter("_n is not null").withColumn("_claims", F.lit(False))
+    claims = asked.join(plain.select(*_FAMILY), _FAMILY, "left_semi").withColumn("_claims", F.lit(True))
+    # One sort ranks a family's claimants by (ord, key) and its taken numbers.
+    one = rank_within(claims.unionByName(numbers, allowMissingColumns=True), [*_FAMILY, "_claims"], ["ord", "key", "_n"], "_i")
     # A number n with i taken ones below it is passed by the claimants from rank n - i on.
-    passed = rank_within(numbers, _FAMILY, ["_n"], "_i").select(*_FAMILY, (F.col("_n") - F.col("_i")).alias("_v"), F.lit(False).alias("_claims"))
-    both = rank_within(passed.unionByName(claims.withColumn("_claims", F.lit(True)), allowMissingColumns=True), _FAMILY, ["_v", "_claims", "key"], "_number")
+    placed = one.withColumn("_v", F.when(F.col("_claims"), F.col("_i")).otherwise(F.col("_n") - F.col("_i")))
+    both = rank_within(placed, _FAMILY, ["_v", "_claims", "key"], "_number")
     ranked = both.filter("_claims").select(*plan.columns, _numbered(F.col("path"), F.col("_number")).alias("final_path"))
 
-    mixed = facts.filter("not _plain").select(*_FAMILY)
-    rows = asked.withColumn("_existing", F.lit(False)).unionByName(there.withColumn("_existing", F.lit(True)), allowMissingColumns=True)
-    rows = rows.join(mixed, _FAMILY, "left_semi").repartition(*_FAMILY).sortWithinPartitions(*_FAMILY, F.desc("_existing"), "ord", "key")
-    kind = StructType([*plan.schema, StructField("final_path", StringType())])
-    return free.unionByName(ranked).unionByName(rows.mapInArrow(_walk(plan.columns), kind))
+    out, mixed = free.unionByName(ranked), facts.filter("not _plain").select(*_FAMILY)
+    if mixed.isEmpty():
+        return out
+    return out.unionByName(_assign_mixed(asked.join(mixed, _FAMILY, "left_semi"), there.join(mixed, _FAMILY, "left_semi"), plan.columns))
 
 
 def plan_moves(photos: DataFrame, new_status: DataFrame, existing: DataFrame) -> DataFrame:

@@ -159,7 +159,8 @@ def redundant_copies(s, d):
 
 @register(PHOTOS_SQL, "select id, sha256 from redundant")
 def redundant_copies_by_window(s, d):
-    return dedup.redundant_copies_by_window(views.photos(s, d))
+    """A4 by ranks."""
+    return dedup.redundant_copies_by_rank(views.photos(s, d))
 
 
 @register(PHOTOS_SQL, "select id, sha256 from hashed where sha256 in (select sha256 from hashed where status = 'selected')")
@@ -595,6 +596,16 @@ def unique_names(s, d):
     return moves.assign_unique(plan, there).select("key", "final_path")
 
 
+@register()
+def unique_names_mixed(s, d):
+    """U2 where names clash with numbered forms of others: photos dealt over few names of 50 folders. Tests hold it against taking names one by one."""
+    i = F.col("id")
+    name = F.element_at(F.array(*map(F.lit, ("a.jpg", "a (1).jpg", "a (2).jpg", "a (1) (1).jpg", "a.jpg", "a (40).jpg", "a.jpg"))), (i % 7 + 1).cast("int"))
+    p = views.photos(s, d).select(i.alias("key"), i.alias("ord"), F.concat(F.lit("d"), (F.floor(i / 7) % 50).cast("string"), F.lit("/"), name).alias("path"))
+    there = p.filter("key % 11 = 0").select(F.concat(F.lit("d"), (F.col("key") % 50).cast("string"), F.lit("/a ("), (F.col("key") % 30 + 1).cast("string"), F.lit(").jpg")).alias("path"))
+    return moves.assign_unique(p, there).select("key", "final_path")
+
+
 @register(
     PHOTOS_SQL + """moved as (select id, relative_path as from_path, live_photo_video_path as clip from photos where status = 'optional' and source = 'local' and not missing),
       rws as (select id, 'image' as role, from_path, id * 2 as key from moved union all select id, 'companion', clip, id * 2 + 1 from moved where clip in (select relative_path from photos where not missing)),

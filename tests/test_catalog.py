@@ -74,7 +74,7 @@ def test_capture_chain(spark):
 def test_duplicates_and_timeline(spark):
     p = photos(spark, photo(1, sha256="b", status="rejected"), photo(2, sha256="b"), photo(3, sha256="c", status="rejected"), photo(4, sha256="c", status="rejected"), photo(5, sha256="b", missing=True), photo(6), photo(7, relative_path="p/IMG_6.mov"), photo(8, live_photo_video_path="p/IMG_6.mov"))
     assert {(r.sha256, r.n) for r in dedup.duplicate_counts(p).collect()} == {("b", 2), ("c", 2)}
-    assert {r.id for r in dedup.redundant_copies(p).collect()} == {1, 4} == {r.id for r in dedup.redundant_copies_by_window(p).collect()}
+    assert {r.id for r in dedup.redundant_copies(p).collect()} == {1, 4} == {r.id for r in dedup.redundant_copies_by_rank(p).collect()}
     shown = timeline.timeline(p)
     assert {r.id for r in shown.collect()} == {2, 3, 6, 8}
     assert {r.id for r in timeline.timeline(p, status="rejected").collect()} == {3}
