@@ -495,4 +495,4 @@ def test_all_are_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
