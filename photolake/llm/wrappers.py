@@ -552,9 +552,22 @@ def _article(slots: list[tuple[str, str]], links: list[int], root: list[str] | N
     if main and not any(map(_is_main, root)) and 2 * sum(weights[p] for p in main) >= sum(weights[p] for p in near):
         near = main
     good = {p for p in near if _content(p, root)}
+    if not good and (head := _main_head({p: weights[p] for p in near})):
+        good = {p for p in near if _of_root(p, head) and _content(p, head)}
     return good or {p for p in near if _content(p, root, False)} or {p for p in weights if _content(p, [], False)}, hosts
 
 
+def _main_head(weights: dict[str, float]) -> list[str]:
+    """Where everything lies in marked regions: the nodes down to the main or article element with the fewest marked ones around it, then with the most text."""
+    heads: dict[tuple[str, ...], float] = {}
+    for p, w in weights.items():
+        nodes = p.split("/")
+        if (k := next((i for i, x in enumerate(nodes) if _is_main(x)), None)) is not None:
+            heads[tuple(nodes[: k + 1])] = heads.get(tuple(nodes[: k + 1]), 0.0) + w
+    around = lambda h: sum(_marked(x.partition(" ")[2], False) for x in h[:-1])
+    return list(min(heads, key=lambda h: (around(h), -heads[h], h), default=()))
+
+
 def _teasers(own: list[int], slots: list[tuple[str, str]], articles: list[int], links: list[int]) -> set[int]:
     """Articles that begin with a link, where the longest one doesn't: they lead to other pages."""
     sizes: dict[int, int] = {}
