@@ -112,7 +112,11 @@ def start_groups(photos: DataFrame, base: str, buckets: int = BUCKETS) -> None:
 
 
 def key_actions(actions: DataFrame, base: str, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """W2, first half. Actions that can be applied, with their photo's group, as files under `out`; a batch reads the index of its own photos."""
+    """W2, first half. Each group's last action of those that can be applied, as files under `out`; a batch reads the index of its own photos.
+
+    The others of a batch change nothing, so they go no further: what is written
+    grows with the groups a batch reaches, not with its actions.
+    """
     spark = actions.sparkSession
 
     def step(rows: DataFrame, n: int) -> None:
@@ -121,7 +125,8 @@ def key_actions(actions: DataFrame, base: str, out: str, checkpoint: str, bucket
         ok, _ = validate_actions(rows, index)
         keyed = ok.join(index.select(F.col("id").alias("photo_id"), "group"), "photo_id")
         us = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))
-        keyed.select("group", us.alias("us"), "action_id", "photo_id", "status").write.mode("overwrite").parquet(f"{out}/batch={n}")
+        last = keyed.select("group", F.struct(us.alias("us"), "action_id", "photo_id", "status").alias("x")).groupBy("group").agg(F.max("x").alias("x"))
+        last.select("group", "x.*").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return _run(actions, checkpoint, step)
 
