@@ -17,3 +17,17 @@ def test_of_a_groups_actions_one_goes_on(spark, tmp_path):
     got = {r.group: (r.photo_id, r.status, r.action_id) for r in spark.read.parquet(f"{base}/keyed/batch=0").collect()}
     last = lambda g: max((k[1], k[0], k[2], k[3]) for k in acts if "ab"[k[2] % 2] == g)
     assert got == {g: (last(g)[2], last(g)[3], last(g)[1]) for g in "ab"} and spark.read.parquet(f"{base}/keyed/batch=0").count() == 2
+
+
+def test_streams_are_dealt_into_files_by_their_rows(spark, tmp_path, monkeypatch):
+    """As many batches as ever, of more files where there are more rows."""
+    from photolake.plans import queries
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 100)
+    rows = spark.range(1000)
+    stream = queries._as_stream(spark, rows, str(tmp_path), "id")
+    sizes = [spark.read.parquet(str(f)).count() for f in tmp_path.glob("in/*.parquet")]
+    assert len(sizes) == 12 and max(sizes) < 200 and sum(sizes) == 1000
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, n: seen.append(b.count())).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == queries.FILES and sum(seen) == 1000
