@@ -73,7 +73,7 @@ def stream_pull(listing: DataFrame, base: str, photos: DataFrame, downloaded: Da
         wanted = values(rows, bucket_of(remote_sentinel(F.col("account"), F.col("remote_id")), buckets=buckets))
         part = lambda name: read_parts(spark, f"{base}/{name}", shaped[name], "bucket", wanted).drop("bucket")
         top = _seen_ids(spark, base, n)
-        done = replace_parts(spark, f"{base}/photos", n, lambda: pull(part("photos"), rows, part("downloaded"), part("decisions"), top).select("*", key), "bucket")
+        done = replace_parts(spark, f"{base}/photos", n, lambda: pull(part("photos"), rows, part("downloaded"), part("decisions"), top).select("*", key), "bucket", placed=True)
         _note_ids(spark, base, n, _most(top, done))
 
     return _run(listing, checkpoint, step)

@@ -49,20 +49,22 @@ def read_parts(spark: SparkSession, path: str, like: DataFrame, by: str, wanted:
     return rows.filter(F.col(by).isin(wanted)) if wanted else rows.filter("false")
 
 
-def replace_parts(spark: SparkSession, path: str, batch: int, rows: Callable[[], DataFrame], *by: str, turn: int = 0, whole: bool = False) -> DataFrame:
+def replace_parts(spark: SparkSession, path: str, batch: int, rows: Callable[[], DataFrame], *by: str, turn: int = 0, whole: bool = False, placed: bool = False) -> DataFrame:
     """Puts rows() in place of the partitions they belong to and returns them as written.
 
     They are first written aside under the batch's number and turn: if the
     batch is run again, after a crash at whatever point, what is there is put in
     place once more, and rows() isn't asked about a table that is half changed.
     whole: rows() are all rows of the table, so that partitions without any go.
+    placed: most of rows() come from the table as they are and lie by partition
+    still, so they are put in place without being dealt out anew.
     """
     aside = f"{path}-written"
     own = f"{aside}/batch={batch:012d}-{turn:04d}"
     if not exists(spark, f"{own}/_SUCCESS"):
         rows().write.mode("overwrite").parquet(own)
     done = spark.read.parquet(own)
-    done.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    (done if placed else done.hint("rebalance", *by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     kept = {f"{by[0]}={x}" for x in values(done, F.col(by[0]))} if whole else set()
     for name in partition_names(spark, path) if whole else []:
         if name not in kept:

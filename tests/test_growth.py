@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from photolake import schemas
+from photolake.operators import scan
 from photolake.streaming import jobs
 from tests.test_catalog import photo, photos
 from tests.test_streams import at, files
@@ -31,3 +32,12 @@ def test_streams_are_dealt_into_files_by_their_rows(spark, tmp_path, monkeypatch
     seen = []
     stream.writeStream.foreachBatch(lambda b, n: seen.append(b.count())).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == queries.FILES and sum(seen) == 1000
+
+
+def test_a_pull_leaves_known_rows_where_they_are(spark):
+    """The catalog is neither joined nor dealt out anew where only rows are added."""
+    known = photos(spark, photo(1), photo(2))
+    new = photos(spark, photo(3, relative_path="new.jpg"))
+    out = scan.upsert_catalog(known, new.unionByName(new.filter("false")), "relative_path", [], 2)
+    assert sorted((r.id, r.relative_path) for r in out.collect()) == sorted([*((r.id, r.relative_path) for r in known.collect()), (3, "new.jpg")])
+    assert "_hit" not in out._jdf.queryExecution().analyzed().toString()
