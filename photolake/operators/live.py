@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photolake.functions.paths import parent_of, stem_of
+from photolake.operators.joins import left_join_sparse
 
 WINDOW_US = 1_000_000
 
@@ -13,7 +14,7 @@ WINDOW_US = 1_000_000
 def clear_dangling_companions(photos: DataFrame) -> DataFrame:
     """J8. A companion path without a present row is cleared."""
     present = photos.filter("not missing").select(F.col("relative_path").alias("_p")).distinct()
-    joined = photos.join(present, photos.live_photo_video_path == F.col("_p"), "left")
+    joined = left_join_sparse(photos, present.select("_p", F.col("_p").alias("live_photo_video_path")), ["live_photo_video_path"], "id")
     kept = F.when(F.col("_p").isNotNull(), F.col("live_photo_video_path"))
     return joined.select(*(kept.alias(c) if c == "live_photo_video_path" else c for c in photos.columns))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from photolake import schemas
 from photolake.operators import scan
+from photolake.operators.joins import left_join_sparse
 from photolake.streaming import jobs
 from tests.test_catalog import photo, photos
 from tests.test_streams import at, files
@@ -41,3 +42,19 @@ def test_a_pull_leaves_known_rows_where_they_are(spark):
     out = scan.upsert_catalog(known, new.unionByName(new.filter("false")), "relative_path", [], 2)
     assert sorted((r.id, r.relative_path) for r in out.collect()) == sorted([*((r.id, r.relative_path) for r in known.collect()), (3, "new.jpg")])
     assert "_hit" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    """Nine of ten rows have no key; a join must not bring them to one task."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).alias("k"))
+    right = spark.range(0, 4000, 20).select(F.col("id").cast("string").alias("k"), F.lit(True).alias("hit"))
+    out = left_join_sparse(rows, right.unionByName(right.select(F.lit(None).cast("string").alias("k"), "hit").limit(1)).hint("merge"), ["k"], "id")
+    assert sorted(out.columns) == ["hit", "id", "k"]
+    got = {r.id: (r.k, r.hit) for r in out.collect()}
+    assert out.count() == len(got) == 4000 and all(got[i] == (str(i) if i % 10 == 0 else None, True if i % 20 == 0 else None) for i in got)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2000
