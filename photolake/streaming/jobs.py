@@ -16,9 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from photolake.functions.paths import remote_sentinel
 from photolake.operators.decisions import group_key, validate_actions
-from photolake.operators.neardup import WINDOW_S, near_duplicates
+from photolake.operators.neardup import WINDOW_S, near_duplicates_of
 from photolake.operators.scan import apply_listing, scan_library
-from photolake.session import scratch, use_package
+from photolake.session import scratch, stash, use_package
 from photolake.sources.remote import pull
 from photolake.streaming.parts import BUCKETS, bucket_of, exists, partition_names, read_parts, replace_parts, values, write_parts
 
@@ -189,11 +189,8 @@ def stream_near_duplicates(photos: DataFrame, base: str, checkpoint: str, window
         near = [x for x in days if f"day={x}" in have]
         known = read_parts(spark, f"{base}/seen", shaped, "day", near).filter(F.col("batch") < n) if near else shaped
         known = known.drop("day", "batch")
-        fresh = rows.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti").select(*photos.columns)
-        found = near_duplicates(known.unionByName(fresh), window_s)
-        for side in ("photo_a", "photo_b"):
-            found = found.join(fresh.select(F.col("id").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
-        found = found.filter("_photo_a or _photo_b").select("photo_a", "photo_b", "hamming_distance")
+        fresh = stash(rows.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti").select(*photos.columns), "fresh")
+        found = near_duplicates_of(fresh, known, window_s)
         found.withColumn("resolved", F.lit(False)).write.mode("overwrite").parquet(f"{base}/pairs/batch={n}")
         placed = fresh.filter("captured_at is not null").select("*", _day("captured_at").alias("day"), F.lit(n).alias("batch"))
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{base}/seen")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from photolake import schemas
-from photolake.operators import scan
+from photolake.operators import neardup, scan
 from photolake.operators.joins import left_join_sparse
 from photolake.streaming import jobs
 from tests.test_catalog import photo, photos
@@ -58,3 +58,13 @@ def test_rows_without_a_key_are_dealt_out(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(sizes) < 2000
+
+
+def test_known_photos_are_not_compared_with_each_other(spark):
+    """Pairs with a new photo, without any join on the pairs found."""
+    every = [photo(i, phash=f"{i % 3:016x}", captured_at=at(i % 19)) for i in range(60)]
+    fresh, known = photos(spark, *every[::3]), photos(spark, *(x for i, x in enumerate(every) if i % 3))
+    found = neardup.near_duplicates_of(fresh, known)
+    ids = {r.id for r in fresh.collect()}
+    want = sorted(tuple(r) for r in neardup.near_duplicates(fresh.unionByName(known)).collect() if r.photo_a in ids or r.photo_b in ids)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 100
