@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from photolake.functions.paths import remote_sentinel
 from photolake.operators.decisions import group_key, validate_actions
 from photolake.operators.neardup import WINDOW_S, near_duplicates_of
-from photolake.operators.scan import apply_listing, scan_library
-from photolake.session import scratch, stash, use_package
+from photolake.operators.scan import LISTED_COLS, listed_changes, scan_library, with_changes
+from photolake.session import remove, scratch, stash, use_package
 from photolake.sources.remote import pull
 from photolake.streaming.parts import BUCKETS, bucket_of, exists, partition_names, read_parts, replace_parts, values, write_parts
 
@@ -80,7 +80,28 @@ def stream_pull(listing: DataFrame, base: str, photos: DataFrame, downloaded: Da
 
 
 def read_catalog(spark: SparkSession, base: str, photos: DataFrame) -> DataFrame:
-    return spark.read.schema(photos.schema).parquet(f"{base}/photos")
+    return with_changes(spark.read.schema(photos.schema).parquet(f"{base}/photos").select(*photos.columns), _changes(spark, base, photos))
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(x.partition("=")[2]) for x in partition_names(spark, path))
+
+
+def _unfolded(spark: SparkSession, base: str) -> list[int]:
+    """Batches whose changes lie beside the catalog only."""
+    folded = max(_numbers(spark, f"{base}/folded"), default=-1)
+    return [n for n in _numbers(spark, f"{base}/changes") if n > folded]
+
+
+def _changes(spark: SparkSession, base: str, photos: DataFrame, last: int | None = None, wanted: list | None = None) -> DataFrame | None:
+    """What stream_listing() has changed up to a batch and not folded in yet, the latest of each path; of the wanted buckets alone."""
+    batches = [n for n in _unfolded(spark, base) if last is None or n <= last]
+    if not batches:
+        return None
+    kind = photos.select("relative_path", *LISTED_COLS, "id", F.lit(0).alias("batch"), F.lit(0).alias("bucket")).schema
+    rows = spark.read.schema(kind).option("basePath", f"{base}/changes").parquet(*(f"{base}/changes/batch={n}" for n in batches))
+    rows = rows if wanted is None else rows.filter(F.col("bucket").isin(wanted))
+    return rows.groupBy("relative_path").agg(*(F.max_by(c, "batch").alias(c) for c in LISTED_COLS), F.max("id").alias("id"))
 
 
 class LastAction(StatefulProcessor):
@@ -215,11 +236,18 @@ def stream_near_duplicates_bounded(photos: DataFrame, lateness: str = "1 minute"
 LISTED = ["relative_path", "file_size", "file_mtime", "captured_at", "captured_at_source", "sha256"]
 
 
-def stream_listing(listing: DataFrame, base: str, photos: DataFrame, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+#: Batches of changes that lie beside the catalog before they are folded into the partitions they belong to.
+FOLD = 16
+
+
+def stream_listing(listing: DataFrame, base: str, photos: DataFrame, checkpoint: str, buckets: int = BUCKETS, fold: int = FOLD) -> StreamingQuery:
     """W4. Files of one root as they are listed. base: what start_catalog() wrote.
 
-    Rows without a snapshot are new and changed files: a batch reads and
-    replaces the partitions of their paths. Rows of a snapshot (a name, in the
+    Rows without a snapshot are new and changed files: a batch compares them
+    with the partitions of their paths, by the columns that tell a change, and
+    writes what is new or changed under base/changes, where read_catalog() finds
+    it. Once `fold` batches lie there, the next one replaces the partitions they
+    belong to. A file listed twice in a batch counts as modified last. Rows of a snapshot (a name, in the
     order of their making) wait under base/listed until the snapshot's marker, a
     row without a path but with their number in `total`, has come and all of
     them are there. The catalog then takes the snapshot as a scan: changes,
@@ -238,22 +266,43 @@ def stream_listing(listing: DataFrame, base: str, photos: DataFrame, checkpoint:
         rows = spark.read.schema(listing.select(*LISTED, "snapshot").withColumn("batch", F.lit(0)).schema).option("basePath", f"{base}/listed").parquet(f"{base}/listed")
         return rows.filter((F.col("snapshot") == snapshot) & (F.col("batch") <= n)).select(*LISTED)
 
+    def fold_in(n: int) -> None:
+        before = [k for k in _unfolded(spark, base) if k < n]
+        if len(before) >= fold:
+            touched = sorted({b for k in before for b in _numbers(spark, f"{base}/changes/batch={k}")})
+            part = read_parts(spark, f"{base}/photos", shaped, "bucket", touched).drop("bucket")
+            replace_parts(spark, f"{base}/photos", n, lambda: with_changes(part, _changes(spark, base, photos, n - 1)).select("*", key), "bucket")
+            note_folded(n - 1)
+        for k in _numbers(spark, f"{base}/changes"):
+            if k < n and k not in _unfolded(spark, base):
+                remove(spark, f"{base}/changes/batch={k}")
+
+    def note_folded(n: int) -> None:
+        spark.createDataFrame([(n,)], "last long").coalesce(1).write.mode("overwrite").parquet(f"{base}/folded/batch={n}")
+
     def step(rows: DataFrame, n: int) -> None:
         top = _seen_ids(spark, base, n)
         loose = rows.filter("snapshot is null and relative_path is not null").select(*LISTED)
         wanted = values(loose, key)
+        fold_in(n)
         if wanted:
-            part = read_parts(spark, f"{base}/photos", shaped, "bucket", wanted).drop("bucket")
-            done = replace_parts(spark, f"{base}/photos", n, lambda: apply_listing(part, loose, top=top).select("*", key), "bucket")
-            top = _most(top, done)
+            own = f"{base}/changes/batch={n}"
+            if not exists(spark, f"{own}/_SUCCESS"):
+                part = read_parts(spark, f"{base}/photos", shaped, "bucket", wanted)
+                rest = [c for c in LISTED if c not in ("relative_path", "file_mtime", "sha256")]
+                once = loose.groupBy("relative_path").agg(F.max(F.struct("file_mtime", *rest)).alias("x")).select("relative_path", "x.*")
+                found = listed_changes(part, _changes(spark, base, photos, n - 1, wanted), once, top)
+                found.select("*", key).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(own)
+            top = _most(top, spark.read.schema("id long").parquet(own))
         held = rows.filter("snapshot is not null and relative_path is not null").select(*LISTED, "snapshot", F.lit(n).alias("batch"))
         held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot", "batch").parquet(f"{base}/listed")
         rows.filter("snapshot is not null and relative_path is null").select("snapshot", "total").write.mode("overwrite").parquet(f"{base}/marks/batch={n}")
         names = complete(n)
         for turn, name in enumerate(names, 1):
-            every = spark.read.schema(shaped.schema).parquet(f"{base}/photos").drop("bucket")
+            every = with_changes(spark.read.schema(shaped.schema).parquet(f"{base}/photos").drop("bucket"), _changes(spark, base, photos, n))
             done = replace_parts(spark, f"{base}/photos", n, lambda every=every, name=name, top=top: scan_library(every, listed(name, n), top).select("*", key), "bucket", turn=turn, whole=True)
             top = _most(top, done)
+            note_folded(n)
         spark.createDataFrame([(x,) for x in names], "snapshot string").write.mode("overwrite").parquet(f"{base}/done/batch={n}")
         _note_ids(spark, base, n, top)
 

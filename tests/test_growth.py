@@ -7,7 +7,7 @@ from photolake.operators import neardup, scan
 from photolake.operators.joins import left_join_sparse
 from photolake.streaming import jobs
 from tests.test_catalog import photo, photos
-from tests.test_streams import at, files
+from tests.test_streams import ARRIVING, at, files
 
 
 def test_of_a_groups_actions_one_goes_on(spark, tmp_path):
@@ -68,3 +68,18 @@ def test_known_photos_are_not_compared_with_each_other(spark):
     ids = {r.id for r in fresh.collect()}
     want = sorted(tuple(r) for r in neardup.near_duplicates(fresh.unionByName(known)).collect() if r.photo_a in ids or r.photo_b in ids)
     assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 100
+
+
+def test_a_listing_writes_its_changes_alone(spark, tmp_path):
+    """Files that stay as they are cost a batch no write, and the catalog's own partitions stay in place."""
+    base = str(tmp_path)
+    start = photos(spark, *(photo(i, relative_path=f"p{i}.jpg", file_size=i) for i in range(1, 401)))
+    jobs.start_catalog(start, base, 4)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.glob("photos/*/*.parquet")}
+    mtime = start.first().file_mtime
+    rows = [(f"p{i}.jpg", i, mtime + (9 if i < 4 else 0), at(0), "exif", None, None, None) for i in range(1, 402)]
+    jobs.stream_listing(files(spark, rows, ARRIVING, base, 0), base, start, f"{base}/check", 4).awaitTermination()
+    assert {f: f.stat().st_mtime_ns for f in tmp_path.glob("photos/*/*.parquet")} == before
+    assert sorted(r.relative_path for r in spark.read.parquet(f"{base}/changes").collect()) == ["p1.jpg", "p2.jpg", "p3.jpg", "p401.jpg"]
+    got = {r.id: r for r in jobs.read_catalog(spark, base, start).collect()}
+    assert len(got) == 401 and got[401].relative_path == "p401.jpg" and [i for i in got if got[i].file_mtime != mtime] == [1, 2, 3]

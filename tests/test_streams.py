@@ -132,3 +132,34 @@ def test_bounded_pairs(spark, tmp_path):
     found = jobs.stream_near_duplicates_bounded(stream, "1 hour")
     found.writeStream.format("parquet").option("path", f"{base}/pairs").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.read.schema(found.schema).parquet(f"{base}/pairs").collect()] == [(1, 2, 3)]
+
+
+def test_changes_beside_the_catalog_equal_batch_listings(spark, tmp_path):
+    """New files, changed ones, changed again, of rows that were missing or another source's; folded in after two batches, and a batch run again."""
+    base = str(tmp_path)
+    start = photos(spark, *(photo(i, relative_path=f"p{i}.jpg", file_size=i, file_mtime=0.0, missing=i % 5 == 0, source_ref=1 if i % 4 == 0 else None) for i in range(1, 13)))
+    jobs.start_catalog(start, base, 4)
+    want, shown = start, lambda df: sorted(tuple(r) for r in df.collect())
+    for n in range(5):
+        rows = [(f"{'selected/' if i % 3 == n % 3 else ''}p{i}.jpg", i, float(i * n % 3), at(n), "exif", None, None, None) for i in range(n, n + 9)]
+        stream = files(spark, rows, ARRIVING, base, n)
+        jobs.stream_listing(stream, base, start, f"{base}/check", 4, fold=2).awaitTermination()
+        want = scan.apply_listing(want, spark.createDataFrame(rows, ARRIVING)).localCheckpoint()
+        got = jobs.read_catalog(spark, base, start)
+        assert shown(got) == shown(want) and got.columns == want.columns
+        if n in (3, 4):  # one that folded, one that didn't
+            for name in (f"{n}", f".{n}.crc"):
+                (tmp_path / "check/commits" / name).unlink()
+            jobs.stream_listing(stream, base, start, f"{base}/check", 4, fold=2).awaitTermination()
+            assert shown(jobs.read_catalog(spark, base, start)) == shown(want)
+    assert parts.partition_names(spark, f"{base}/folded") == ["batch=1", "batch=3"]
+    assert parts.partition_names(spark, f"{base}/changes") == ["batch=4"]
+
+
+def test_a_file_listed_twice_in_a_batch_is_one_row(spark, tmp_path):
+    base = str(tmp_path)
+    start = photos(spark, photo(1, relative_path="a.jpg"))
+    jobs.start_catalog(start, base, 4)
+    rows = [(p, size, 1.8e9 + size, T0, "exif", None, None, None) for p in ("a.jpg", "b.jpg") for size in (1, 3, 2)]
+    jobs.stream_listing(files(spark, rows, ARRIVING, base, 0), base, start, f"{base}/check", 4).awaitTermination()
+    assert sorted((r.id, r.relative_path, r.file_size) for r in jobs.read_catalog(spark, base, start).collect()) == [(1, "a.jpg", 3), (2, "b.jpg", 3)]
