@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from photolake import schemas
-from photolake.operators import neardup, scan
+from photolake.operators import neardup, ranks, scan
 from photolake.operators.joins import left_join_sparse
+from photolake.plans import moves
 from photolake.streaming import jobs
 from tests.test_catalog import photo, photos
 from tests.test_streams import ARRIVING, at, files
@@ -83,3 +84,37 @@ def test_a_listing_writes_its_changes_alone(spark, tmp_path):
     assert sorted(r.relative_path for r in spark.read.parquet(f"{base}/changes").collect()) == ["p1.jpg", "p2.jpg", "p3.jpg", "p401.jpg"]
     got = {r.id: r for r in jobs.read_catalog(spark, base, start).collect()}
     assert len(got) == 401 and got[401].relative_path == "p401.jpg" and [i for i in got if got[i].file_mtime != mtime] == [1, 2, 3]
+
+
+def test_an_export_plan_reads_its_files_once(spark):
+    """Neither the branch of skipped files nor the naming compares the files anew, and no dates are looked up that no name bears."""
+    read = {k: spark.sparkContext.accumulator(0) for k in ("files", "photos")}
+
+    def counted(rows, k):
+        acc = read[k]
+
+        def note(batches):
+            for b in batches:
+                acc.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(note, rows.schema)
+
+    f = spark.range(300).select(F.concat(F.lit("selected/"), F.col("id").cast("string"), F.lit(".jpg")).alias("relative_path"), F.col("id").alias("file_size"), F.lit(5.0).alias("file_mtime"), F.lit(None).cast("timestamp").alias("captured_at"))
+    there = spark.range(200).select(F.concat(F.col("id").cast("string"), F.lit(".jpg")).alias("name"), F.when(F.col("id") < 100, F.col("id")).otherwise(-1).alias("file_size"), F.lit(5.5).alias("file_mtime"))
+    got = {r.relative_path: (r.action, r.target) for r in moves.plan_export(counted(f, "files"), counted(f, "photos"), there).collect()}
+    want = lambda i: ("skip", f"{i}.jpg") if i < 100 else ("copy", f"{i} (1).jpg" if i < 200 else f"{i}.jpg")
+    assert got == {f"selected/{i}.jpg": want(i) for i in range(300)}
+    assert (read["files"].value, read["photos"].value) == (300, 0)
+
+
+def test_ranks_go_on_from_one_partition_to_the_next(spark):
+    """A group of most rows, one of nulls and small ones; of the others than a partition's outer ones no sizes are gathered."""
+    group = lambda i: "m" if i % 10 < 6 else None if i % 10 == 6 else f"{i % 97:02}"
+    data = [(group(i), i % 2 == 0, (i * 7919) % 5000) for i in range(5000)]
+    out = ranks.rank_within(spark.createDataFrame(data, "g string, even boolean, o long").repartition(5), ["g", "even"], ["o"], "n")
+    seen = {}
+    for g, even, o in sorted(data, key=lambda r: r[2]):
+        seen.setdefault((g, even), []).append(o)
+    assert {(r.g, r.even, r.o): r.n for r in out.collect()} == {(*k, o): n for k, os in seen.items() for n, o in enumerate(os)}
+    assert "_end_0" in out._jdf.queryExecution().analyzed().toString()
